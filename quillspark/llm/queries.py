@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm import repetition
 from quillspark.llm.encode import token_ids
 from quillspark.runtime import table
 
@@ -15,9 +16,21 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which at least 0.30 is repeated, by the learned list and the exact share."""
+    return repetition.found(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of repeated content of every document, with the rule of the list that fired."""
+    return repetition.classify(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p8_ids": p8_ids,
+        "p10_found": p10_found,
+        "p10_shares": p10_shares,
     }
 
 
