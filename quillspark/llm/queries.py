@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import repetition
+from quillspark.llm import repetition, split
+from quillspark.llm.corpus import current_documents
 from quillspark.llm.encode import token_ids
 from quillspark.runtime import table
 
@@ -26,8 +27,20 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.classify(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored chunks that are too long, cut a word, or overlap too little or too much."""
+    return split.stored_faults(table(spark, sf_dir, "document_chunk"), table(spark, sf_dir, "loaded_document")).select("chunk_id")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current contents cut into overlapping pieces by their structure."""
+    return split.pieces(current_documents(table(spark, sf_dir, "loaded_document")), "document_id", "content")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p5_found": p5_found,
+        "p5_pieces": p5_pieces,
         "p8_ids": p8_ids,
         "p10_found": p10_found,
         "p10_shares": p10_shares,
