@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import repetition, split
+from quillspark.llm import neighbours, repetition, split
 from quillspark.llm.corpus import current_documents
 from quillspark.llm.encode import token_ids
 from quillspark.runtime import table
@@ -37,10 +37,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.pieces(current_documents(table(spark, sf_dir, "loaded_document")), "document_id", "content")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of a cosine of 0.90 or more under one model, either among the other's five nearest."""
+    return neighbours.similar_pairs(table(spark, sf_dir, "embedded_chunk"), table(spark, sf_dir, "sqlite_vector_store"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
+        "p7_found": p7_found,
         "p8_ids": p8_ids,
         "p10_found": p10_found,
         "p10_shares": p10_shares,
