@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import neighbours, repetition, split
+from quillspark.llm import near, neighbours, repetition, split
 from quillspark.llm.corpus import current_documents
 from quillspark.llm.encode import token_ids
 from quillspark.runtime import table
@@ -42,8 +42,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, sf_dir, "embedded_chunk"), table(spark, sf_dir, "sqlite_vector_store"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of different documents whose texts have a similarity of 0.66 or more."""
+    return near.similar_chunks(table(spark, sf_dir, "document_chunk"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
         "p7_found": p7_found,

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.rolling import INVERSE, joined_codes, mix, powers, prefix_sums
 from quillspark.llm.rules import DecisionList, learn
 from quillspark.runtime import checkpoint, ship
 
@@ -30,9 +31,6 @@ STATISTICS = ["repeated_share", "longest_share", "line_share", "distinct_word_ra
 
 #: Runs of white space other than one space.
 _WS = re.compile("[\t\r\n][ \t\r\n]*| [ \t\r\n]+")
-# An odd multiplier for rolling sums modulo 2**64 and its inverse; any odd number serves.
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def normalise(text: str) -> str:
@@ -40,26 +38,6 @@ def normalise(text: str) -> str:
     return _WS.sub(" ", text.lower()).strip(" ")
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
-        row = np.full(max(n, SLICE_CHARS + (1 << 18)), base, np.uint64)
-        row[0] = 1
-        with np.errstate(over="ignore"):
-            _POWERS[base] = np.cumprod(row, dtype=np.uint64)
-    return _POWERS[base][:n]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A fixed scrambling of 64-bit values, so that sums of them collide only by chance."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return x ^ (x >> np.uint64(32))
-
-
 def repeated_characters(texts: list[str], stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
     """For normalised texts: how many characters lie in a stretch that came before, and the longest run of such.
 
@@ -71,18 +49,14 @@ def repeated_characters(texts: list[str], stretch: int = STRETCH) -> tuple[np.nd
     out = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     if not len(texts) or lengths.max() <= stretch:
         return out
-    # one value per character: UTF-32 code points of all texts, each closed by a value of its own,
-    # so that no window over a border equals another
-    codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4").copy()
-    closing = np.cumsum(lengths + 1) - 1
-    codes[closing] = 0x110000 + np.arange(len(texts))
+    codes, starts, _ = joined_codes(texts)
+    closing = starts + lengths
     n = len(codes) - stretch + 1
-    salt = _mix(np.arange(1, len(texts) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    sums = prefix_sums(codes)
+    salt = mix(np.arange(1, len(texts) + 1, dtype=np.uint64))
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(_mix(codes.astype(np.uint64) + np.uint64(1)) * _powers(len(codes), _BASE), out=sums[1:])
         h = sums[stretch:] - sums[:n]
-        h *= _powers(n, _INVERSE)
+        h *= powers(n, INVERSE)
         h += np.repeat(salt, lengths + 1)[:n]
         h *= np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(32)
