@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import near, neighbours, repetition, split
+from quillspark.llm import language, near, neighbours, repetition, split
 from quillspark.llm.corpus import current_documents
 from quillspark.llm.encode import token_ids
 from quillspark.runtime import table
@@ -47,9 +47,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.similar_chunks(table(spark, sf_dir, "document_chunk"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents with a missing or wrong label, and of paragraphs in another language."""
+    return language.found(table(spark, sf_dir, "loaded_document"), table(spark, sf_dir, "language_ref"))
+
+
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document and paragraph."""
+    return language.document_languages(table(spark, sf_dir, "loaded_document"), table(spark, sf_dir, "language_ref"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p3_found": p3_found,
+        "p3_languages": p3_languages,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
         "p7_found": p7_found,
