@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.hilbert import hilbert_keys
-from quillspark.runtime import ship, shuffle_partitions
+from quillspark.runtime import checkpoint, ship, shuffle_partitions
 
 DIMENSIONS, NEAREST, LEAST_COSINE = 64, 5, 0.90
 #: Curves, coordinates and bits of each, and how far a class looks along a curve.
@@ -98,20 +98,18 @@ def current_vectors(embedded: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """``(class_id, model_id, vector, members, first_ids)``: one row for all chunks of an equal vector.
-
-    ``first_ids`` are the NEAREST + 1 smallest chunk ids, which is all that a ranking
-    among copies needs; the aggregate never holds more of a class.
-    """
-    order = F.row_number().over(_by_class())
-    ranked = vectors.withColumn("r", order).where(F.col("r") <= NEAREST + 1)
-    return ranked.groupBy("class_id", "model_id", "vector").agg(F.array_sort(F.collect_list("chunk_id")).alias("first_ids"))
+    """``(class_id, model_id, vector)``: one row for all chunks of an equal vector, combined before the shuffle."""
+    return vectors.groupBy("class_id").agg(F.first("model_id").alias("model_id"), F.first("vector").alias("vector"))
 
 
-def _by_class():
-    from pyspark.sql import Window
+def first_members(vectors: DataFrame) -> DataFrame:
+    """``(class_id, first_ids)``: the NEAREST + 1 smallest chunk ids, all that a ranking among copies needs.
 
-    return Window.partitionBy("class_id", "model_id", "vector").orderBy("chunk_id")
+    The limit of the window is applied before the shuffle, so a large class doesn't gather.
+    """
+    order = F.row_number().over(Window.partitionBy("class_id").orderBy("chunk_id"))
+    ranked = vectors.select("class_id", "chunk_id").withColumn("r", order).where(F.col("r") <= NEAREST + 1)
+    return ranked.groupBy("class_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("first_ids"))
 
 
 def _curves() -> tuple[np.ndarray, np.ndarray]:
@@ -200,21 +198,18 @@ def similar_pairs(embedded: DataFrame, stored: DataFrame, least: float = LEAST_C
     zero) take no part. Of many chunks of one vector only the links that the ranking
     asks for come out, at most NEAREST for each chunk, never all pairs.
     """
-    from quillspark.runtime import checkpoint
-
     spark = embedded.sparkSession
     vectors = current_vectors(embedded, stored)
     vectors = checkpoint(vectors.withColumn("class_id", F.xxhash64("model_id", "vector")))
     rows = classes(vectors)
-    pairs = window_pairs(on_curves(vectors.dropDuplicates(["class_id"])), least, shuffle_partitions(spark))
-    linked = exact_cosines(pairs, vectors.dropDuplicates(["class_id"]), least)
-    both = linked.select("a", "b", "cosine").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    ids = rows.select("class_id", "first_ids")
+    pairs = window_pairs(on_curves(rows), least, shuffle_partitions(spark))
+    linked = exact_cosines(pairs, rows, least)
+    either = F.array(F.struct("a", "b", "cosine"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    both = linked.select(F.inline(either))
+    ids = first_members(vectors)
     # for each class its own first members and those of the classes nearest to it; a class
     # beyond the NEAREST nearest can't be among the NEAREST most similar of any member
     near = both.join(ids.withColumnRenamed("class_id", "b"), "b")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("a").orderBy(F.desc("cosine"), F.col("first_ids")[0])
     near = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= NEAREST)
     options = F.flatten(F.collect_list(F.transform("first_ids", lambda i: F.struct((-F.col("cosine")).alias("rank"), i.alias("id")))))
