@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.corpus import distinct_chunks
 from quillspark.llm.rolling import joined_codes, mix, prefix_sums, window_hashes
 from quillspark.runtime import checkpoint, ship
 
@@ -29,9 +28,11 @@ GRAM, LEAST = 5, 0.66
 SEGMENTS, TOKENS = 128, 44
 #: Size bands by characters: (from, to, width for words, width for scripts without spaces). They overlap
 #: by half, so that two texts of similar size always have a band in common.
-BANDS = [(0, 180, 10, 6), (120, 480, 20, 8), (320, 1 << 60, 32, 12)]
-#: Bits of a sketch in which a pair may differ: at 0.66, 128 bits differ in 22 on average, by 4.3 as a deviation.
-SKETCH_BITS, MOST_DIFFERING = 128, 42
+BANDS = [(0, 180, 10, 6), (120, 480, 20, 8), (320, 1 << 60, 40, 16)]
+#: Classes of hashes and bits kept of the least of each. In the index: one bit of 128; at a similarity of 0.66 they
+#: differ in 22 on average, with a deviation of 4.3. For pairs that met: two bits of 256, 87 on average, deviation 10.
+SHORT, MOST_SHORT = (128, 1), 36
+LONG, MOST_LONG = (256, 2), 132
 #: A signature expected under more texts than this is spread over blocks; of how many texts one is sampled for that.
 HOT_TEXTS, HOT_SAMPLE, MOST_BLOCKS = 4000, 64, 64
 
@@ -101,20 +102,18 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return own, mix(signature)
 
 
-def sketches(texts: list[str]) -> np.ndarray:
-    """128 bits of each set of 5-character sequences: a bit of the least hash in each of 128 classes of hashes."""
+def sketches(texts: list[str], classes: int, bits: int) -> np.ndarray:
+    """For each set of 5-character sequences, ``bits`` bits of the least hash in each of ``classes`` classes, as bytes."""
     codes, starts, lengths = joined_codes(texts)
-    least = np.full(len(texts) * SKETCH_BITS, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(len(texts) * classes, np.iinfo(np.uint64).max, np.uint64)
     n = len(codes) - GRAM + 1
     if n > 0:
-        sums = prefix_sums(codes)
         owner = np.repeat(np.arange(len(texts)), lengths + 1)
-        at = np.flatnonzero(owner[:n] == owner[GRAM - 1 :])
-        at = at[codes[at + GRAM - 1] < 0x110000]
-        h = window_hashes(sums, at, GRAM)
-        np.minimum.at(least, owner[at] * SKETCH_BITS + (h & np.uint64(SKETCH_BITS - 1)).astype(np.int64), h >> np.uint64(7))
-    bits = (mix(least) & np.uint64(1)).astype(np.uint8).reshape(len(texts), SKETCH_BITS)
-    return np.packbits(bits, axis=1).view("<i8")
+        at = np.flatnonzero((owner[:n] == owner[GRAM - 1 :]) & (codes[GRAM - 1 :] < 0x110000))
+        h = window_hashes(prefix_sums(codes), at, GRAM)
+        np.minimum.at(least, owner[at] * classes + (h & np.uint64(classes - 1)).astype(np.int64), h >> np.uint64(8))
+    mixed = mix(least)[:, None] >> np.arange(bits, dtype=np.uint64)
+    return np.packbits((mixed & np.uint64(1)).astype(np.uint8).reshape(len(texts), classes * bits), axis=1)
 
 
 def _index_rows(df: DataFrame, hot: dict[int, int]) -> DataFrame:
@@ -152,7 +151,7 @@ def _index_rows(df: DataFrame, hot: dict[int, int]) -> DataFrame:
                 ids = ids[first]
                 texts = batch.column(1).take(pa.array(first)).to_pylist()
                 own, key = spread(ids, *signatures(texts))
-                s = sketches(texts)
+                s = sketches(texts, *SHORT).view("<i8")
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum(np.bincount(own, minlength=len(ids)), out=offsets[1:])
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))
@@ -196,7 +195,7 @@ def _meeting(index: DataFrame) -> DataFrame:
             while len(active):
                 other = active - step
                 differing = np.bitwise_count(s1[active] ^ s1[other]) + np.bitwise_count(s2[active] ^ s2[other])
-                near = (differing <= MOST_DIFFERING) & (ids[active] != ids[other])
+                near = (differing <= MOST_SHORT) & (ids[active] != ids[other])
                 if near.any():
                     out.append(np.stack([ids[active[near]], ids[other[near]]]))
                 step += 1
@@ -211,6 +210,32 @@ def _meeting(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _long_sketches(df: DataFrame) -> DataFrame:
+    """``(id, sketch)`` of each text of ``(id, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), 2000):
+                batch = whole.slice(start, 2000)
+                s = sketches(batch.column(1).to_pylist(), *LONG)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in s], pa.binary())], ["id", "sketch"])
+
+    return df.mapInArrow(run, "id bigint, sketch binary").dropDuplicates(["id"])
+
+
+def _closer(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs whose long sketches are close, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (2, 3))
+            keep = pa.array(np.flatnonzero(np.bitwise_count(x ^ y).sum(1) <= MOST_LONG))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+
+    both = pairs.join(sketched.toDF("a", "x"), "a").join(sketched.toDF("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``(a, b, similarity)`` of the pairs that reach ``least``, from the whole sets."""
 
@@ -247,16 +272,19 @@ def similar_texts(rows: DataFrame, least: float = LEAST) -> DataFrame:
     ship(rows.sparkSession)
     index = _index_rows(rows, _hot_signatures(rows)).select(F.explode("keys").alias("key"), "id", "s1", "s2")
     pairs = _meeting(index.repartition("key").sortWithinPartitions("key"))
-    pairs = checkpoint(pairs)
+    pairs = checkpoint(_closer(pairs, _long_sketches(rows)))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     return _verify(pairs, texts, least)
 
 
 def _texts(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, document_id, id, text)`` with the normalised text and its hash; null texts are left out."""
-    rows = distinct_chunks(chunks, ["chunk_id", "document_id", "text"]).where(F.col("text").isNotNull())
-    return rows.withColumn("text", normalised("text")).withColumn("id", F.xxhash64("text"))
+    """``(chunk_id, document_id, id, text)`` with the normalised text and its hash; null texts are left out.
+
+    Repeated rows stay here: the text of each has the same id, and members are made distinct without the text.
+    """
+    rows = chunks.where(F.col("text").isNotNull()).select("chunk_id", "document_id", normalised("text").alias("text"))
+    return rows.withColumn("id", F.xxhash64("text"))
 
 
 def similar_chunks(chunks: DataFrame, least: float = LEAST) -> DataFrame:
@@ -267,7 +295,7 @@ def similar_chunks(chunks: DataFrame, least: float = LEAST) -> DataFrame:
     """
     rows = _texts(chunks)
     linked = similar_texts(rows.select("id", "text"), least).select("a", "b")
-    members = rows.where(F.length("text") >= GRAM).select("chunk_id", "document_id", "id")
+    members = rows.where(F.length("text") >= GRAM).select("chunk_id", "document_id", "id").distinct()
     x = members.toDF("chunk_x", "document_x", "a")
     y = members.toDF("chunk_y", "document_y", "b")
     other = linked.join(x, "a").join(y, "b").select("chunk_x", "document_x", "chunk_y", "document_y")

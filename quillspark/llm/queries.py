@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import language, near, neighbours, repetition, split
+from quillspark.llm import language, near, neighbours, repetition, sentences, split
 from quillspark.llm.corpus import current_documents
 from quillspark.llm.encode import token_ids
 from quillspark.runtime import table
@@ -57,11 +57,18 @@ def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.document_languages(table(spark, sf_dir, "loaded_document"), table(spark, sf_dir, "language_ref"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of the .md, .docx and .txt contents, by their offsets."""
+    rows = sentences.document_sentences(table(spark, sf_dir, "loaded_document"))
+    return rows.select("document_id", "start_char_offset", "end_char_offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p3_found": p3_found,
         "p3_languages": p3_languages,
+        "p4_found": p4_found,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
         "p7_found": p7_found,
