@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import language, near, neighbours, repetition, sentences, split
+from quillspark.llm import budget, language, near, neighbours, packing, repetition, scans, sentences, split
 from quillspark.llm.corpus import current_documents
 from quillspark.llm.encode import token_ids
 from quillspark.runtime import table
@@ -63,16 +63,41 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document_id", "start_char_offset", "end_char_offset")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken and misread words, running lines, page numbers and damaged markers of page_block."""
+    return scans.found(table(spark, sf_dir, "page_block"), table(spark, sf_dir, "loaded_document"))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired text of every page."""
+    return scans.paragraphs(table(spark, sf_dir, "page_block"), table(spark, sf_dir, "loaded_document"))
+
+
+def p6_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of chunks and documents by source, language and domain, and all their roll-ups."""
+    chunks, loaded, documents, reference = (table(spark, sf_dir, t) for t in ("document_chunk", "loaded_document", "documents", "language_ref"))
+    return budget.token_budget(spark, chunks, loaded, documents, reference)
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents assigned to containers of each capacity."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacity"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p2_paragraphs": p2_paragraphs,
         "p3_found": p3_found,
         "p3_languages": p3_languages,
         "p4_found": p4_found,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
+        "p6_budget": p6_budget,
         "p7_found": p7_found,
         "p8_ids": p8_ids,
+        "p9_containers": p9_containers,
         "p10_found": p10_found,
         "p10_shares": p10_shares,
     }
