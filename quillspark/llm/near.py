@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.rolling import joined_codes, mix, prefix_sums, window_hashes
+from quillspark.llm.rolling import joined_codes, mix, normalise, prefix_sums, window_hashes
 from quillspark.runtime import checkpoint, ship
 
 GRAM, LEAST = 5, 0.66
@@ -29,19 +29,15 @@ SEGMENTS, TOKENS = 128, 44
 #: Size bands by characters: (from, to, width for words, width for scripts without spaces). They overlap
 #: by half, so that two texts of similar size always have a band in common.
 BANDS = [(0, 180, 10, 6), (120, 480, 20, 8), (320, 1 << 60, 40, 16)]
-#: Classes of hashes and bits kept of the least of each. In the index: one bit of 128; at a similarity of 0.66 they
-#: differ in 22 on average, with a deviation of 4.3. For pairs that met: two bits of 256, 87 on average, deviation 10.
-SHORT, MOST_SHORT = (128, 1), 36
-LONG, MOST_LONG = (256, 2), 132
+#: Bits of a sketch: one of the least hash in each of so many classes of hashes.
+SKETCH_BITS = 256
+#: In how many of its first 128 bits, and of all, a pair may differ. At a similarity of 0.66 they differ
+#: in 22 and 44 on average, with deviations of 4.3 and 6.
+MOST_HALF, MOST_DIFFERING = 36, 64
 #: A signature expected under more texts than this is spread over blocks; of how many texts one is sampled for that.
 HOT_TEXTS, HOT_SAMPLE, MOST_BLOCKS = 4000, 64, 64
 
 
-def normalised(text: Column) -> Column:
-    """Lower case, each run of white space one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), "[ \\t\\r\\n]+", " "))
-
-
 def _bands_of(lengths: np.ndarray) -> list[np.ndarray]:
     return [(lengths >= low) & (lengths < high) for low, high, _, _ in BANDS]
 
@@ -102,22 +98,22 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return own, mix(signature)
 
 
-def sketches(texts: list[str], classes: int, bits: int) -> np.ndarray:
-    """For each set of 5-character sequences, ``bits`` bits of the least hash in each of ``classes`` classes, as bytes."""
+def sketches(texts: list[str]) -> np.ndarray:
+    """A row of four 64-bit numbers for each set of 5-character sequences."""
     codes, starts, lengths = joined_codes(texts)
-    least = np.full(len(texts) * classes, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(len(texts) * SKETCH_BITS, np.iinfo(np.uint64).max, np.uint64)
     n = len(codes) - GRAM + 1
     if n > 0:
         owner = np.repeat(np.arange(len(texts)), lengths + 1)
         at = np.flatnonzero((owner[:n] == owner[GRAM - 1 :]) & (codes[GRAM - 1 :] < 0x110000))
         h = window_hashes(prefix_sums(codes), at, GRAM)
-        np.minimum.at(least, owner[at] * classes + (h & np.uint64(classes - 1)).astype(np.int64), h >> np.uint64(8))
-    mixed = mix(least)[:, None] >> np.arange(bits, dtype=np.uint64)
-    return np.packbits((mixed & np.uint64(1)).astype(np.uint8).reshape(len(texts), classes * bits), axis=1)
+        np.minimum.at(least, owner[at] * SKETCH_BITS + (h & np.uint64(SKETCH_BITS - 1)).astype(np.int64), h >> np.uint64(8))
+    bits = (mix(least) & np.uint64(1)).astype(np.uint8).reshape(len(texts), SKETCH_BITS)
+    return np.packbits(bits, axis=1).view("<i8")
 
 
 def _index_rows(df: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """``(id, s1, s2, keys)`` of each text of ``(id, text)``; texts that came before in the batch are left to the first."""
+    """``(id, s1, s2, s3, s4, keys)`` of each text of ``(id, text)``; texts that came before in the batch are left to the first."""
     hot_key = np.array(sorted(hot), np.uint64)
     hot_blocks = np.array([hot[int(k)] for k in hot_key], np.int64)
 
@@ -149,15 +145,15 @@ def _index_rows(df: DataFrame, hot: dict[int, int]) -> DataFrame:
                 _, first = np.unique(ids, return_index=True)
                 first.sort()
                 ids = ids[first]
-                texts = batch.column(1).take(pa.array(first)).to_pylist()
+                texts = [normalise(t) for t in batch.column(1).take(pa.array(first)).to_pylist()]
                 own, key = spread(ids, *signatures(texts))
-                s = sketches(texts, *SHORT).view("<i8")
+                s = sketches(texts)
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum(np.bincount(own, minlength=len(ids)), out=offsets[1:])
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), keys], ["id", "s1", "s2", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(s[:, k].copy()) for k in range(4)), keys], ["id", "s1", "s2", "s3", "s4", "keys"])
 
-    return df.mapInArrow(run, "id bigint, s1 bigint, s2 bigint, keys array<bigint>")
+    return df.mapInArrow(run, "id bigint, s1 bigint, s2 bigint, s3 bigint, s4 bigint, keys array<bigint>")
 
 
 def _hot_signatures(df: DataFrame) -> dict[int, int]:
@@ -180,10 +176,10 @@ def _meeting(index: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []  # rows of the key that may go on
         for batch in batches:
             # unsigned, as the bits of negative numbers are counted by their absolute value
-            now = tuple(batch.column(k).to_numpy().view(np.uint64 if k > 1 else np.int64) for k in range(4))
+            now = tuple(batch.column(k).to_numpy().view(np.uint64 if k > 1 else np.int64) for k in range(6))
             rows = tuple(np.concatenate(p) for p in zip(*held, now)) if held else now
             fresh = sum(len(h[0]) for h in held)
-            key, ids, s1, s2 = rows
+            key, ids, s1, s2, s3, s4 = rows
             # each row against those before it under its key; rows seen before only as partners
             change = np.ones(len(key), bool)
             change[1:] = key[1:] != key[:-1]
@@ -194,10 +190,13 @@ def _meeting(index: DataFrame) -> DataFrame:
             step = 1
             while len(active):
                 other = active - step
-                differing = np.bitwise_count(s1[active] ^ s1[other]) + np.bitwise_count(s2[active] ^ s2[other])
-                near = (differing <= MOST_SHORT) & (ids[active] != ids[other])
-                if near.any():
-                    out.append(np.stack([ids[active[near]], ids[other[near]]]))
+                half = np.bitwise_count(s1[active] ^ s1[other]) + np.bitwise_count(s2[active] ^ s2[other])
+                k = np.flatnonzero(half <= MOST_HALF)
+                if len(k):
+                    a, b = active[k], other[k]
+                    rest = np.bitwise_count(s3[a] ^ s3[b]) + np.bitwise_count(s4[a] ^ s4[b])
+                    near = (half[k] + rest <= MOST_DIFFERING) & (ids[a] != ids[b])
+                    out.append(np.stack([ids[a[near]], ids[b[near]]]))
                 step += 1
                 active = active[place[active] >= step]
             tail = int(start[-1]) if len(key) else 0
@@ -210,32 +209,6 @@ def _meeting(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _long_sketches(df: DataFrame) -> DataFrame:
-    """``(id, sketch)`` of each text of ``(id, text)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, len(whole), 2000):
-                batch = whole.slice(start, 2000)
-                s = sketches(batch.column(1).to_pylist(), *LONG)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in s], pa.binary())], ["id", "sketch"])
-
-    return df.mapInArrow(run, "id bigint, sketch binary").dropDuplicates(["id"])
-
-
-def _closer(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """The pairs whose long sketches are close, too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (2, 3))
-            keep = pa.array(np.flatnonzero(np.bitwise_count(x ^ y).sum(1) <= MOST_LONG))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
-
-    both = pairs.join(sketched.toDF("a", "x"), "a").join(sketched.toDF("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``(a, b, similarity)`` of the pairs that reach ``least``, from the whole sets."""
 
@@ -248,8 +221,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             a, s, t = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i in range(len(a)):
                 if a[i] != last:
-                    last, x = a[i], grams(s[i])
-                y = grams(t[i])
+                    last, x = a[i], grams(normalise(s[i]))
+                y = grams(normalise(t[i]))
                 common = len(x & y)
                 total = len(x) + len(y) - common
                 if total and common / total >= least:
@@ -264,38 +237,32 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def similar_texts(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """``(a, b, similarity)``: ids of different normalised texts of ``(id, text)`` that are similar enough.
+    """``(a, b, similarity)``: ids of different texts of ``(id, text)`` that are similar enough.
 
-    ``id`` is the hash of the text, so copies are one. Texts shorter than GRAM have no
-    sequences and are similar to none.
+    ``id`` is the hash of the text, so copies are one; texts that differ in letter case or
+    white space alone are two of similarity 1. Texts that are shorter than GRAM when
+    normalised have no sequences and are similar to none.
     """
     ship(rows.sparkSession)
-    index = _index_rows(rows, _hot_signatures(rows)).select(F.explode("keys").alias("key"), "id", "s1", "s2")
+    index = _index_rows(rows, _hot_signatures(rows)).select(F.explode("keys").alias("key"), "id", "s1", "s2", "s3", "s4")
     pairs = _meeting(index.repartition("key").sortWithinPartitions("key"))
-    pairs = checkpoint(_closer(pairs, _long_sketches(rows)))
+    pairs = checkpoint(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     return _verify(pairs, texts, least)
 
 
-def _texts(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, document_id, id, text)`` with the normalised text and its hash; null texts are left out.
-
-    Repeated rows stay here: the text of each has the same id, and members are made distinct without the text.
-    """
-    rows = chunks.where(F.col("text").isNotNull()).select("chunk_id", "document_id", normalised("text").alias("text"))
-    return rows.withColumn("id", F.xxhash64("text"))
-
-
 def similar_chunks(chunks: DataFrame, least: float = LEAST) -> DataFrame:
     """``(chunk_id_a, chunk_id_b)``, the smaller id first: chunks of different documents that are similar enough.
 
     Copies of a text count as similar (1.0) unless it is shorter than GRAM. Null texts
     take no part; repeated rows of a chunk count once.
     """
-    rows = _texts(chunks)
+    rows = chunks.where(F.col("text").isNotNull()).select("chunk_id", "document_id", "text", F.xxhash64("text").alias("id"))
     linked = similar_texts(rows.select("id", "text"), least).select("a", "b")
-    members = rows.where(F.length("text") >= GRAM).select("chunk_id", "document_id", "id").distinct()
+    # a text with GRAM characters when normalised; only short ones are looked at closely
+    long_enough = (F.length("text") >= 64) | (F.length(F.trim(F.regexp_replace("text", "[ \\t\\r\\n]+", " "))) >= GRAM)
+    members = rows.where(long_enough).select("chunk_id", "document_id", "id").distinct()
     x = members.toDF("chunk_x", "document_x", "a")
     y = members.toDF("chunk_y", "document_y", "b")
     other = linked.join(x, "a").join(y, "b").select("chunk_x", "document_x", "chunk_y", "document_y")

@@ -8,7 +8,6 @@ documents are repetitive; the exact share decides the label and is kept as a che
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.rolling import INVERSE, joined_codes, mix, powers, prefix_sums
+from quillspark.llm.rolling import INVERSE, joined_codes, mix, normalise, powers, prefix_sums
 from quillspark.llm.rules import DecisionList, learn
 from quillspark.runtime import checkpoint, ship
 
@@ -29,14 +28,6 @@ SLICE_CHARS = 2_000_000
 
 STATISTICS = ["repeated_share", "longest_share", "line_share", "distinct_word_ratio"]
 
-#: Runs of white space other than one space.
-_WS = re.compile("[\t\r\n][ \t\r\n]*| [ \t\r\n]+")
-
-
-def normalise(text: str) -> str:
-    """Lower case, each run of white space one space, trimmed."""
-    return _WS.sub(" ", text.lower()).strip(" ")
-
 
 def repeated_characters(texts: list[str], stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
     """For normalised texts: how many characters lie in a stretch that came before, and the longest run of such.

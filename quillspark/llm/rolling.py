@@ -29,6 +29,14 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def normalise(text: str) -> str:
+    """Lower case, each run of white space (space, tab, CR, LF) one space, trimmed."""
+    text = text.lower().replace("\n", " ").replace("\r", " ").replace("\t", " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return text.strip(" ")
+
+
 def joined_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, starts, lengths): code points of all texts one after the other, each closed by
     a value of its own, so that no window over a border equals another."""
