@@ -127,7 +127,7 @@ def retrieval_metrics(judged: DataFrame) -> DataFrame:
     nDCG takes 1 as the ideal and is held to 1.
     """
     gain = F.sum(F.when(F.col("relevant") & (F.col("rank") <= 10), 1.0 / F.log2(F.col("rank") + 1)).otherwise(0.0))
-    first = F.min(F.when("relevant", F.col("rank")))
+    first = F.min(F.when(F.col("relevant"), F.col("rank")))
     each = judged.groupBy("query_id").agg(first.alias("first"), F.least(F.lit(1.0), gain).alias("ndcg"))
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
     return each.agg(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspark.plans import ingest, retrieval
+from quillspark.plans import analysis, ingest, retrieval
 from quillspark.plans.base import Query
 
-MODULES = (retrieval, ingest)
+MODULES = (retrieval, ingest, analysis)
 
 
 def queries() -> dict[str, Query]:
