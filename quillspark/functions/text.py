@@ -126,7 +126,8 @@ def column_index(c: Column) -> Column:
 def parse_score(c: Column, default: float = 0.5) -> Column:
     """First number of a reply, comma or point, held to 0..1; ``default`` if there is none."""
     number = F.regexp_extract(F.replace(c, F.lit(","), F.lit(".")), r"(\d+(?:\.\d+)?)", 1)
-    return F.coalesce(F.least(F.greatest(F.expr("0D") + number.try_cast("double"), F.lit(0.0)), F.lit(1.0)), F.lit(default))
+    value = number.try_cast("double")
+    return F.when(value.isNull(), F.lit(default)).otherwise(F.least(value, F.lit(1.0)))
 
 
 def cache_key(ids: Column) -> Column:
