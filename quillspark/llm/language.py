@@ -16,6 +16,7 @@ from quillspark.runtime import ship
 
 #: The sample the trees are grown on: labelled documents of each language, and characters of each.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 80, 4000
+FOLDS = 4
 #: Letters from which a paragraph has a language of its own.
 LEAST_LETTERS = 40
 #: Formats whose paragraphs are no segments.
@@ -61,9 +62,10 @@ def _bytes(text: str) -> bytes:
 def train(documents: DataFrame, names: dict[str, str], sample: int = SAMPLE_DOCUMENTS, chars: int = SAMPLE_CHARS) -> ContextTrees:
     """Grow the trees on at most ``sample`` labelled documents of each language, ``chars`` of each.
 
-    The labels of the sample may be wrong and its documents mixed: trees grown on all of it
-    name the language of each paragraph, and those that differ from their label are left
-    out of the trees that are returned.
+    The labels of the sample may be wrong and its documents mixed. The sample is parted into
+    FOLDS by document; trees grown on the other folds name the language of each paragraph, so
+    that none is judged by trees that know it, and paragraphs that differ from their label are
+    left out, first of the next round and then of the trees that are returned.
     """
     label = F.lower(F.trim(F.col("lang_label")))
     table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair)) if names else F.create_map()
@@ -71,20 +73,30 @@ def train(documents: DataFrame, names: dict[str, str], sample: int = SAMPLE_DOCU
     rows = documents.where(F.col("content").isNotNull()).withColumn("lang", lang).where(F.col("lang").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("document_id"), "document_id")
     rows = rows.select("lang", "document_id", F.substring("content", 1, chars).alias("content"))
-    picked = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("lang", "content").collect()
-    parts = [(r["lang"], _bytes(p)) for r in picked for p in paragraphs(r["content"])]
-    texts: dict[str, list[bytes]] = {}
-    for name, part in parts:
-        texts.setdefault(name, []).append(part)
-    if not texts:
+    picked = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).orderBy("document_id").select("lang", "content").collect()
+    parts = [(r["lang"], k % FOLDS, _bytes(p)) for k, r in enumerate(picked) for p in paragraphs(r["content"])]
+    names_seen = sorted({name for name, _, _ in parts})
+    if not parts:
         return ContextTrees.train({name: [] for name in set(names.values())})
+    kept = [True] * len(parts)
     for _ in range(2):
-        trees = ContextTrees.train(texts)
-        best = np.argmin(trees.code_lengths([p for _, p in parts]), axis=1)
-        texts = {name: [] for name in texts}
-        for (name, part), j in zip(parts, best):
-            if trees.languages[j] == name:
-                texts[name].append(part)
+        agrees = list(kept)
+        for fold in range(FOLDS):
+            texts: dict[str, list[bytes]] = {name: [] for name in names_seen}
+            for (name, f, part), ok in zip(parts, kept):
+                if ok and f != fold:
+                    texts[name].append(part)
+            trees = ContextTrees.train(texts)
+            mine = [i for i, (_, f, _) in enumerate(parts) if f == fold]
+            best = np.argmin(trees.code_lengths([parts[i][2] for i in mine]), axis=1)
+            for i, j in zip(mine, best):
+                # a language that only this fold has can't be told from the others
+                agrees[i] = trees.languages[j] == parts[i][0] or not texts[parts[i][0]]
+        kept = agrees
+    texts = {name: [] for name in names_seen}
+    for (name, _, part), ok in zip(parts, kept):
+        if ok:
+            texts[name].append(part)
     return ContextTrees.train(texts)
 
 
