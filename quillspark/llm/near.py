@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.rolling import joined_codes, mix, normalise, prefix_sums, window_hashes
+from quillspark.operators.graph import connected_components
 from quillspark.runtime import checkpoint, ship
 
 GRAM, LEAST = 5, 0.66
@@ -269,3 +270,25 @@ def similar_chunks(chunks: DataFrame, least: float = LEAST) -> DataFrame:
     same = x.join(y, (F.col("a") == F.col("b")) & (F.col("chunk_x") < F.col("chunk_y"))).select(*other.columns)
     both = other.unionByName(same).where(F.col("document_x") != F.col("document_y"))
     return both.select(F.least("chunk_x", "chunk_y").alias("chunk_id_a"), F.greatest("chunk_x", "chunk_y").alias("chunk_id_b"))
+
+
+def groups(chunks: DataFrame, least: float = LEAST) -> DataFrame:
+    """``(chunk_id, group_id, links)`` of every chunk with a text: the smallest chunk id of its group, and how many chunks it is linked to.
+
+    Groups are the connected components of similar texts; copies of a text are one vertex
+    with many members, so that they are never expanded into pairs. A chunk that is similar
+    to no other is a group of its own with 0 links.
+    """
+    rows = chunks.where(F.col("text").isNotNull()).select("chunk_id", "text", F.xxhash64("text").alias("id"))
+    linked = checkpoint(similar_texts(rows.select("id", "text"), least).select("a", "b"))
+    members = rows.select("chunk_id", "id").distinct()
+    vertices = members.groupBy("id").agg(F.count("*").alias("members"), F.min("chunk_id").alias("first"))
+    edges = linked.select(F.col("a").cast("string").alias("from_id"), F.col("b").cast("string").alias("to_id"))
+    components = connected_components(edges).select(F.col("id").cast("bigint").alias("id"), "component")
+    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.join(vertices.select(F.col("id").alias("b"), "members"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("members").alias("others"))
+    known = vertices.join(components, "id", "left").withColumn("component", F.coalesce("component", F.col("id").cast("string")))
+    named = known.groupBy("component").agg(F.min("first").alias("group_id"))
+    classes = known.join(named, "component").join(degree, "id", "left")
+    links = F.coalesce("others", F.lit(0)) + F.col("members") - 1
+    return members.join(classes.select("id", "group_id", links.cast("bigint").alias("links")), "id").select("chunk_id", "group_id", "links")

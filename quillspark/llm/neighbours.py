@@ -222,3 +222,62 @@ def similar_pairs(embedded: DataFrame, stored: DataFrame, least: float = LEAST_C
     best = F.slice(F.array_sort(F.filter("options", lambda o: o["id"] != F.col("chunk_id"))), 1, NEAREST)
     links = mine.select("chunk_id", F.explode(best).alias("o")).select("chunk_id", F.col("o.id").alias("other"))
     return links.select(F.least("chunk_id", "other").alias("chunk_id_a"), F.greatest("chunk_id", "other").alias("chunk_id_b")).distinct()
+
+
+#: Vectors of a block of the exact search.
+BLOCK = 2048
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Rows ``(chunk_id, model, vector)`` packed into blocks of at most BLOCK, numbered within the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), BLOCK):
+                part = batch.slice(start, BLOCK)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(k)) for k in (0, 1)]
+                x = _matrix(part.column(2), "<f4", DIMENSIONS)
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([x.tobytes()], pa.binary())], ["ids", "models", "matrix"])
+
+    packed = rows.select("chunk_id", "model", "vector").mapInArrow(run, "ids array<string>, models array<bigint>, matrix binary")
+    return packed.toDF(f"{name}_ids", f"{name}_models", f"{name}_matrix")
+
+
+def nearest(embedded: DataFrame, stored: DataFrame, is_query, k: int = NEAREST) -> DataFrame:
+    """``(chunk_id, model_id, rank, neighbour_id, cosine)``: the exact ``k`` most similar of the same model for each query row.
+
+    ``is_query`` is a condition on chunk_id that states the query set. The queries go in
+    blocks against all rows in blocks, each pair of blocks one matrix product that keeps k
+    a query; equal cosines (at nine places) rank by chunk id. This measures what
+    the curves find, and serves where neighbours are far.
+    """
+    vectors = checkpoint(current_vectors(embedded, stored).withColumn("model", F.xxhash64("model_id")))
+    asked = vectors.where(is_query)
+    query = checkpoint(_blocks(asked, "q").withColumn("number", F.monotonically_increasing_id()))
+    numbers = query.select("number")
+    # a table of query blocks' numbers: one for BLOCK queries
+    base = _blocks(vectors, "b").withColumn("numbers", numbers.agg(F.array_sort(F.collect_list("number")).alias("n")).scalar())
+    pairs = base.withColumn("number", F.explode("numbers")).drop("numbers").repartition("number", "b_ids").join(query, "number")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                b_ids, b_models, q_ids, q_models = (np.array(batch.column(c)[i].as_py()) for c in (0, 1, 3, 4))
+                x, y = (np.frombuffer(batch.column(c)[i].as_py(), "<f4").reshape(-1, DIMENSIONS).astype(np.float64) for c in (2, 5))
+                cosine = np.round(y @ x.T / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None], 9)
+                cosine[(q_models[:, None] != b_models[None]) | (q_ids[:, None] == b_ids[None])] = -2
+                place = np.argsort(np.argsort(b_ids, kind="stable"), kind="stable")
+                order = np.lexsort((np.broadcast_to(place, cosine.shape), -cosine), axis=1)[:, :k]
+                row = np.repeat(np.arange(len(q_ids)), order.shape[1])
+                col = order.ravel()
+                keep = cosine[row, col] > -2
+                row, col = row[keep], col[keep]
+                columns = [pa.array(q_ids[row].tolist(), pa.string()), pa.array(q_models[row]), pa.array(b_ids[col].tolist(), pa.string()), pa.array(cosine[row, col])]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk_id", "model", "neighbour_id", "cosine"])
+
+    columns = ["b_ids", "b_models", "b_matrix", "q_ids", "q_models", "q_matrix"]
+    found = pairs.select(*columns).mapInArrow(run, "chunk_id string, model bigint, neighbour_id string, cosine double")
+    order = Window.partitionBy("chunk_id", "model").orderBy(F.desc("cosine"), "neighbour_id")
+    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    names = asked.select("chunk_id", "model", "model_id")
+    return top.join(names, ["chunk_id", "model"]).select("chunk_id", "model_id", "rank", "neighbour_id", "cosine")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm import budget, language, near, neighbours, packing, repetition, scans, sentences, split
 from quillspark.llm.corpus import current_documents
@@ -84,9 +85,21 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacity"))
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and number of links of every chunk."""
+    return near.groups(table(spark, sf_dir, "document_chunk"))
+
+
+def p7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact five nearest of every chunk whose document number is divisible by 20."""
+    number = F.regexp_extract("chunk_id", r"(\d+)#", 1).try_cast("bigint")
+    return neighbours.nearest(table(spark, sf_dir, "embedded_chunk"), table(spark, sf_dir, "sqlite_vector_store"), F.coalesce(number % 20 == 0, F.lit(False)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p1_groups": p1_groups,
         "p2_found": p2_found,
         "p2_paragraphs": p2_paragraphs,
         "p3_found": p3_found,
@@ -96,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_pieces": p5_pieces,
         "p6_budget": p6_budget,
         "p7_found": p7_found,
+        "p7_nearest": p7_nearest,
         "p8_ids": p8_ids,
         "p9_containers": p9_containers,
         "p10_found": p10_found,

@@ -353,3 +353,29 @@ def test_containers_hold_every_text_once(spark):
             else:
                 assert r["container_id"] is None
         assert max(fill.values()) <= cap
+
+
+# -- groups of near copies, exact neighbours ------------------------------------------------------------------------------
+
+
+def test_groups_hold_every_chunk(spark):
+    t = "the narrow cooling loop behind the gate protects the ledger of the finance team near the loading dock"
+    texts = [t, t, t + " again", "something else that nobody has written anywhere near this table", None, "", t]
+    rows = [(f"c{i}", f"d{i}", 0, x, 0, 1, None, None) for i, x in enumerate(texts)]
+    got = {r["chunk_id"]: (r["group_id"], r["links"]) for r in near.groups(spark.createDataFrame(rows + rows[:1], CHUNK)).collect()}
+    assert got == {"c0": ("c0", 3), "c1": ("c0", 3), "c2": ("c0", 3), "c6": ("c0", 3), "c3": ("c3", 0), "c5": ("c5", 0)}
+
+
+def test_exact_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    x = np.random.default_rng(8).normal(size=(90, 64)).astype("<f4")
+    ids = [f"c{i:03d}" for i in range(90)]
+    e = spark.createDataFrame([(i, "m" if n % 3 else "o", v.tolist(), None) for n, (i, v) in enumerate(zip(ids, x))], "chunk_id string, model_id string, vector array<float>, embedded_at timestamp_ntz")
+    s = spark.createDataFrame([], "chunk_id string, model_id string, vector binary")
+    rows = neighbours.nearest(e, s, F.col("chunk_id") < "c030").collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u.astype(np.float64) @ u.T.astype(np.float64)
+    for i in range(30):
+        mine = [r["neighbour_id"] for r in sorted((r for r in rows if r["chunk_id"] == ids[i]), key=lambda r: r["rank"])]
+        want = sorted((j for j in range(90) if j != i and bool(j % 3) == bool(i % 3)), key=lambda j: -c[i, j])[:5]
+        assert mine == [ids[j] for j in want]
