@@ -63,15 +63,27 @@ def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the place, from 0, of each row in the order of a distinct column, without one task for all rows.
+
+    Rows are range-partitioned and numbered within their range; what comes before a range
+    is summed over the counts of the ranges, one row for each partition.
+    """
+    parts = checkpoint(rows.repartitionByRange(column).withColumn("part", F.spark_partition_id()))
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
+    return parts.withColumn("place", place).join(F.broadcast(starts), "part").withColumn(name, (F.col("start") + F.col("place")).cast("int")).drop("part", "place", "start")
+
+
 def community_texts(components: DataFrame, entities: DataFrame) -> DataFrame:
     """``(community_id, members, text)``: communities in the order of their least id, members by type and name.
 
     Members without an entity are left out; a community of none has no text, though it counts in the order.
     """
-    numbered = components.select("component").distinct()
-    order = Window.orderBy("component")  # one row for each community
-    numbered = numbered.withColumn("community_id", (F.dense_rank().over(order) - 1).cast("int"))
-    rows = components.join(numbered, "component").join(entities.select(F.lower("id").alias("id"), "type", "name"), "id")
+    order = numbered(components.select("component").distinct(), "component", "community_id")
+    rows = components.join(order, "component").join(entities.select(F.lower("id").alias("id"), "type", "name"), "id")
     member = F.concat_ws(": ", "type", "name")
     parts = F.array_sort(F.collect_list(member))
     return rows.groupBy("community_id").agg(F.count("*").alias("members"), F.concat(F.lit("Members: "), F.array_join(parts, ", ")).alias("text"))

@@ -16,7 +16,10 @@ def live_states(entries: DataFrame, key: str, order: str, now: str) -> DataFrame
 
 
 def summary_keys(groups: DataFrame, group: str, member: str) -> DataFrame:
-    """``(group, key, members)``: hash of the distinct members, sorted and joined by NUL."""
+    """``(group, key, members)``: hash of the distinct members, sorted and joined by NUL.
+
+    The key is defined over the whole list, so a group's distinct ids meet in one task; copies are gone before.
+    """
     once = groups.select(group, member).distinct()
     return once.groupBy(group).agg(cache_key(F.collect_list(member)).alias("key"), F.count("*").alias("members"))
 
