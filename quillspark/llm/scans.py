@@ -30,8 +30,8 @@ EDGE_SHARE = 0.8
 FOLDS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j",
     "l": "i", "1": "i", "!": "i", "|": "i", "†": "t", "0": "o", "5": "s", "q": "9", "g": "9",
-    "m": "rn", "w": "vv", "d": "ci", "h": "ii", "u": "ii", "л": "ji", "к": "i<", "ы": "bi",
-    "г": "r", "ч": "4", "з": "3", "é": "6", "б": "6", "z": "2",
+    "m": "rn", "w": "vv", "d": "ci", "h": "ii", "u": "ii", "л": "ji", "к": "i<",
+    "г": "r", "ч": "4", "з": "3", "é": "6", "б": "6", "z": "2", "ш": "iii", "ю": "io", "b": "8", "ы": "8i",
 }
 PAGE_WORDS = "page pages стр страница сторінка стор seite página pagina pág p s of из із з von de sur sobre".split()
 HYPHENS = "-‐‑¬­"
@@ -40,6 +40,10 @@ _FOLD = str.maketrans(FOLDS)
 _TOKEN = re.compile(r"\S+")
 _DIGITS = re.compile(r"\d+")
 _EDGES = " .,;:!?…«»\"„“”()[]{}¿¡'’|*~—–"
+#: What surrounds a word, as patterns: an exclamation mark before one is a misread letter.
+_LEAD, _TRAIL = r"""[ .,;:?…«»"„“”()\[\]{}¿¡'’|*~—–]*""", r"""[ .,;:!?…«»"„“”()\[\]{}¿¡'’|*~—–]*"""
+#: Small letters that are misread as capitals, so that a word's case doesn't show.
+_CASELESS = ("III", "JI", "IO", "I<")
 _CODE = re.compile(r"[A-Z]{1,4}-\d[\dA-Z]*|\w*[./]\w*|v?\d[\d.,:/-]*", re.I)
 _MARKER = re.compile(r"\s*##\s*page\s*(\d+)\s*", re.I)
 _ROMAN = {"i": 1, "v": 5, "x": 10, "c": 100}
@@ -146,7 +150,7 @@ def classified_lines(pages: DataFrame, loaded: DataFrame) -> DataFrame:
     )
     share = F.col("outer") >= EDGE_SHARE * F.col("all")
     again = share & ((F.col("pages") >= 2) | (F.col("documents") >= 3))
-    looks = at_edge & ~F.col("is_number") & (F.length("template") > 2) & (F.length("line") <= 90) & (F.col("is_title").isNotNull() | again)
+    looks = at_edge & ~F.col("is_number") & ~F.col("line").rlike(r"^[^\p{L}]*\p{Ll}") & (F.length("template") > 2) & (F.length("line") <= 90) & (F.col("is_title").isNotNull() | again)
     # a running line is at the very edge, but for other running lines and page numbers
     rows = joined.withColumn("off", looks | F.col("is_number"))
     down = Window.partitionBy("document_id", "page_number").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,8 +161,8 @@ def classified_lines(pages: DataFrame, loaded: DataFrame) -> DataFrame:
 
 
 def _core(token: str) -> str:
-    """A token without surrounding punctuation; an exclamation mark inside a word stays."""
-    return token.strip(_EDGES)
+    """A token without surrounding punctuation; an exclamation mark before or inside a word is a misread letter."""
+    return token.rstrip(_EDGES).lstrip(_EDGES.replace("!", ""))
 
 
 def _broken(line: str) -> tuple[str, str] | None:
@@ -282,7 +286,8 @@ def _right_case(wrong: str, right: str, is_name: bool, starts: bool) -> str:
     letters = [c for c in wrong if c.isalpha()]
     if len(letters) > 1 and all(c.isupper() for c in letters):
         return right.upper()
-    upper = wrong[:1].isupper() if wrong[:1].isalpha() else is_name or starts
+    shown = wrong[:1].isalpha() and not wrong.startswith(_CASELESS)
+    upper = wrong[:1].isupper() if shown else is_name or starts
     return right[:1].upper() + right[1:] if upper else right
 
 
@@ -300,7 +305,7 @@ def repaired(pages: DataFrame, loaded: DataFrame) -> tuple[DataFrame, DataFrame]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(7)), pa.array(right, pa.string())], out)
 
     out = ["document_id", "page_number", "place", "token", "was_broken", "starts", "ends_paragraph", "right"]
-    core = F.lower(F.regexp_replace("token", r"""^[ .,;:!?…«»"„“”()\[\]{}¿¡'’|*~—–]+|[ .,;:!?…«»"„“”()\[\]{}¿¡'’|*~—–]+$""", ""))
+    core = F.lower(F.regexp_replace("token", f"^{_LEAD}|{_TRAIL}$", ""))
     joined = tokens.withColumn("word", core).join(fixes, "word", "left")
     source = joined.select("document_id", "page_number", "place", "token", "was_broken", "starts", "ends_paragraph", "right", "right_is_name")
     schema = "document_id string, page_number int, place int, token string, was_broken boolean, starts boolean, ends_paragraph boolean, right string"
@@ -313,7 +318,7 @@ def found(pages: DataFrame, loaded: DataFrame) -> DataFrame:
     Null bodies have no lines; repeated rows of a page count once, and so does each item of a page.
     """
     lines, tokens = repaired(pages, loaded)
-    edges = r"""^[ .,;:!?…«»"„“”()\[\]{}¿¡'’|*~—–]+|[ .,;:!?…«»"„“”()\[\]{}¿¡'’|*~—–]+$"""
+    edges = f"^{_LEAD}|{_TRAIL}$"
     whole = F.coalesce(F.col("right"), F.regexp_replace("token", edges, ""))
     hyphen = tokens.where("was_broken").select("document_id", "page_number", F.lit("hyphen").alias("kind"), whole.alias("item"))
     misread = tokens.where("right is not null").select("document_id", "page_number", F.lit("misread").alias("kind"), F.col("right").alias("item"))
@@ -332,7 +337,7 @@ def paragraphs(pages: DataFrame, loaded: DataFrame) -> DataFrame:
     body lines have no row.
     """
     _, tokens = repaired(pages, loaded)
-    edges = r"""^([ .,;:!?…«»"„“”()\[\]{}¿¡'’|*~—–]*)(.*?)([ .,;:!?…«»"„“”()\[\]{}¿¡'’|*~—–]*)$"""
+    edges = f"^({_LEAD})(.*?)({_TRAIL})$"
     whole = F.when(F.col("right").isNull(), F.col("token")).otherwise(
         F.concat(F.regexp_extract("token", edges, 1), F.col("right"), F.regexp_extract("token", edges, 3))
     )
