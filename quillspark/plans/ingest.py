@@ -145,8 +145,8 @@ def chunk_token_greedy(s, d):
 
 
 def chunk_reindex(s, d):
-    """Odd chunks and those without text go; what stays is numbered anew."""
-    kept = chunks(s, d).where("text is not null and chunk_index % 2 = 0").select("document_id", "chunk_index", F.col("chunk_id").alias("old_id"))
+    """Chunks under 500 characters and those without text go; what stays is numbered anew."""
+    kept = chunks(s, d).where("length(text) >= 500").select("document_id", "chunk_index", F.col("chunk_id").alias("old_id"))
     out = C.reindexed(kept.withColumn("old", F.col("chunk_index")), ["chunk_index", "old_id"])
     return out.select("chunk_id", "document_id", "old_id", "chunk_index")
 
@@ -381,7 +381,7 @@ SQL: dict[str, str] = {
     "chunk_token_ws": f"""SELECT document_id, i::BIGINT AS chunk_index, sha256(array_to_string(w[i * 64 + 1 : i * 64 + 64], ' ')) AS hash FROM (
         SELECT document_id, w, unnest(range(0, (len(w) - 1) // 64 + 1)) AS i FROM (SELECT document_id, {_WORDS} AS w FROM {DOCUMENTS} WHERE content IS NOT NULL) WHERE len(w) > 0)""",
     "chunk_reindex": f"""SELECT document_id || '#' || n AS chunk_id, document_id, old_id, n::INTEGER AS chunk_index FROM (SELECT document_id, chunk_id AS old_id,
-        row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id) - 1 AS n FROM {CHUNKS} WHERE text IS NOT NULL AND chunk_index % 2 = 0)""",
+        row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id) - 1 AS n FROM {CHUNKS} WHERE length(text) >= 500)""",
     "semantic_islands": f"""SELECT document_id, chunk_index::BIGINT AS chunk_index, count(*) AS sentences, sha256(string_agg(text, ' ' ORDER BY chunk_no)) AS hash FROM (
         SELECT document_id, chunk_no, text, sum(b) OVER (PARTITION BY document_id ORDER BY chunk_no) - 1 AS chunk_index FROM (
         SELECT *, CASE WHEN before IS NULL OR {_COSINE} < 0.05 THEN 1 ELSE 0 END AS b FROM (SELECT document_id, chunk_index AS chunk_no, coalesce(text, '') AS text, vector,

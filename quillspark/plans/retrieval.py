@@ -110,8 +110,9 @@ def rerank_topk(s, d):
 
 def crag_filter(s, d):
     """Graded by a stand-in rule; a question that loses all results falls back to BM25."""
-    rows = R.payload(_dense(s, d, 20), vectors(s, d), ["chunk_index"])
-    graded = rows.withColumn("grade", F.when((F.col("query_id") == "q2") | (F.col("chunk_index") % 3 == 0), "INCORRECT").otherwise("CORRECT"))
+    rows = R.payload(_dense(s, d, 20), vectors(s, d), ["text"])
+    bad = (F.col("query_id") == "q2") | F.coalesce(F.length("text") < 500, F.lit(True))
+    graded = rows.withColumn("grade", F.when(bad, "INCORRECT").otherwise("CORRECT"))
     return _out(R.crag(graded, 10, R.bm25(_texted(s, d), TEXTS, 10)))
 
 
@@ -179,7 +180,7 @@ SQL: dict[str, str] = {
     "rerank_topk": f"""SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, score FROM (
         SELECT r.query_id, r.chunk_id, round(((length(v.text) * 37) % 1000) / 1000.0::DOUBLE, 6) AS score FROM {dense_sql(20)} r JOIN {VECTORS} v USING (chunk_id)
         WHERE v.text IS NOT NULL)) WHERE rank <= 5 AND score >= 0.3""",
-    "crag_filter": f"""WITH kept AS MATERIALIZED (SELECT r.* FROM {dense_sql(20)} r JOIN {VECTORS} v USING (chunk_id) WHERE NOT (r.query_id = 'q2' OR v.chunk_index % 3 = 0))
+    "crag_filter": f"""WITH kept AS MATERIALIZED (SELECT r.* FROM {dense_sql(20)} r JOIN {VECTORS} v USING (chunk_id) WHERE NOT (r.query_id = 'q2' OR coalesce(length(v.text) < 500, true)))
         SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, score FROM kept) WHERE rank <= 10
         UNION ALL SELECT * FROM {bm25_sql(10, _TEXTED)} WHERE query_id NOT IN (SELECT query_id FROM kept)""",
     "sparse_vector_topk": f"""SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, score FROM (
