@@ -133,3 +133,17 @@ def parse_score(c: Column, default: float = 0.5) -> Column:
 def cache_key(ids: Column) -> Column:
     """SHA-256 of the distinct ids, sorted and joined by NUL."""
     return F.sha2(F.array_join(F.array_sort(F.array_distinct(ids)), "\0"), 256)
+
+
+def figure_caption(c: Column) -> Column:
+    """First caption of a figure on a page: ``Рис. 3 ...`` or ``Figure 3 ...`` up to the line's end; null if none."""
+    found = F.regexp_extract(c, r"(?m)^\s*((?:Рис\.|Рисунок|Figure|Fig\.)\s*\d+[^\n]*)", 1)
+    return F.nullif(trim(found), F.lit(""))
+
+
+def numbered_heading(line: Column) -> Column:
+    """``1.2 Title`` as a markdown heading one level deeper for each dot; other lines as they are."""
+    number = F.regexp_extract(line, r"^\s*(\d+(?:\.\d+)*)\.?\s+\p{Lu}", 1)
+    depth = F.least(F.lit(6), F.length(number) - F.length(F.replace(number, F.lit("."))) + 2)
+    short = (number != "") & (F.length(line) <= 120) & ~line.rlike(r"[.;,]\s*$")
+    return F.when(short, F.concat(F.repeat(F.lit("#"), depth), F.lit(" "), trim(line))).otherwise(line)

@@ -171,3 +171,10 @@ def composite(chunk: Column, ndcg: Column, correct: Column) -> Column:
 
 def composite_label(score: Column) -> Column:
     return F.when(score >= 100 * GOOD, "good").when(score >= 100 * FAIR, "fair").otherwise("weak")
+
+
+def markdown_report(title: str, table: DataFrame, order: str) -> str:
+    """A report of an aggregate, which is a handful of rows, as a markdown table."""
+    rows = table.orderBy(order).collect()
+    head = "| " + " | ".join(table.columns) + " |\n|" + " --- |" * len(table.columns)
+    return f"# {title}\n\n{head}\n" + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in rows)

@@ -74,7 +74,8 @@ def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
-    return parts.withColumn("place", place).join(F.broadcast(starts), "part").withColumn(name, (F.col("start") + F.col("place")).cast("int")).drop("part", "place", "start")
+    counted = parts.withColumn("within", place).join(F.broadcast(starts), "part")
+    return counted.withColumn(name, (F.col("start") + F.col("within")).cast("int")).drop("part", "within", "start")
 
 
 def community_texts(components: DataFrame, entities: DataFrame) -> DataFrame:
@@ -96,3 +97,17 @@ def entity_text(type_: Column, name: Column, properties: Column | None = None) -
         return head
     pairs = F.array_sort(F.transform(F.map_entries(properties), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return F.when(F.size(pairs) > 0, F.concat(head, F.lit(" ("), F.array_join(pairs, "; "), F.lit(")"))).otherwise(head)
+
+
+def search(entities: DataFrame, edges: DataFrame, words: list[str], hops: int = 1) -> DataFrame:
+    """``(id, rank, score, text)``: entities whose name holds one of the words, then what lies within ``hops`` of them.
+
+    Seeds come first, then by distance and id; the score is 1 / rank. At most the reached entities are ranked.
+    """
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.lower("name").contains(w.lower())
+    reached = within_hops(edges, entities.where(hit), hops)
+    rows = reached.join(entities.select(F.lower("id").alias("id"), entity_text(F.col("type"), F.col("name")).alias("text")), "id")
+    out = numbered(rows.withColumn("order", F.struct("hop", "id")), "order", "place")
+    return out.select("id", (F.col("place") + 1).alias("rank"), F.round(1.0 / (F.col("place") + 1), 6).alias("score"), "text")

@@ -96,3 +96,17 @@ def with_references(tree: DataFrame, starts: DataFrame, depth: int) -> DataFrame
         frontier = step.join(seen.select("document_id", "node_no"), ["document_id", "node_no"], "left_anti").withColumn("hop", F.lit(h))
         seen = seen.unionByName(frontier)
     return seen
+
+
+def picked_nodes(tree: DataFrame, picks: list[tuple[str, int]], depth: int = 1) -> DataFrame:
+    """``(document_id, node_no, rank, score, title, body)`` of the nodes a model picked, in its order, then of what they refer to.
+
+    ``picks`` are (document_id, node_no) of one request; the score is 1 / rank. Unknown picks are passed over.
+    """
+    spark = tree.sparkSession
+    asked = spark.createDataFrame([(d, n, i) for i, (d, n) in enumerate(dict.fromkeys(picks))], "document_id string, node_no int, pick int")
+    near = with_references(tree, asked, depth).join(asked, ["document_id", "node_no"], "left")
+    rows = tree.select("document_id", "node_no", "title", "body").join(F.broadcast(near), ["document_id", "node_no"])
+    order = Window.orderBy("hop", "pick", "document_id", "node_no")  # the nodes of one request
+    rows = rows.withColumn("rank", F.row_number().over(order))
+    return rows.select("document_id", "node_no", "rank", F.round(1.0 / F.col("rank"), 6).alias("score"), "title", "body")

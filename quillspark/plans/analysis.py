@@ -169,6 +169,26 @@ def element_nearest(s, d):
     return A.nearest_chunk(_elements(s, d), chunks(s, d))
 
 
+def element_texts(s, d):
+    """Chunks with the heading of their section appended as a table's caption, unless it is there already."""
+    rows = chunks(s, d).where("text is not null").join(section_asof(s, d).where("section is not null"), ["document_id", "chunk_id"])
+    text = A.with_element(F.col("text"), "Table", F.concat(F.lit("t-"), "chunk_id"), F.col("section"))
+    return rows.select("chunk_id", F.sha2(text, 256).alias("hash"))
+
+
+def numbered_headings(s, d):
+    """Lines that a loader turns into headings by their numbers: of the contents without their own marks."""
+    rows = P.split_lines(documents(s, d)).withColumn("line", F.regexp_replace("line", r"^#+\s+", ""))
+    return rows.withColumn("made", X.numbered_heading(F.col("line"))).where("made <> line").select("document_id", "line_no", "made")
+
+
+def graph_search(s, d):
+    """Nations and regions by a word, with what is one step away."""
+    n = table(s, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit("Nation").alias("type"), F.col("n_name").alias("name"))
+    r = table(s, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("Region").alias("type"), F.col("r_name").alias("name"))
+    return G.search(n.unionByName(r), _edges(s, d).where("to_id like 'r%'"), ["an", "asia"], 1)
+
+
 def image_dedup(s, d):
     """Pages as stand-ins for images: a content that comes again in a document counts once."""
     rows = table(s, d, "page_block").select("document_id", "page_number", F.concat_ws("-", "document_id", "page_number").alias("image_id"), F.encode("body", "UTF-8").alias("data"))
@@ -349,7 +369,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         chunk_quality, token_quality, size_histogram, dup_chunks, coverage_intervals, line_coverage, table_integrity, boundary_defects, metadata_faults,
         retrieval_metrics, relevance_judgements, answer_grounding, extractive_answers, cost_model, composite_score, page_overlap, section_asof, element_attach,
-        element_nearest, image_dedup, entity_dedup, connected_components, khop_traverse, community_texts, entity_texts, heading_tree, descendants, ancestors, siblings,
+        element_nearest, element_texts, numbered_headings, graph_search, image_dedup, entity_dedup, connected_components, khop_traverse, community_texts, entity_texts, heading_tree, descendants, ancestors, siblings,
         cross_refs, formal_references, version_guard, version_guard_tenant, latest_versions, stream_version_guard, conversation_ttl, summary_cache_key,
         summary_cache_evict, events_tumbling, events_sessions, docx_scan, xlsx_scan,
     )
@@ -436,6 +456,15 @@ SQL: dict[str, str] = {
         FROM {_HEAD} e JOIN {CHUNKS} c USING (document_id) JOIN {_SECTIONS} s ON s.chunk_id = c.chunk_id AND s.document_id = c.document_id)) WHERE r = 1""",
     "element_nearest": f"""SELECT document_id, element_id, chunk_id FROM (SELECT e.document_id, e.document_id || '@' || e.line_no AS element_id, c.chunk_id,
         row_number() OVER (PARTITION BY e.document_id, e.line_no ORDER BY abs(e.off - c.start_char_offset), c.chunk_index) AS r FROM {_HEAD} e JOIN {CHUNKS} c USING (document_id)) WHERE r = 1""",
+    "element_texts": f"""SELECT chunk_id, sha256(CASE WHEN contains(lower(text), lower('t-' || chunk_id)) OR contains(lower(text), lower(section)) THEN text
+        ELSE text || chr(10) || '[Table t-' || chunk_id || ']' || chr(10) || section END) AS hash FROM {CHUNKS} c JOIN {_SECTIONS} x USING (document_id, chunk_id) WHERE text IS NOT NULL AND section IS NOT NULL""",
+    "numbered_headings": rf"""SELECT document_id, line_no::INTEGER AS line_no, repeat('#', least(6, length(n) - length(replace(n, '.', '')) + 2)::INTEGER) || ' ' || {_TRIM.format('line')} AS made FROM (
+        SELECT document_id, line_no, line, regexp_extract(line, '^\s*(\d+(?:\.\d+)*)\.?\s+\p{{Lu}}', 1) AS n FROM (SELECT document_id, line_no, regexp_replace(line, '^#+\s+', '') AS line FROM {_LINES.format('')}))
+        WHERE n <> '' AND length(line) <= 120 AND NOT regexp_matches(line, '[.;,]\s*$')""",
+    "graph_search": """WITH v AS (SELECT 'n' || n_nationkey AS id, 'Nation: ' || n_name AS text, lower(n_name) AS low FROM nation UNION ALL SELECT 'r' || r_regionkey, 'Region: ' || r_name, lower(r_name) FROM region),
+        e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation), s AS (SELECT id FROM v WHERE contains(low, 'an') OR contains(low, 'asia')),
+        h AS (SELECT id, 0 AS hop FROM s UNION ALL SELECT b, 1 FROM e WHERE a IN (FROM s) UNION ALL SELECT a, 1 FROM e WHERE b IN (FROM s))
+        SELECT id, rank::INTEGER AS rank, round(1.0::DOUBLE / rank, 6) AS score, text FROM (SELECT id, row_number() OVER (ORDER BY hop, id) AS rank, text FROM (SELECT id, min(hop) AS hop FROM h GROUP BY id) JOIN v USING (id))""",
     "image_dedup": """SELECT document_id, page_number, image_id FROM (SELECT document_id, page_number, document_id || '-' || page_number AS image_id, row_number() OVER (PARTITION BY document_id, sha256(body) ORDER BY page_number, document_id || '-' || page_number) AS r
         FROM page_block WHERE octet_length(encode(body)) >= 600) WHERE r = 1""",
     "entity_dedup": f"""SELECT DISTINCT ON (lower(name)) id, type, name FROM (SELECT document_id AS id, metadata.document_type AS type, metadata.author AS name FROM {DOCUMENTS} WHERE metadata.author IS NOT NULL) ORDER BY lower(name), id""",

@@ -336,3 +336,13 @@ def test_engine(spark, tmp_path):
     with pytest.raises(ValueError):
         e.retrieve(store, [("q", "x")], 1, "other")
     assert not Features({"a": {"b": "yes"}}).enabled("a.b") and Features({"a": {"b": True}}).enabled("a.b") and not Features().enabled("a")
+
+
+def test_captions_reports_and_picks(spark):
+    assert one(spark, X.figure_caption, "text\n Рис. 3 Схема\nmore") == "Рис. 3 Схема" and one(spark, X.figure_caption, "none") is None
+    assert one(spark, X.numbered_heading, "1.2 Title") == "### 1.2 Title" and one(spark, X.numbered_heading, "12 units came.") == "12 units came."
+    table = spark.createDataFrame([("b", None), ("a", 1)], "k string, v int")
+    assert evaluate.markdown_report("T", table, "k") == "# T\n\n| k | v |\n| --- | --- |\n| a | 1 |\n| b |  |\n"
+    tree = structure.heading_tree(spark.createDataFrame([("d", "# A\nsee § 2\n# §2 Law\ntext")], "document_id string, content string"))
+    got = structure.picked_nodes(tree, [("d", 1), ("d", 9), ("d", 1)]).orderBy("rank").collect()
+    assert [(r["node_no"], r["score"]) for r in got] == [(1, 1.0), (2, 0.5)]
