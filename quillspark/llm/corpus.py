@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,13 @@ def distinct_chunks(chunks: DataFrame, columns: list[str]) -> DataFrame:
     """Each chunk_id once, with ``columns``; its repeated rows have equal content."""
     rest = [c for c in columns if c != "chunk_id"]
     return chunks.groupBy("chunk_id").agg(*(F.first(c).alias(c) for c in rest)).select(*columns)
+
+
+def about(key: str, wanted: int, rows: int) -> Column:
+    """Condition that keeps about 1.5 times ``wanted`` of ``rows`` rows by the hash of their key, all of them where there are fewer.
+
+    A sample that is then ordered and limited sends the driver its own size, not that size
+    from every partition.
+    """
+    share = 1.5 * wanted / max(rows, 1)
+    return F.lit(True) if share >= 1 else F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.corpus import about
 from quillspark.llm.rolling import INVERSE, joined_codes, mix, normalise, powers, prefix_sums
 from quillspark.llm.rules import DecisionList, learn
 from quillspark.runtime import checkpoint, ship
@@ -141,7 +142,7 @@ def fit(stats: DataFrame, key: str, share: float = SHARE, sample_rows: int = SAM
     The label is the exact share against ``share``; the same value is offered to the
     learner as a threshold beside the midpoints of the sample.
     """
-    sample = stats.orderBy(F.xxhash64(key), key).limit(sample_rows).select(*STATISTICS).toPandas()
+    sample = stats.where(about(key, sample_rows, stats.count())).orderBy(F.xxhash64(key), key).limit(sample_rows).select(*STATISTICS).toPandas()
     x = sample[STATISTICS].to_numpy(np.float64)
     return learn(x, x[:, 0] >= share, STATISTICS, offered={"repeated_share": [share]})
 
