@@ -4,7 +4,9 @@ Equal vectors of a model are one class. Every class is put on several Hilbert cu
 each over another random projection with another shift; the curves are range-partitioned
 and sorted by Spark, and each class meets the classes in a window after it. Pairs whose
 compact codes are similar enough are merged over the curves and reranked by the exact
-cosine. Recall is measured in tests and in the README; nothing is capped.
+cosine. A class that meets many similar ones lies in a crowd which windows can't see
+whole; such classes are searched exactly among all of their model. Recall is measured
+in tests and in the README; nothing is capped.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ DIMENSIONS, NEAREST, LEAST_COSINE = 64, 5, 0.90
 CURVES, AXES, BITS, WINDOW = 14, 16, 3, 24
 #: By how much the cosine of two codes (64 bytes) may fall short of that of the vectors.
 CODE_SLACK = 0.02
+#: A class with so many similar partners on the curves is searched exactly.
+CROWDED = 2 * NEAREST
+#: Crowded classes that one task of the exact search holds, and rows of a matrix product there.
+HELD, STEP = 32768, 2048
 SEED = 20
 
 
@@ -190,6 +196,105 @@ def exact_cosines(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint, cosine double")
 
 
+def crowded_classes(pairs: DataFrame) -> DataFrame:
+    """``(class_id)`` of the classes with at least CROWDED partners in ``pairs``."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id"))
+    return ends.groupBy("class_id").agg(F.count("*").alias("n")).where(F.col("n") >= CROWDED).select("class_id")
+
+
+def _best(cosine: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Columns of the NEAREST greatest of each row, of equal ones those of the least place."""
+    if cosine.shape[1] > 8 * NEAREST:
+        # no column under the row's NEAREST-th greatest counts; ties at it all stay
+        fifth = np.partition(cosine, -NEAREST, axis=1)[:, -NEAREST]
+        some = cosine >= fifth[:, None]
+        width = int(some.sum(1).max())
+        if width <= 8 * NEAREST:
+            cols = np.argsort(~some, axis=1, kind="stable")[:, :width]
+            row = np.arange(len(cols))[:, None]
+            return cols[row, np.lexsort((place[cols], -cosine[row, cols]), axis=1)[:, :NEAREST]]
+    return np.lexsort((np.broadcast_to(place, cosine.shape), -cosine), axis=1)[:, :NEAREST]
+
+
+def crowd_search(crowded: DataFrame, rows: DataFrame, firsts: DataFrame, least: float, partitions: int) -> DataFrame:
+    """``(a, b, cosine)``: for each class of ``crowded`` its NEAREST most similar classes ``b`` of the model, if at least ``least``.
+
+    The crowded classes are held in parts of about HELD; all classes stream past each part
+    in salted blocks, each task keeping a running best NEAREST of every class it holds. Equal
+    cosines (at twelve places) rank by the smallest chunk id of the class (``firsts``).
+    """
+    count = crowded.count()
+    source = rows.join(firsts, "class_id").select("class_id", F.xxhash64("model_id").alias("model"), "first", "vector")
+    parts = max(1, -(-count // HELD))
+    salts = max(1, -(-partitions // parts))
+    hashed = F.xxhash64("class_id", F.lit(SEED))
+    part, salt = F.pmod(hashed, F.lit(parts)), F.pmod(F.shiftright(hashed, 20), F.lit(salts))
+    asked = source.join(crowded, "class_id").select("*", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(False).alias("passing"))
+    passing = source.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), salt.alias("salt"), F.lit(True).alias("passing"))
+    columns = [F.col("part").cast("int").alias("part"), F.col("salt").cast("int").alias("salt"), "passing", "class_id", "model", "first", "vector"]
+    both = asked.select(*columns).unionByName(passing.select(*columns)).repartition(partitions, "part", "salt").sortWithinPartitions("part", "salt", "passing")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, best = None, [], None
+
+        def result() -> pa.RecordBatch:
+            ids, _, _, cosine, other, first = best
+            row, col = np.nonzero(cosine >= least - 1e-9)
+            columns = [pa.array(ids[row]), pa.array(other[row, col]), pa.array(cosine[row, col]), pa.array(first[row, col].tolist(), pa.string())]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "cosine", "first"])
+
+        def begin() -> tuple:
+            ids, models, x = (np.concatenate(c) for c in zip(*held))
+            shape = (len(ids), NEAREST)
+            return ids, models, x, np.full(shape, -2.0), np.zeros(shape, np.int64), np.full(shape, "", object)
+
+        for batch in batches:
+            where = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+            passes = batch.column(2).to_numpy(zero_copy_only=False)
+            ids, models, names = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(zero_copy_only=False)
+            x = _matrix(batch.column(6), "<f4", DIMENSIONS).astype(np.float64)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            change = (where[1:] != where[:-1]).any(1) | (passes[1:] != passes[:-1])
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(ids)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if group != tuple(where[lo]):
+                    if best is not None:
+                        yield result()
+                    group, held, best = tuple(where[lo]), [], None
+                if not passes[lo]:
+                    held.append((ids[lo:hi], models[lo:hi], x[lo:hi]))
+                    continue
+                if best is None:
+                    if not held:
+                        continue
+                    best = begin()
+                for m in range(lo, hi, STEP):
+                    n = min(hi, m + STEP)
+                    for i in range(0, len(best[0]), STEP):
+                        q = slice(i, i + STEP)
+                        cosine = np.round(best[2][q] @ x[m:n].T, 12)
+                        cosine[(best[1][q][:, None] != models[m:n][None]) | (best[0][q][:, None] == ids[m:n][None])] = -2
+                        place = np.argsort(np.argsort(names[m:n], kind="stable"), kind="stable")
+                        col = _best(cosine, place)
+                        new = np.take_along_axis(cosine, col, 1)
+                        # the running best of each row and those of this block, ranked together
+                        c = np.concatenate([best[3][q], new], 1)
+                        o = np.concatenate([best[4][q], ids[m:n][col]], 1)
+                        f = np.concatenate([best[5][q], names[m:n][col]], 1)
+                        rank = np.unique(f, return_inverse=True)[1].reshape(f.shape)
+                        keep = np.lexsort((rank, -c), axis=1)[:, :NEAREST]
+                        for k, v in ((3, c), (4, o), (5, f)):
+                            best[k][q] = np.take_along_axis(v, keep, 1)
+        if best is not None:
+            yield result()
+
+    found = both.mapInArrow(run, "a bigint, b bigint, cosine double, first string")
+    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "first")
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= NEAREST).select("a", "b", "cosine")
+
+
 def similar_pairs(embedded: DataFrame, stored: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """``(chunk_id_a, chunk_id_b)``, the smaller id first: cosine of at least ``least`` under one model,
     and either among the NEAREST most similar of the other, where equal cosines rank by chunk id.
@@ -202,11 +307,21 @@ def similar_pairs(embedded: DataFrame, stored: DataFrame, least: float = LEAST_C
     vectors = current_vectors(embedded, stored)
     vectors = checkpoint(vectors.withColumn("class_id", F.xxhash64("model_id", "vector")))
     rows = classes(vectors)
-    pairs = window_pairs(on_curves(rows), least, shuffle_partitions(spark))
+    ids = first_members(vectors)
+    pairs = checkpoint(window_pairs(on_curves(rows), least, shuffle_partitions(spark)))
+    crowded = checkpoint(crowded_classes(pairs))
+    some = not crowded.isEmpty()
+    if some:
+        # the ranking of a crowded class comes from the exact search, that of the others from the curves
+        marked = [crowded.select(F.col("class_id").alias(e), F.lit(True).alias(f"{e}_crowded")) for e in "ab"]
+        pairs = pairs.join(marked[0], "a", "left").join(marked[1], "b", "left").where("a_crowded is null or b_crowded is null").select("a", "b")
     linked = exact_cosines(pairs, rows, least)
     either = F.array(F.struct("a", "b", "cosine"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     both = linked.select(F.inline(either))
-    ids = first_members(vectors)
+    if some:
+        firsts = vectors.groupBy("class_id").agg(F.min("chunk_id").alias("first"))
+        searched = crowd_search(crowded, rows, firsts, least, shuffle_partitions(spark))
+        both = both.join(crowded.withColumnRenamed("class_id", "a"), "a", "left_anti").unionByName(searched)
     # for each class its own first members and those of the classes nearest to it; a class
     # beyond the NEAREST nearest can't be among the NEAREST most similar of any member
     near = both.join(ids.withColumnRenamed("class_id", "b"), "b")

@@ -379,3 +379,21 @@ def test_exact_neighbours(spark, monkeypatch):
         mine = [r["neighbour_id"] for r in sorted((r for r in rows if r["chunk_id"] == ids[i]), key=lambda r: r["rank"])]
         want = sorted((j for j in range(90) if j != i and bool(j % 3) == bool(i % 3)), key=lambda j: -c[i, j])[:5]
         assert mine == [ids[j] for j in want]
+
+
+def test_neighbours_in_a_crowd(spark):
+    """A third of the rows are noisy copies of one vector, at a cosine of about 0.93 to each other."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x[:1000] = x[0] + rng.normal(size=(1000, 64)).astype(np.float32) * np.float32(0.27)
+    ids = [f"c{i:04d}" for i in range(len(x))]
+    e = spark.createDataFrame([(i, "m", None, v.tolist()) for i, v in zip(ids, x)], "chunk_id string, model_id string, embedded_at timestamp, vector array<float>")
+    s = spark.createDataFrame([], "chunk_id string, model_id string, vector binary")
+    got = {tuple(r) for r in neighbours.similar_pairs(e, s).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cosine = u @ u.T
+    np.fill_diagonal(cosine, -2)
+    best = np.argsort(-cosine, axis=1)[:, :5]
+    want = {tuple(sorted((ids[i], ids[j]))) for i in range(len(x)) for j in best[i] if cosine[i, j] >= 0.9}
+    assert len(want) > 3000 and got == want
