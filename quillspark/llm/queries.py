@@ -70,8 +70,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repaired text of every page."""
-    return scans.paragraphs(table(spark, sf_dir, "page_block"), table(spark, sf_dir, "loaded_document"))
+    """Repaired paragraphs of every scanned document, over its page ends."""
+    return scans.document_paragraphs(table(spark, sf_dir, "page_block"), table(spark, sf_dir, "loaded_document"))
 
 
 def p6_budget(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.corpus import current_documents
 from quillspark.runtime import checkpoint, ship
 
 #: Lines from either end of a page that may be running lines or page numbers.
@@ -46,6 +47,7 @@ _LEAD, _TRAIL = r"""[ .,;:?…«»"„“”()\[\]{}¿¡'’|*~—–]*""", r"""
 _CASELESS = ("III", "JI", "IO", "I<")
 _CODE = re.compile(r"[A-Z]{1,4}-\d[\dA-Z]*|\w*[./]\w*|v?\d[\d.,:/-]*", re.I)
 _MARKER = re.compile(r"\s*##\s*page\s*(\d+)\s*", re.I)
+_PAGE_MARK = re.compile(r"\s*##\s*(\S+)\s*(\S+)\s*")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "c": 100}
 
 
@@ -330,6 +332,83 @@ def found(pages: DataFrame, loaded: DataFrame) -> DataFrame:
     return hyphen.unionByName(misread).unionByName(noise).unionByName(marker).distinct()
 
 
+def _whole() -> Column:
+    """A token with its word put right, in its own punctuation."""
+    edges = f"^({_LEAD})(.*?)({_TRAIL})$"
+    return F.when(F.col("right").isNull(), F.col("token")).otherwise(
+        F.concat(F.regexp_extract("token", edges, 1), F.col("right"), F.regexp_extract("token", edges, 3))
+    )
+
+
+def split_pages(content: str) -> list[tuple[int, str | None, str]]:
+    """``(page_number, header, body)`` of a content, parted at its page markers, damaged ones included.
+
+    A marker's number counts if it can be that of a later page; else the page is the next one.
+    """
+    out: list[tuple[int, str | None, str]] = []
+    number, header, lines = 1, None, []
+    last = 0
+    for line in [*content.replace("\r\n", "\n").replace("\r", "\n").split("\n"), None]:
+        mark = line is not None and _PAGE_MARK.fullmatch(line)
+        if line is not None and not (mark and fold(mark[1]) == fold("page")):
+            lines.append(line)
+            continue
+        if header is not None or any(x.strip() for x in lines):
+            out.append((number, header, "\n".join(lines).strip("\n")))
+            last = number
+        if line is not None:
+            later = {n for n in _number(mark[2]) if n > last}
+            number = last + 1 if last + 1 in later or not later else min(later)
+            header, lines = line, []
+    return out
+
+
+def all_pages(pages: DataFrame, loaded: DataFrame) -> DataFrame:
+    """``(document_id, page_number, header, body)``: page_block, and what pages of the current .pdf contents it lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int32(), pa.string(), pa.string()]
+        for batch in batches:
+            rows = [(doc, *page) for doc, text in zip(*(c.to_pylist() for c in batch.columns)) for page in split_pages(text)]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    names = ["document_id", "page_number", "header", "body"]
+    current = current_documents(loaded).where(F.lower("source_path").endswith(".pdf") & F.col("content").isNotNull() & F.col("document_id").isNotNull())
+    split = current.select("document_id", "content").mapInArrow(run, "document_id string, page_number int, header string, body string")
+    known = pages.where("body is not null").select("document_id", "page_number").distinct()
+    return pages.select(*names).unionByName(split.join(known, ["document_id", "page_number"], "left_anti"))
+
+
+def document_paragraphs(pages: DataFrame, loaded: DataFrame) -> DataFrame:
+    """``(document_id, paragraph_no, first_page, last_page, text)``: the repaired paragraphs of each document, from 0.
+
+    A paragraph runs on over page ends, also over pages without body lines, but not over a
+    page number that is missing. Paragraphs are counted by pages, so that no task holds
+    the words of a whole document.
+    """
+    ship(pages.sparkSession)
+    pages = checkpoint(all_pages(pages, loaded))
+    _, tokens = repaired(pages, loaded)
+    key = ["document_id", "page_number"]
+    before = Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    tokens = tokens.withColumn("within", F.coalesce(F.sum(F.col("ends_paragraph").cast("int")).over(before), F.lit(0)))
+    each = tokens.groupBy(*key).agg(F.count_if("ends_paragraph").alias("ends"), F.max_by("ends_paragraph", "place").alias("closed"))
+    in_order = Window.partitionBy("document_id").orderBy("page_number")
+    # page numbers less places: it changes where a number is missing
+    present = pages.select(*key).distinct().withColumn("gap", F.col("page_number") - F.row_number().over(in_order))
+    each = each.join(present, key)
+    cut = F.coalesce(~F.lag("closed").over(in_order) & (F.lag("gap").over(in_order) != F.col("gap")), F.lit(False))
+    each = each.withColumn("cut", cut.cast("int"))
+    earlier = F.coalesce(F.sum("ends").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = F.sum("cut").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    starts = each.select(*key, (earlier + cuts).alias("start"))
+    rows = tokens.join(starts, key).withColumn("paragraph_no", (F.col("start") + F.col("within")).cast("int"))
+    ordered = F.array_sort(F.collect_list(F.struct("page_number", "place", _whole().alias("piece"))))
+    grouped = rows.groupBy("document_id", "paragraph_no").agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"), ordered.alias("pieces"))
+    return grouped.select("document_id", "paragraph_no", "first_page", "last_page", F.array_join("pieces.piece", " ").alias("text"))
+
+
 def paragraphs(pages: DataFrame, loaded: DataFrame) -> DataFrame:
     """``(document_id, page_number, text)``: the repaired text of each page, paragraphs parted by blank lines.
 
@@ -337,11 +416,7 @@ def paragraphs(pages: DataFrame, loaded: DataFrame) -> DataFrame:
     body lines have no row.
     """
     _, tokens = repaired(pages, loaded)
-    edges = f"^({_LEAD})(.*?)({_TRAIL})$"
-    whole = F.when(F.col("right").isNull(), F.col("token")).otherwise(
-        F.concat(F.regexp_extract("token", edges, 1), F.col("right"), F.regexp_extract("token", edges, 3))
-    )
-    piece = F.concat(whole, F.when(F.col("ends_paragraph"), "\n\n").otherwise(" "))
+    piece = F.concat(_whole(), F.when(F.col("ends_paragraph"), "\n\n").otherwise(" "))
     ordered = F.array_sort(F.collect_list(F.struct("place", piece.alias("piece"))))
     rows = tokens.groupBy("document_id", "page_number").agg(ordered.alias("pieces"))
     text = F.rtrim(F.array_join(F.col("pieces.piece"), ""))

@@ -397,3 +397,19 @@ def test_neighbours_in_a_crowd(spark):
     best = np.argsort(-cosine, axis=1)[:, :5]
     want = {tuple(sorted((ids[i], ids[j]))) for i in range(len(x)) for j in best[i] if cosine[i, j] >= 0.9}
     assert len(want) > 3000 and got == want
+
+
+def test_paragraphs_run_on_over_pages(spark):
+    line = "the manual power feed of the pilot line confirms the badge reader"
+    pages = [("d", 1, "## Page 1", f"{line}\n{line}\nends here.\n{line} and\nthe unfini-\n- 1 -"), ("d", 2, None, "- 2 -"), ("d", 3, "## Page 3", f"shed {line}\n{line}\nstops.\n- 3 -"),
+             ("d", 5, "## Page 5", f"alone {line}\n{line} with\n- 5 -"), ("d", 6, "## Page 6", f"more of {line}\n- 6 -")]
+    table = spark.createDataFrame(pages, "document_id string, page_number int, header string, body string")
+    content = f"## Page 1\nfirst {line}\n{line} goes\n- 1 -\n\n## Paqe Z\non {line}\nto its end.\n- 2 -"
+    text = loaded(spark, ("e", "old", "e.pdf", None), ("e", content, "e.PDF", None), ("d", None, "d.pdf", None), ("f", content, "f.md", None))
+    got = {(r["document_id"], r["paragraph_no"]): (r["first_page"], r["last_page"], r["text"]) for r in scans.document_paragraphs(table, text).collect()}
+    assert got[("d", 0)] == (1, 1, f"{line} {line} ends here.")
+    assert got[("d", 1)][:2] == (1, 3) and got[("d", 1)][2].endswith("stops.")
+    assert got[("d", 2)] == (5, 6, f"alone {line} {line} with more of {line}")
+    assert got[("e", 0)] == (1, 2, f"first {line} {line} goes on {line} to its end.")
+    assert sorted(got) == [("d", 0), ("d", 1), ("d", 2), ("e", 0)]
+    assert scans.split_pages("a\n## Pagе l\r\nb\n\n## PAGE lO\nc") == [(1, None, "a"), (2, "## Pagе l", "b"), (10, "## PAGE lO", "c")]
