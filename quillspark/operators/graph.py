@@ -90,6 +90,24 @@ def community_texts(components: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.groupBy("community_id").agg(F.count("*").alias("members"), F.concat(F.lit("Members: "), F.array_join(parts, ", ")).alias("text"))
 
 
+def community_blocks(components: DataFrame, entities: DataFrame, block: int = 500) -> DataFrame:
+    """``(community_id, block_no, members, text)``: as community_texts, with at most ``block`` members a row.
+
+    The blocks of a community are numbered from 0 in the order of its members by type, name
+    and id, so that a community of any size never gathers in one task.
+    """
+    order = numbered(components.select("component").distinct(), "component", "community_id")
+    rows = components.join(order, "component").join(entities.select(F.lower("id").alias("id"), "type", "name"), "id")
+    rows = rows.select("community_id", F.concat_ws(": ", "type", "name").alias("member"), "id")
+    placed = numbered(rows.withColumn("order", F.struct("community_id", "member", "id")), "order", "place")
+    placed = checkpoint(placed.select("community_id", "member", "id", "place"))
+    # one row for each community, reduced before the shuffle
+    first = placed.groupBy("community_id").agg(F.min("place").alias("first"))
+    rows = placed.join(first, "community_id").withColumn("block_no", F.floor((F.col("place") - F.col("first")) / block).cast("int"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "member"))), lambda x: x["member"])
+    return rows.groupBy("community_id", "block_no").agg(F.count("*").alias("members"), F.concat(F.lit("Members: "), F.array_join(parts, ", ")).alias("text"))
+
+
 def entity_text(type_: Column, name: Column, properties: Column | None = None) -> Column:
     """``Type: Name (k=v; ...)`` with the properties in order of their keys."""
     head = F.concat_ws(": ", type_, name)

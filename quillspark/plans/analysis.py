@@ -189,6 +189,11 @@ def graph_search(s, d):
     return G.search(n.unionByName(r), _edges(s, d).where("to_id like 'r%'"), ["an", "asia"], 1)
 
 
+def graph_search_all(s, d):
+    """Entities of the whole graph by a word, customers and suppliers included, with what is within two steps."""
+    return G.search(_entities(s, d), _edges(s, d), ["an", "asia"], 2)
+
+
 def image_dedup(s, d):
     """Pages as stand-ins for images: a content that comes again in a document counts once."""
     rows = table(s, d, "page_block").select("document_id", "page_number", F.concat_ws("-", "document_id", "page_number").alias("image_id"), F.encode("body", "UTF-8").alias("data"))
@@ -214,6 +219,15 @@ def _edges(s, d):
     return c.unionByName(u).unionByName(pair(table(s, d, "nation"), ("n", "n_nationkey"), ("r", "n_regionkey")))
 
 
+def _entities(s, d):
+    """All vertices of the graph of _edges: customers, suppliers, nations and regions."""
+    def kind(name, letter, key, label):
+        return table(s, d, name).select(F.concat(F.lit(letter), key).alias("id"), F.lit(name.capitalize()).alias("type"), F.col(label).alias("name"))
+
+    c, u = kind("customer", "c", "c_custkey", "c_name"), kind("supplier", "s", "s_suppkey", "s_name")
+    return c.unionByName(u).unionByName(kind("nation", "n", "n_nationkey", "n_name")).unionByName(kind("region", "r", "r_regionkey", "r_name"))
+
+
 def connected_components(s, d):
     return G.connected_components(_edges(s, d))
 
@@ -227,6 +241,11 @@ def community_texts(s, d):
     return G.community_texts(G.connected_components(_edges(s, d)), names)
 
 
+def community_texts_all(s, d):
+    """The communities with all their members, in blocks of 500."""
+    return G.community_blocks(G.connected_components(_edges(s, d)), _entities(s, d))
+
+
 def entity_texts(s, d):
     props = F.map_from_arrays(F.array(F.lit("silo"), F.lit("office")), F.array("metadata.silo", "metadata.office"))
     rows = documents(s, d).where("metadata.silo is not null and metadata.office is not null")
@@ -369,7 +388,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         chunk_quality, token_quality, size_histogram, dup_chunks, coverage_intervals, line_coverage, table_integrity, boundary_defects, metadata_faults,
         retrieval_metrics, relevance_judgements, answer_grounding, extractive_answers, cost_model, composite_score, page_overlap, section_asof, element_attach,
-        element_nearest, element_texts, numbered_headings, graph_search, image_dedup, entity_dedup, connected_components, khop_traverse, community_texts, entity_texts, heading_tree, descendants, ancestors, siblings,
+        element_nearest, element_texts, numbered_headings, graph_search, graph_search_all, image_dedup, entity_dedup, connected_components, khop_traverse, community_texts, community_texts_all, entity_texts, heading_tree, descendants, ancestors, siblings,
         cross_refs, formal_references, version_guard, version_guard_tenant, latest_versions, stream_version_guard, conversation_ttl, summary_cache_key,
         summary_cache_evict, events_tumbling, events_sessions, docx_scan, xlsx_scan,
     )
@@ -392,6 +411,8 @@ _JUDGED = f"""(SELECT query_id, rank, chunk_id, (len(hf) >= least(2, len(facts))
     SELECT r.*, c.text, {_list(FACTS)} AS facts, {_list(KEYWORDS)} AS keys FROM {bm25_sql(10, _ALL)} r JOIN {_ALL} c USING (chunk_id))))"""
 _EDGES = """(SELECT lower(a) AS a, lower(b) AS b FROM (SELECT 'C' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier
     UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation))"""
+_ENTITIES = """(SELECT 'c' || c_custkey AS id, 'Customer' AS type, c_name AS name FROM customer UNION ALL SELECT 's' || s_suppkey, 'Supplier', s_name FROM supplier
+  UNION ALL SELECT 'n' || n_nationkey, 'Nation', n_name FROM nation UNION ALL SELECT 'r' || r_regionkey, 'Region', r_name FROM region)"""
 _MEMBERS = """(SELECT n_regionkey AS r, 'c' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT n_regionkey, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
     UNION SELECT n_regionkey, 'n' || n_nationkey FROM nation UNION SELECT n_regionkey, 'r' || n_regionkey FROM nation)"""
 _NODES = rf"""nodes AS MATERIALIZED (SELECT document_id, node_no, max(level) AS level, max(title) AS title, {_TRIM.format("coalesce(string_agg(CASE WHEN level IS NULL THEN line END, chr(10) ORDER BY line_no), '')")} AS body FROM (
@@ -465,6 +486,9 @@ SQL: dict[str, str] = {
         e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation), s AS (SELECT id FROM v WHERE contains(low, 'an') OR contains(low, 'asia')),
         h AS (SELECT id, 0 AS hop FROM s UNION ALL SELECT b, 1 FROM e WHERE a IN (FROM s) UNION ALL SELECT a, 1 FROM e WHERE b IN (FROM s))
         SELECT id, rank::INTEGER AS rank, round(1.0::DOUBLE / rank, 6) AS score, text FROM (SELECT id, row_number() OVER (ORDER BY hop, id) AS rank, text FROM (SELECT id, min(hop) AS hop FROM h GROUP BY id) JOIN v USING (id))""",
+    "graph_search_all": f"""WITH v AS MATERIALIZED {_ENTITIES}, e AS MATERIALIZED (SELECT a, b FROM {_EDGES} UNION SELECT b, a FROM {_EDGES}), s AS (SELECT id FROM v WHERE contains(lower(name), 'an') OR contains(lower(name), 'asia')),
+        h1 AS MATERIALIZED (SELECT DISTINCT b AS id FROM e WHERE a IN (FROM s)), h AS (SELECT id, 0 AS hop FROM s UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT b, 2 FROM e WHERE a IN (FROM h1))
+        SELECT id, rank::INTEGER AS rank, round(1.0::DOUBLE / rank, 6) AS score, text FROM (SELECT id, row_number() OVER (ORDER BY hop, id) AS rank, type || ': ' || name AS text FROM (SELECT id, min(hop) AS hop FROM h GROUP BY id) JOIN v USING (id))""",
     "image_dedup": """SELECT document_id, page_number, image_id FROM (SELECT document_id, page_number, document_id || '-' || page_number AS image_id, row_number() OVER (PARTITION BY document_id, sha256(body) ORDER BY page_number, document_id || '-' || page_number) AS r
         FROM page_block WHERE octet_length(encode(body)) >= 600) WHERE r = 1""",
     "entity_dedup": f"""SELECT DISTINCT ON (lower(name)) id, type, name FROM (SELECT document_id AS id, metadata.document_type AS type, metadata.author AS name FROM {DOCUMENTS} WHERE metadata.author IS NOT NULL) ORDER BY lower(name), id""",
@@ -473,6 +497,8 @@ SQL: dict[str, str] = {
         h2 AS (SELECT DISTINCT b AS id FROM e JOIN h1 ON a = id) SELECT id, min(hop)::INTEGER AS hop FROM (SELECT id, 0 AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id""",
     "community_texts": f"""SELECT community_id, count(*) AS members, 'Members: ' || string_agg(m, ', ' ORDER BY m) AS text FROM (SELECT (dense_rank() OVER (ORDER BY component) - 1)::INTEGER AS community_id, 'Nation: ' || n_name AS m, id
         FROM (SELECT id, min(id) OVER (PARTITION BY r) AS component FROM {_MEMBERS}) JOIN nation ON id = 'n' || n_nationkey) GROUP BY community_id""",
+    "community_texts_all": f"""SELECT community_id, block_no, count(*) AS members, 'Members: ' || string_agg(m, ', ' ORDER BY m, id) AS text FROM (SELECT community_id, ((row_number() OVER (PARTITION BY community_id ORDER BY m, id) - 1) // 500)::INTEGER AS block_no, m, id
+        FROM (SELECT (dense_rank() OVER (ORDER BY component) - 1)::INTEGER AS community_id, type || ': ' || name AS m, id FROM (SELECT id, min(id) OVER (PARTITION BY r) AS component FROM {_MEMBERS}) JOIN {_ENTITIES} USING (id))) GROUP BY community_id, block_no""",
     "entity_texts": f"""SELECT document_id, concat_ws(': ', metadata.document_type, metadata.title) || ' (office=' || metadata.office || '; silo=' || metadata.silo || ')' AS text FROM {DOCUMENTS}
         WHERE metadata.silo IS NOT NULL AND metadata.office IS NOT NULL""",
     "heading_tree": f"""WITH RECURSIVE {_NODES}, ids AS (SELECT l.document_id, l.node_no, l.level, l.title, p.path, l.parent_no, {_SLUG} AS plain, sha256(l.body) AS hash FROM linked l JOIN paths p ON l.document_id = p.document_id AND l.node_no = p.node_no)

@@ -227,6 +227,23 @@ def test_components_and_hops(spark):
     assert graph.connected_components(edges.where("false")).count() == 0
 
 
+def test_community_blocks_hold_every_member(spark):
+    edges = spark.createDataFrame([(f"v{i:03d}", "hub") for i in range(100)] + [("x", "y")], "from_id string, to_id string")
+    entities = spark.createDataFrame([(f"V{i:03d}", "T", f"n{99 - i:03d}") for i in range(100)] + [("hub", "T", "n050"), ("y", "U", "why")], "id string, type string, name string")
+    got = sorted(graph.community_blocks(graph.connected_components(edges), entities, 30).collect())
+    assert [(r["community_id"], r["block_no"], r["members"]) for r in got] == [(0, 0, 30), (0, 1, 30), (0, 2, 30), (0, 3, 11), (1, 0, 1)]
+    assert ", ".join(r["text"][len("Members: "):] for r in got[:4]) == ", ".join(sorted([f"T: n{i:03d}" for i in range(100)] + ["T: n050"]))
+
+
+def test_the_whole_graph_takes_part(spark, data):
+    from quillspark.plans import catalog
+
+    members = sum(spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("customer", "supplier", "nation", "region"))
+    rows = catalog.queries()["community_texts_all"](spark, data).collect()
+    assert sum(r["members"] for r in rows) == members and max(r["members"] for r in rows) <= 500
+    assert {r["id"][0] for r in catalog.queries()["graph_search_all"](spark, data).collect()} == set("csnr")
+
+
 def test_tree(spark):
     md = "# A\nsee § 2\n### B\n## C\n# §2 Law\ntext Article 9\n## A\n"
     t = structure.node_ids(structure.heading_tree(spark.createDataFrame([("d", md)], "document_id string, content string"))).orderBy("node_no").collect()
