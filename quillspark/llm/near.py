@@ -27,9 +27,12 @@ from quillspark.runtime import checkpoint, ship
 GRAM, LEAST = 5, 0.66
 #: Segments of the universe (a power of two), and tokens kept of a text, about.
 SEGMENTS, TOKENS = 128, 44
-#: Size bands by characters: (from, to, width for words, width for scripts without spaces). They overlap
-#: by half, so that two texts of similar size always have a band in common.
-BANDS = [(0, 180, 10, 6), (120, 480, 20, 8), (320, 1 << 60, 40, 16)]
+#: Size bands by distinct sequences: (from, to, width for words, width for scripts without spaces). They overlap
+#: by more than 1 / LEAST, so that two sets of a similarity of LEAST always have a band in common.
+BANDS = [(0, 176, 10, 6), (112, 476, 20, 8), (308, 1 << 60, 40, 16)]
+#: Characters a space above which every place counts. Up to 1 / LEAST times as many the words count too, so that
+#: a text just under the limit and one just over it both have words.
+CHARACTERS_A_SPACE = 14
 #: Bits of a sketch: one of the least hash in each of so many classes of hashes.
 SKETCH_BITS = 256
 #: In how many of its first 128 bits, and of all, a pair may differ. At a similarity of 0.66 they differ
@@ -40,8 +43,20 @@ MOST_HALF, MOST_DIFFERING = 36, 60
 HOT_TEXTS, HOT_SAMPLE, MOST_BLOCKS = 4000, 64, 64
 
 
-def _bands_of(lengths: np.ndarray) -> list[np.ndarray]:
-    return [(lengths >= low) & (lengths < high) for low, high, _, _ in BANDS]
+def _bands_of(sizes: np.ndarray) -> list[np.ndarray]:
+    return [(sizes >= low) & (sizes < high) for low, high, _, _ in BANDS]
+
+
+def _set_sizes(sums: np.ndarray, owner: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Number of distinct sequences of each text."""
+    at = np.arange(max(0, len(owner) - GRAM))
+    at = at[at + GRAM <= (starts + lengths)[owner[at]]]
+    h = window_hashes(sums, at, GRAM)
+    # the owner in the upper bits, so that one sort does for all texts
+    keys = np.sort((owner[at].astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    return np.bincount((keys[fresh] >> np.uint64(40)).astype(np.int64), minlength=len(lengths))
 
 
 def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,23 +66,26 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), lengths + 1)
     space = codes == 32
     spaces = np.add.reduceat(space, starts) if len(texts) else np.zeros(0)
-    spaced = spaces * 14 >= lengths
+    words = spaces * CHARACTERS_A_SPACE
+    spaced, unspaced = words >= lengths * LEAST, words < lengths
+    sizes = _set_sizes(sums, owner, starts, lengths)
+    # what repeats within a text doesn't enlarge its set, nor its number of places
+    distinct = np.minimum(1.0, sizes / np.maximum(lengths - GRAM + 1, 1))
     begins = np.zeros(len(codes), bool)
     begins[1:] = space[:-1]
     begins[starts] = True
-    begins |= ~spaced[owner]
     owners, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for k, member in enumerate(_bands_of(lengths)):
+    for k, member in enumerate(_bands_of(sizes)):
         for with_spaces in (True, False):
-            chosen = member & (spaced == with_spaces)
+            chosen = member & (spaced if with_spaces else unspaced)
             if not chosen.any():
                 continue
             width = BANDS[k][2 if with_spaces else 3]
-            at = np.flatnonzero(begins & chosen[owner])
+            at = np.flatnonzero(begins & chosen[owner] if with_spaces else chosen[owner])
             own = owner[at]
             fits = at + width <= starts[own] + lengths[own]
             at, own = at[fits], own[fits]
-            places = np.bincount(own, minlength=len(texts))
+            places = np.bincount(own, minlength=len(texts)) * distinct
             # kept share by the band of the number of places: steps of the square root of two
             step = np.exp2(np.ceil(np.log2(np.maximum(places, 1)) * 2) / 2)
             share = np.minimum(1.0, TOKENS / step)

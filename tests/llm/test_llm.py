@@ -413,3 +413,20 @@ def test_paragraphs_run_on_over_pages(spark):
     assert got[("e", 0)] == (1, 2, f"first {line} {line} goes on {line} to its end.")
     assert sorted(got) == [("d", 0), ("d", 1), ("d", 2), ("e", 0)]
     assert scans.split_pages("a\n## Pagе l\r\nb\n\n## PAGE lO\nc") == [(1, None, "a"), (2, "## Pagе l", "b"), (10, "## PAGE lO", "c")]
+
+
+def test_near_copies_at_the_edges_of_bands(spark):
+    """Sets of sizes at either end of a band, a text that repeats itself, and texts at the limit of spaces."""
+    random.seed(8)
+
+    def text(length, gap):
+        return "".join(" " if i % gap == gap - 1 else random.choice("abcdefghijklmnopqrstuvwxyz") for i in range(length))
+
+    pairs = []
+    for _ in range(8):
+        a, b, c, d = text(480, 7), text(300, 7), text(400, 14), text(180, 7)
+        pairs += [(a, a[:319]), (b, b + " " + b), (b, " ".join([b] * 9)), (c, c[:300] + c[300:].replace(" ", "x")), (d, d[:122])]
+    rows = [(f"d{i}{e}#0", f"d{i}{e}", 0, t, 0, 1, meta("d"), None) for i, p in enumerate(pairs) for e, t in zip("ab", p)]
+    got = {tuple(r) for r in near.similar_chunks(spark.createDataFrame(rows, CHUNK)).collect()}
+    want = {tuple(sorted((a[0], b[0]))) for i, a in enumerate(rows) for b in rows[:i] if similarity(a[3], b[3]) >= 0.66}
+    assert len(want) >= 40 and got == want
