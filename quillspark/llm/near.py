@@ -3,9 +3,9 @@
 Similarity is that of the sets of 5-character sequences of the normalised texts. Tokens
 are longer windows, hashed: at word starts, or at every character in scripts without
 spaces; their width and the share of them that is kept go by size band. The hashed
-universe is parted into segments; a text is indexed under its subset of each segment if
-that is one token, else under its one-deletion neighbourhood. Texts that meet under a
-signature compare 128-bit sketches of their sequences; what remains is verified exactly.
+universe is parted into segments; a text is indexed under its subset of each segment and
+under the one-deletion neighbourhood of that. Texts that meet under a signature compare
+256-bit sketches of their sequences; what remains is verified exactly.
 
 Signatures expected to be frequent are allocated to several blocks of the index (counted
 on a sample of the texts), so that no group gathers in one task; nothing is left out.
@@ -26,10 +26,11 @@ from quillspark.runtime import checkpoint, ship
 
 GRAM, LEAST = 5, 0.66
 #: Segments of the universe (a power of two), and tokens kept of a text, about.
-SEGMENTS, TOKENS = 128, 44
+SEGMENTS, TOKENS = 128, 32
 #: Size bands by distinct sequences: (from, to, width for words, width for scripts without spaces). They overlap
-#: by more than 1 / LEAST, so that two sets of a similarity of LEAST always have a band in common.
-BANDS = [(0, 176, 10, 6), (112, 476, 20, 8), (308, 1 << 60, 40, 16)]
+#: by more than 1 / LEAST, so that two sets of a similarity of LEAST always have a band in common. The wide
+#: windows are about four words: at LEAST one word in seven or eight may differ, however they are spread.
+BANDS = [(0, 176, 10, 6), (112, 1 << 60, 24, 12)]
 #: Characters a space above which every place counts. Up to 1 / LEAST times as many the words count too, so that
 #: a text just under the limit and one just over it both have words.
 CHARACTERS_A_SPACE = 14
@@ -113,9 +114,12 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         total = np.add.reduceat(token, at) if len(at) else np.zeros(0, np.uint64)
         group = np.cumsum(first) - 1
-        # one token left out of a subset of several; a subset of one as it is
-        signature = np.where(size[group] == 1, token, total[group] - token)
-    return own, mix(signature)
+        # each subset itself, and of one of several tokens what is left without each of them
+        several = size[group] > 1
+        own = np.concatenate([own[at], own[several]])
+        signature = np.concatenate([total, total[group[several]] - token[several]])
+    order = np.argsort(own, kind="stable")
+    return own[order], mix(signature[order])
 
 
 def sketches(texts: list[str]) -> np.ndarray:
@@ -230,16 +234,18 @@ def _meeting(index: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """``(a, b, similarity)`` of the pairs that reach ``least``, from the whole sets."""
+    """``(a, a2, b, b2, similarity)`` of the pairs that reach ``least``, from the whole sets."""
 
     def grams(t: str) -> set[str]:
         return {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
 
+    names = ["a", "a2", "b", "b2", "similarity"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # rows come from a join on b, so that those of one b follow each other
             kept, values, last, y = [], [], None, set()
-            b, s, t = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            b, s, t = (batch.column(k).to_pylist() for k in (3, 4, 5))
             for i in range(len(b)):
                 if b[i] != last:
                     last, y = b[i], grams(normalise(t[i]))
@@ -250,26 +256,32 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     kept.append(i)
                     values.append(common / total)
             keep = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(values, pa.float64())], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(keep) for k in range(4)), pa.array(values, pa.float64())], names)
+
+    left, right = texts.toDF("a", "a2", "s"), texts.toDF("b", "b2", "t")
+    both = pairs.join(left, "a").join(right, "b").select("a", "a2", "b", "b2", "s", "t")
+    return both.mapInArrow(run, "a bigint, a2 bigint, b bigint, b2 bigint, similarity double")
 
-    left, right = texts.toDF("a", "s"), texts.toDF("b", "t")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t")
-    return both.mapInArrow(run, "a bigint, b bigint, similarity double")
+
+def with_ids(rows: DataFrame) -> DataFrame:
+    """Add ``id`` and ``id2``, 128 bits that stand for ``text``: candidates go by the first half, copies by both."""
+    return rows.withColumns({"id": F.xxhash64("text"), "id2": F.xxhash64(F.lit("second"), "text")})
 
 
 def similar_texts(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """``(a, b, similarity)``: ids of different texts of ``(id, text)`` that are similar enough.
+    """``(a, a2, b, b2, similarity)``: ids of different texts of ``(id, id2, text)`` that are similar enough.
 
-    ``id`` is the hash of the text, so copies are one; texts that differ in letter case or
-    white space alone are two of similarity 1. Texts that are shorter than GRAM when
-    normalised have no sequences and are similar to none.
+    Copies are one, by 128 bits of hash; texts that differ in letter case or white space
+    alone are two of similarity 1. Texts that are shorter than GRAM when normalised have
+    no sequences and are similar to none.
     """
     ship(rows.sparkSession)
-    index = _index_rows(rows, _hot_signatures(rows)).select(F.explode("keys").alias("key"), "id", "s1", "s2", "s3", "s4")
+    texts_only = rows.select("id", "text")
+    index = _index_rows(texts_only, _hot_signatures(texts_only)).select(F.explode("keys").alias("key"), "id", "s1", "s2", "s3", "s4")
     pairs = _meeting(index.repartition("key").sortWithinPartitions("key"))
     pairs = checkpoint(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    texts = rows.join(wanted, "id", "left_semi").groupBy("id", "id2").agg(F.first("text").alias("text"))
     return _verify(pairs, texts, least)
 
 
@@ -279,15 +291,15 @@ def similar_chunks(chunks: DataFrame, least: float = LEAST) -> DataFrame:
     Copies of a text count as similar (1.0) unless it is shorter than GRAM. Null texts
     take no part; repeated rows of a chunk count once.
     """
-    rows = chunks.where(F.col("text").isNotNull()).select("chunk_id", "document_id", "text", F.xxhash64("text").alias("id"))
-    linked = similar_texts(rows.select("id", "text"), least).select("a", "b")
+    rows = with_ids(chunks.where(F.col("text").isNotNull()).select("chunk_id", "document_id", "text"))
+    linked = similar_texts(rows.select("id", "id2", "text"), least).select("a", "a2", "b", "b2")
     # a text with GRAM characters when normalised; only short ones are looked at closely
     long_enough = (F.length("text") >= 64) | (F.length(F.trim(F.regexp_replace("text", "[ \\t\\r\\n]+", " "))) >= GRAM)
-    members = rows.where(long_enough).select("chunk_id", "document_id", "id").distinct()
-    x = members.toDF("chunk_x", "document_x", "a")
-    y = members.toDF("chunk_y", "document_y", "b")
-    other = linked.join(x, "a").join(y, "b").select("chunk_x", "document_x", "chunk_y", "document_y")
-    same = x.join(y, (F.col("a") == F.col("b")) & (F.col("chunk_x") < F.col("chunk_y"))).select(*other.columns)
+    members = rows.where(long_enough).select("chunk_id", "document_id", "id", "id2").distinct()
+    x = members.toDF("chunk_x", "document_x", "a", "a2")
+    y = members.toDF("chunk_y", "document_y", "b", "b2")
+    other = linked.join(x, ["a", "a2"]).join(y, ["b", "b2"]).select("chunk_x", "document_x", "chunk_y", "document_y")
+    same = x.join(y, (F.col("a") == F.col("b")) & (F.col("a2") == F.col("b2")) & (F.col("chunk_x") < F.col("chunk_y"))).select(*other.columns)
     both = other.unionByName(same).where(F.col("document_x") != F.col("document_y"))
     return both.select(F.least("chunk_x", "chunk_y").alias("chunk_id_a"), F.greatest("chunk_x", "chunk_y").alias("chunk_id_b"))
 
@@ -299,15 +311,19 @@ def groups(chunks: DataFrame, least: float = LEAST) -> DataFrame:
     with many members, so that they are never expanded into pairs. A chunk that is similar
     to no other is a group of its own with 0 links.
     """
-    rows = chunks.where(F.col("text").isNotNull()).select("chunk_id", "text", F.xxhash64("text").alias("id"))
-    linked = checkpoint(similar_texts(rows.select("id", "text"), least).select("a", "b"))
-    members = rows.select("chunk_id", "id").distinct()
+    def vertex(a, b):
+        return F.concat_ws(".", F.col(a).cast("string"), F.col(b).cast("string"))
+
+    rows = with_ids(chunks.where(F.col("text").isNotNull()).select("chunk_id", "text"))
+    found = similar_texts(rows.select("id", "id2", "text"), least)
+    linked = checkpoint(found.select(vertex("a", "a2").alias("a"), vertex("b", "b2").alias("b")))
+    members = rows.select("chunk_id", vertex("id", "id2").alias("id")).distinct()
     vertices = members.groupBy("id").agg(F.count("*").alias("members"), F.min("chunk_id").alias("first"))
-    edges = linked.select(F.col("a").cast("string").alias("from_id"), F.col("b").cast("string").alias("to_id"))
-    components = connected_components(edges).select(F.col("id").cast("bigint").alias("id"), "component")
+    edges = linked.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"))
+    components = connected_components(edges).select("id", "component")
     both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(vertices.select(F.col("id").alias("b"), "members"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("members").alias("others"))
-    known = vertices.join(components, "id", "left").withColumn("component", F.coalesce("component", F.col("id").cast("string")))
+    known = vertices.join(components, "id", "left").withColumn("component", F.coalesce("component", F.col("id")))
     named = known.groupBy("component").agg(F.min("first").alias("group_id"))
     classes = known.join(named, "component").join(degree, "id", "left")
     links = F.coalesce("others", F.lit(0)) + F.col("members") - 1

@@ -180,7 +180,7 @@ def test_neighbours_recall_and_copies(spark):
     for i in range(len(names)):
         order = sorted((j for j in range(len(names)) if j != i), key=lambda j: (-c[i, j], names[j]))[:5]
         want |= {tuple(sorted((names[i], names[j]))) for j in order if c[i, j] >= 0.9}
-    assert set(got) <= want | {p for p in got if p[0][0] == p[1][0] == "c"} and len(want & set(got)) >= 0.97 * len(want)
+    assert len(want & set(got)) >= 0.97 * max(len(want), len(got))
     assert not any(n.startswith("z") or n == "s3" for p in got for n in p)
 
 
@@ -218,6 +218,40 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, hot):
     assert len(want) > 50 and len(set(got)) >= 0.99 * len(want)
 
 
+def spread(words, new, step):
+    return [new(k) if k % step == step - 1 else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("n", [10, 30, 100, 300])
+@pytest.mark.parametrize("kind", ["seventh", "eighth", "inserted", "twice", "fourfold", "reordered", "longer"])
+def test_signatures_meet_for_every_kind_of_edit(n, kind):
+    """Of the pairs of a similarity of 0.66 or more at least 99 in 100 have a signature in common and close sketches."""
+    draw = random.Random(f"{n} {kind}")
+    vocabulary = ["".join(draw.choice("abcdefghijklm") for _ in range(draw.randrange(2, 11))) for _ in range(3000)]
+    word = lambda k=0: draw.choice(vocabulary)
+
+    def parts(w):
+        cut = sorted(draw.sample(range(1, len(w)), 2))
+        return w[cut[1] :] + w[: cut[0]] + w[cut[0] : cut[1]]
+
+    edit = {
+        "seventh": lambda w: spread(w, word, 7), "eighth": lambda w: spread(w, word, 8), "twice": lambda w: w * 2, "fourfold": lambda w: w * 4, "reordered": parts,
+        "inserted": lambda w: [x for v in w for x in ([v, word()] if draw.random() < 0.1 else [v])], "longer": lambda w: w + [word() for _ in range(n // 3)],
+    }[kind]
+    pairs = [(w, edit(w)) for w in ([word() for _ in range(n)] for _ in range(300))]
+    pairs = [(" ".join(a), " ".join(b)) for a, b in pairs if similarity(" ".join(a), " ".join(b)) >= 0.66]
+    met = 0
+    keys = [[set() for _ in pairs], [set() for _ in pairs]]
+    for side in (0, 1):
+        for owner, key in zip(*(x.tolist() for x in near.signatures([p[side] for p in pairs]))):
+            keys[side][owner].add(key)
+    x, y = (near.sketches([p[side] for p in pairs]).view("<u8") for side in (0, 1))
+    apart = np.bitwise_count(x ^ y)
+    for k in range(len(pairs)):
+        met += bool(keys[0][k] & keys[1][k]) and apart[k, :2].sum() <= near.MOST_HALF and apart[k].sum() <= near.MOST_DIFFERING
+    assert met >= 0.99 * len(pairs)
+
+
 # -- 3: languages ---------------------------------------------------------------------------------------
 
 
