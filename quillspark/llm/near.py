@@ -193,6 +193,55 @@ def _hot_signatures(df: DataFrame) -> dict[int, int]:
     return {r["key"] & (1 << 64) - 1: int(min(MOST_BLOCKS, max(2, r["count"] * HOT_SAMPLE // (HOT_TEXTS // 2)))) for r in rows}
 
 
+#: From how many rows under a key on they are compared in blocks, and comparisons of a block.
+BLOCK_ROWS, BLOCK_SIZE = 150, 1 << 17
+
+
+def _close(rows: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ids (two rows) of the pairs of positions whose whole sketches are close; the first halves are known to be."""
+    _, ids, s1, s2, s3, s4 = rows
+    differing = sum(np.bitwise_count(s[a] ^ s[b]) for s in (s1, s2, s3, s4))
+    near = (differing <= MOST_DIFFERING) & (ids[a] != ids[b])
+    return np.stack([ids[a[near]], ids[b[near]]])
+
+
+def _compare(rows: tuple[np.ndarray, ...], fresh: int) -> tuple[list[np.ndarray], int]:
+    """(pairs of ids, start of the last key): each row from ``fresh`` on against those before it under its key."""
+    key, _, s1, s2, _, _ = rows
+    change = np.ones(len(key), bool)
+    change[1:] = key[1:] != key[:-1]
+    edges = np.append(np.flatnonzero(change), len(key))
+    start = np.repeat(edges[:-1], np.diff(edges))
+    size = np.repeat(np.diff(edges), np.diff(edges))
+    place = np.arange(len(key)) - start
+    out = []
+    active = np.flatnonzero((place > 0) & (size < BLOCK_ROWS))
+    active = active[active >= fresh]
+    step = 1
+    while len(active):
+        other = active - step
+        half = np.bitwise_count(s1[active] ^ s1[other]) + np.bitwise_count(s2[active] ^ s2[other])
+        k = np.flatnonzero(half <= MOST_HALF)
+        if len(k):
+            out.append(_close(rows, active[k], other[k]))
+        step += 1
+        active = active[place[active] >= step]
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if hi - lo < BLOCK_ROWS or hi <= fresh:
+            continue
+        high = max(1, BLOCK_SIZE // (hi - lo))
+        for i in range(max(lo, fresh), hi, high):
+            j = min(hi, i + high)
+            half = np.bitwise_count(s1[i:j, None] ^ s1[None, lo:j])
+            half += np.bitwise_count(s2[i:j, None] ^ s2[None, lo:j])
+            k = np.flatnonzero(half.ravel() <= MOST_HALF)
+            a, b = k // (j - lo) + i, k % (j - lo) + lo
+            before = b < a
+            if before.any():
+                out.append(_close(rows, a[before], b[before]))
+    return out, int(edges[-2]) if len(key) else 0
+
+
 def _meeting(index: DataFrame) -> DataFrame:
     """Distinct ``(a, b)`` of ids under one key whose sketches are close. Rows come sorted by key."""
 
@@ -202,28 +251,7 @@ def _meeting(index: DataFrame) -> DataFrame:
             # unsigned, as the bits of negative numbers are counted by their absolute value
             now = tuple(batch.column(k).to_numpy().view(np.uint64 if k > 1 else np.int64) for k in range(6))
             rows = tuple(np.concatenate(p) for p in zip(*held, now)) if held else now
-            fresh = sum(len(h[0]) for h in held)
-            key, ids, s1, s2, s3, s4 = rows
-            # each row against those before it under its key; rows seen before only as partners
-            change = np.ones(len(key), bool)
-            change[1:] = key[1:] != key[:-1]
-            start = np.maximum.accumulate(np.where(change, np.arange(len(key)), 0))
-            place = np.arange(len(key)) - start
-            out = []
-            active = np.flatnonzero(place[fresh:] > 0) + fresh
-            step = 1
-            while len(active):
-                other = active - step
-                half = np.bitwise_count(s1[active] ^ s1[other]) + np.bitwise_count(s2[active] ^ s2[other])
-                k = np.flatnonzero(half <= MOST_HALF)
-                if len(k):
-                    a, b = active[k], other[k]
-                    rest = np.bitwise_count(s3[a] ^ s3[b]) + np.bitwise_count(s4[a] ^ s4[b])
-                    near = (half[k] + rest <= MOST_DIFFERING) & (ids[a] != ids[b])
-                    out.append(np.stack([ids[a[near]], ids[b[near]]]))
-                step += 1
-                active = active[place[active] >= step]
-            tail = int(start[-1]) if len(key) else 0
+            out, tail = _compare(rows, sum(len(h[0]) for h in held))
             held = [tuple(p[tail:] for p in rows)]
             if out:
                 both = np.concatenate(out, 1)
