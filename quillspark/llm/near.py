@@ -30,7 +30,7 @@ SEGMENTS, TOKENS = 128, 32
 #: Size bands by distinct sequences: (from, to, width for words, width for scripts without spaces). They overlap
 #: by more than 1 / LEAST, so that two sets of a similarity of LEAST always have a band in common. The wide
 #: windows are about four words: at LEAST one word in seven or eight may differ, however they are spread.
-BANDS = [(0, 176, 10, 6), (112, 1 << 60, 24, 12)]
+BANDS = [(0, 176, 10, 6), (112, 1 << 60, 28, 12)]
 #: Characters a space above which every place counts. Up to 1 / LEAST times as many the words count too, so that
 #: a text just under the limit and one just over it both have words.
 CHARACTERS_A_SPACE = 14
