@@ -1,13 +1,16 @@
 """Problem 10: share of repeated content inside one document.
 
-Every document gets a row of statistics from one Arrow pass over its whole text. A
-decision list learned by sequential covering (rules.py) from a bounded sample of
-labelled statistics then says, as one ordered Spark ``CASE`` expression, which
-documents are repetitive; the exact share decides the label and is kept as a check.
+Every document gets a row of cheap statistics from one Arrow pass over its whole text:
+sampled 32-character sequences, sentences, lines and words that came before. A decision
+list learned by sequential covering (rules.py) from a bounded sample of labelled
+statistics, emitted as one ordered Spark ``CASE`` expression, says which documents may
+be repetitive; only these are measured exactly. The exact share is no statistic of the
+list: it labels the sample, at a bound with a margin, and verifies what the list proposes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +19,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.corpus import about
-from quillspark.llm.rolling import INVERSE, joined_codes, mix, normalise, powers, prefix_sums
+from quillspark.llm.rolling import INVERSE, joined_codes, mix, normalise, powers, prefix_sums, window_hashes
 from quillspark.llm.rules import DecisionList, learn
-from quillspark.runtime import checkpoint, ship
+from quillspark.runtime import ship
 
 #: Length of the stretch that must come again, and the share from which a document counts.
 STRETCH, SHARE = 50, 0.30
+#: The list learns to propose documents of at least this part of SHARE, so that those at the bound are well inside.
+MARGIN = 0.5
 #: Labelled documents from which the list is learned, at most.
 SAMPLE_ROWS = 4000
+#: Length of the sampled sequences; of as many neighbouring ones as WINNOW the one of least hash is looked at.
+SEQUENCE, WINNOW = 32, 8
 #: Characters that are measured together; a longer single text is a slice of its own.
 SLICE_CHARS = 2_000_000
 
-STATISTICS = ["repeated_share", "longest_share", "line_share", "distinct_word_ratio"]
+STATISTICS = ["covered_share", "sequence_share", "sentence_share", "line_share", "distinct_word_ratio"]
+_SENTENCE = re.compile(r"[.!?…。！？।؟\n]+")
 
 
 def repeated_characters(texts: list[str], stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
@@ -110,52 +118,123 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, n_chars, repeated_chars, repeated_share, line_share, ...)`` of each row.
+def sequence_shares(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For normalised texts: share of the characters in sampled sequences that came before, and share of those sequences.
 
-    Null, empty and blank texts have no characters and shares of 0; texts shorter than
-    the stretch have a share of 0. Repeated rows stay repeated; whole texts are read.
+    Hashes decide here; what is proposed is compared character by character later on.
+    """
+    if not texts:
+        return np.zeros(0), np.zeros(0)
+    codes, starts, lengths = joined_codes(texts)
+    owner = np.repeat(np.arange(len(texts)), lengths + 1)
+    at = np.arange(max(0, len(codes) - SEQUENCE))
+    at = at[at + SEQUENCE <= (starts + lengths)[owner[at]]]
+    h = window_hashes(prefix_sums(codes), at, SEQUENCE)
+    # least of each run of WINNOW, then the greatest of those around: a sequence equals it if it is the least of some run
+    least = np.concatenate([np.zeros(WINNOW, np.uint64), h, np.zeros(WINNOW, np.uint64)])
+    for step in (1, 2, 4):
+        least = np.minimum(least[:-step], least[step:])
+    greatest = least
+    for step in (1, 2, 4):
+        greatest = np.maximum(greatest[:-step], greatest[step:])
+    kept = greatest[1 : len(h) + 1] == h
+    at, h = at[kept], h[kept]
+    keys = (owner[at].astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
+    order = np.argsort(keys, kind="stable")
+    again = at[order[1:][keys[order[1:]] == keys[order[:-1]]]]
+    change = np.zeros(len(codes) + 1, np.int8)
+    change[again] += 1
+    change[again + SEQUENCE] -= 1
+    inside = np.add.reduceat(np.cumsum(change[:-1], dtype=np.int32) > 0, starts, dtype=np.int64)
+    sampled, found = (np.bincount(owner[x], minlength=len(texts)) for x in (at, again))
+    return inside / np.maximum(lengths, 1), found / np.maximum(sampled, 1)
+
+
+def _cheap(raw: list[str], texts: list[str]) -> list[np.ndarray]:
+    """Columns STATISTICS of the raw and the normalised texts."""
+    shares = [sequence_shares(texts[a:b]) for a, b in _slices(texts)]
+    covered, sequences = (np.concatenate([x[k] for x in shares] or [np.zeros(0)]) for k in (0, 1))
+    sentences = np.array([_share_of_repeats(_SENTENCE.split(t)) for t in texts], np.float64)
+    lines = np.array([_share_of_repeats(t.split("\n")) for t in raw], np.float64)
+    words = np.array([len(set(w)) / len(w) if (w := t.split()) else 1.0 for t in texts], np.float64)
+    return [covered, sequences, sentences, lines, words]
+
+
+def _exact(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, repeated characters, longest repeated run) of normalised texts."""
+    parts = [repeated_characters(texts[a:b]) for a, b in _slices(texts)]
+    repeated, longest = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    return np.array([len(t) for t in texts], np.int64), repeated, longest
+
+
+def statistics(df: DataFrame, key: str, text: str, with_text: bool = False) -> DataFrame:
+    """``(key, STATISTICS...)`` of each row, and its text if asked for.
+
+    Null, empty and blank texts have shares of 0 and a word ratio of 1. Repeated rows stay
+    repeated; whole texts are read.
     """
     ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
+    names = ["key", *STATISTICS, *(["text"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [t or "" for t in batch.column(1).to_pylist()]
-            texts = [normalise(t) for t in raw]
-            parts = [repeated_characters(texts[a:b]) for a, b in _slices(texts)]
-            repeated, longest = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
-            n = np.array([len(t) for t in texts], np.int64)
-            columns = [n, repeated, repeated / np.maximum(n, 1), longest / np.maximum(n, 1)]
-            columns.append(np.array([_share_of_repeats(t.split("\n")) for t in raw], np.float64))
-            columns.append(np.array([len(set(w)) / len(w) if (w := t.split()) else 1.0 for t in texts], np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["key", "n_chars", "repeated_chars", *STATISTICS])
+            columns = [pa.array(c) for c in _cheap(raw, [normalise(t) for t in raw])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *([batch.column(1)] if with_text else [])], names)
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {kind}, n_chars bigint, repeated_chars bigint, " + ", ".join(f"{s} double" for s in STATISTICS)
+    schema = f"key {kind}, " + ", ".join(f"{s} double" for s in STATISTICS) + (", text string" if with_text else "")
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def fit(stats: DataFrame, key: str, share: float = SHARE, sample_rows: int = SAMPLE_ROWS) -> DecisionList:
-    """Learn the list from at most ``sample_rows`` labelled documents, picked by the hash of their key.
+def exact_shares(df: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, keep..., n_chars, repeated_chars, repeated_share, longest_share)`` of each row.
+
+    Null, empty and blank texts have no characters and shares of 0; texts shorter than
+    the stretch have a share of 0.
+    """
+    ship(df.sparkSession)
+    columns = [key, *keep]
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+    names = [*columns, "n_chars", "repeated_chars", "repeated_share", "longest_share"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, repeated, longest = _exact([normalise(t or "") for t in batch.column(len(columns)).to_pylist()])
+            shares = (n, repeated, repeated / np.maximum(n, 1), longest / np.maximum(n, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), *map(pa.array, shares)], names)
+
+    schema = f"{kinds}, n_chars bigint, repeated_chars bigint, repeated_share double, longest_share double"
+    return df.select(*columns, text).mapInArrow(run, schema)
+
+
+def fit(df: DataFrame, key: str, text: str, share: float = SHARE, sample_rows: int = SAMPLE_ROWS) -> DecisionList:
+    """Learn the list from at most ``sample_rows`` documents, picked by the hash of their key and labelled by their exact share.
 
-    The label is the exact share against ``share``; the same value is offered to the
-    learner as a threshold beside the midpoints of the sample.
+    A document is a positive case from MARGIN * ``share`` on. Without any positive case in
+    the sample the list proposes what has a covered_share of half of that.
     """
-    sample = stats.where(about(key, sample_rows, stats.count())).orderBy(F.xxhash64(key), key).limit(sample_rows).select(*STATISTICS).toPandas()
-    x = sample[STATISTICS].to_numpy(np.float64)
-    return learn(x, x[:, 0] >= share, STATISTICS, offered={"repeated_share": [share]})
+    picked = df.where(about(key, sample_rows, df.count())).orderBy(F.xxhash64(key), key).limit(sample_rows).select(key, text)
+    stats = statistics(picked.withColumnRenamed(text, "text"), key, "text", with_text=True)
+    sample = exact_shares(stats, key, "text", tuple(STATISTICS)).select(*STATISTICS, "repeated_share").toPandas()
+    bound = MARGIN * share
+    labels = sample["repeated_share"].to_numpy(np.float64) >= bound
+    if not labels.any():
+        return learn(np.zeros((0, len(STATISTICS))), np.zeros(0, bool), STATISTICS, offered={"covered_share": [bound / 2]})
+    return learn(sample[STATISTICS].to_numpy(np.float64), labels, STATISTICS)
 
 
 def classify(df: DataFrame, key: str, text: str, share: float = SHARE) -> DataFrame:
-    """Statistics of each row, ``rule`` (number of the rule that fired, null: none) and ``is_repetitive``."""
-    stats = checkpoint(statistics(df, key, text))
-    rules = fit(stats, key, share)
+    """Statistics and exact share of each row, ``rule`` (number of the rule that fired, null: none) and ``is_repetitive``."""
+    rules = fit(df, key, text, share)
+    stats = exact_shares(statistics(df, key, text, with_text=True), key, "text", tuple(STATISTICS))
     fired: Column = rules.expression()
-    return stats.withColumn("rule", fired).withColumn("is_repetitive", F.col("rule").isNotNull())
+    return stats.withColumn("rule", fired).withColumn("is_repetitive", F.col("rule").isNotNull() & (F.col("repeated_share") >= share))
 
 
 def found(df: DataFrame, key: str, text: str, share: float = SHARE) -> DataFrame:
-    """Keys of the documents that the list calls repetitive and whose exact share bears it out."""
-    rows = classify(df, key, text, share)
-    return rows.where(F.col("is_repetitive") & (F.col("repeated_share") >= share)).select(key)
+    """Keys of the documents that the list proposes and whose exact share bears it out; no other is measured exactly."""
+    rules = fit(df, key, text, share)
+    proposed = statistics(df, key, text, with_text=True).where(rules.expression().isNotNull())
+    return exact_shares(proposed, key).where(F.col("repeated_share") >= share).select(key)
