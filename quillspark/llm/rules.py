@@ -98,6 +98,22 @@ def _worth(rule: list[Condition], x: np.ndarray, y: np.ndarray, names: list[str]
     return (2 * int(y[covered].sum()) - total) / total if total else -1.0
 
 
+def _grow(x: np.ndarray, y: np.ndarray, names: list[str], offered: dict[str, list[float]], rows: np.ndarray) -> list[Condition]:
+    """A conjunction that holds for positive cases of ``rows`` alone, or as far as it gets."""
+    rule: list[Condition] = []
+    inside = np.ones(len(rows), bool)
+    while len(rule) < MAX_CONDITIONS and y[rows[inside]].any() and not y[rows[inside]].all():
+        c = _best(x[rows[inside]], y[rows[inside]], names, offered)
+        if c is None or c in rule:
+            break
+        rule.append(c)
+        inside &= c.holds(x[rows], names)
+    if not rule and y[rows].all():
+        # nothing but positive cases: the loosest condition that holds for all of them
+        rule = [Condition(names[0], True, float(x[rows, 0].min()))] if len(rows) else []
+    return rule
+
+
 def learn(x: np.ndarray, y: np.ndarray, names: list[str], offered: dict[str, list[float]] | None = None, seed: int = 7) -> DecisionList:
     """Learn a list for ``y``. An empty sample, or one without positives, falls back to the offered thresholds."""
     offered, out = offered or {}, DecisionList()
@@ -110,26 +126,16 @@ def learn(x: np.ndarray, y: np.ndarray, names: list[str], offered: dict[str, lis
     while (y & left).any() and len(out.rules) < MAX_RULES:
         rows = np.flatnonzero(left)
         part = random.random(len(rows)) < 2 / 3
-        grow, prune = rows[part], rows[~part]
-        if not y[grow].any():
-            grow = rows
-        rule: list[Condition] = []
-        inside = np.ones(len(grow), bool)
-        while len(rule) < MAX_CONDITIONS and not y[grow[inside]].all():
-            c = _best(x[grow[inside]], y[grow[inside]], names, offered)
-            if c is None or c in rule:
-                break
-            rule.append(c)
-            inside &= c.holds(x[grow], names)
-        if not rule:
-            rule = [c] if (c := _best(x[rows], y[rows], names, offered)) else []
-            if not rule:
+        # where two thirds give no good rule, as with few cases left, all rows grow one and none prunes it
+        for grow, prune in ((rows[part], rows[~part]), (rows, rows[:0])):
+            rule = _grow(x, y, names, offered, grow)
+            if rule and y[prune].any():
+                lengths = range(1, len(rule) + 1)
+                rule = rule[: max(lengths, key=lambda k: (_worth(rule[:k], x[prune], y[prune], names), -k))]
+            covered = np.logical_and.reduce([c.holds(x, names) for c in rule]) & left if rule else np.zeros(len(y), bool)
+            if covered.any() and y[covered].mean() >= 0.5:
                 break
-        if y[prune].any():
-            lengths = range(1, len(rule) + 1)
-            rule = rule[: max(lengths, key=lambda k: (_worth(rule[:k], x[prune], y[prune], names), -k))]
-        covered = np.logical_and.reduce([c.holds(x, names) for c in rule]) & left
-        if not covered.any() or y[covered].mean() < 0.5:
+        else:
             break
         out.rules.append(tuple(rule))
         left &= ~covered
