@@ -1,8 +1,9 @@
 """Problem 9: filling containers, as packing of vectors by the dot-product heuristic.
 
 An item has three sizes: tokens, segments (one) and tokens that bear loss; a container
-limits all three. A container is filled by taking, again and again, the fitting item
-whose sizes have the greatest dot product with the room left. Items are packed in shards
+limits all three, the loss to less than its tokens. A container is filled by taking,
+again and again, the fitting item whose sizes have the greatest dot product with the
+room left. Texts stay whole, so one with more loss than the limit is in a container alone. Items are packed in shards
 of bounded size, assigned by hash; each shard packs all capacities, and only its last
 containers are less full. An item over the capacity is cut into full containers and a
 rest that is packed like an item.
@@ -25,7 +26,9 @@ from quillspark.runtime import checkpoint, ship
 #: Items of a shard, about. A shard is one task's group, whatever the size of the table.
 SHARD_ITEMS = 8000
 #: A container holds one segment for so many tokens of its capacity, and at least so many.
-TOKENS_A_SEGMENT, LEAST_SEGMENTS = 16, 16
+TOKENS_A_SEGMENT, LEAST_SEGMENTS = 128, 4
+#: Share of a container's tokens that may bear loss, where it has more than one item.
+LOSS_SHARE = 0.97
 
 
 def measure(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
@@ -56,15 +59,18 @@ def measure(df: DataFrame, key: str, text: str, path: str | None = None) -> Data
 
 
 def pack(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) -> np.ndarray:
-    """Container number of each item; every item fits an empty container.
+    """Container number of each item, each of at most the limit of tokens.
 
-    Equal items are one class, so that choosing costs the number of classes. Of equal
+    An item with more loss than the limit is alone in its container. Equal items are one class, so that choosing costs the number of classes. Of equal
     products the larger item goes first.
     """
     container = np.full(len(tokens), -1, np.int64)
-    if not len(tokens):
+    alone = np.flatnonzero(loss > limits[2])
+    container[alone] = np.arange(len(alone))
+    some = np.flatnonzero(loss <= limits[2])
+    if not len(some):
         return container
-    order = np.lexsort((loss, tokens))[::-1]
+    order = some[np.lexsort((loss[some], tokens[some]))[::-1]]
     t, l = tokens[order], loss[order]
     first = np.ones(len(t), bool)
     first[1:] = (t[1:] != t[:-1]) | (l[1:] != l[:-1])
@@ -73,7 +79,7 @@ def pack(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) ->
     at = start.copy()
     ct, cl = t[start].astype(np.float64), l[start].astype(np.float64)
     most_t, most_s, most_l = (float(x) for x in limits)
-    number, total = 0, len(t)
+    number, total = len(alone), len(t)
     live = np.arange(len(start))
     while total:
         room_t, room_s, room_l = most_t, most_s, most_l
@@ -83,7 +89,7 @@ def pack(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) ->
             cand = live[begin:]
             if not len(cand):
                 break
-            score = ct[cand] * (room_t / most_t**2) + cl[cand] * (room_l / most_l**2)
+            score = ct[cand] * (room_t / most_t**2) + room_s / most_s**2 + cl[cand] * (room_l / most_l**2)
             score[cl[cand] > room_l] = -1.0
             k = int(score.argmax())
             if score[k] < 0:
@@ -105,7 +111,7 @@ def pack(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) ->
 
 def limits_of(capacity: int) -> tuple[int, int, int]:
     """(tokens, segments, loss-bearing tokens) of a container."""
-    return capacity, max(LEAST_SEGMENTS, capacity // TOKENS_A_SEGMENT), capacity
+    return capacity, max(LEAST_SEGMENTS, capacity // TOKENS_A_SEGMENT), int(capacity * LOSS_SHARE)
 
 
 def assign(sizes: DataFrame, key: str, capacities: list[tuple[int, int]], shard_items: int = SHARD_ITEMS) -> DataFrame:

@@ -378,6 +378,30 @@ def test_dirty_names(spark):
     assert got == [("HR", "ADR", "fr"), ("Legal", "ReleaseNote", "unknown"), ("unknown",) * 3, ("unknown",) * 3]
 
 
+def test_each_limit_of_a_container_binds():
+    """Items for which one limit after the other is the one that fills containers up; one over the loss limit is alone."""
+    random_ = np.random.default_rng(9)
+    limits = packing.limits_of(1024)
+    assert limits == (1024, 8, 993)
+
+    def used(n, loss):
+        box = packing.pack(n, loss, limits)
+        got = np.stack([np.bincount(box, n), np.bincount(box), np.bincount(box, loss)])
+        crowded = got[1] > 1
+        assert (box >= 0).all() and (got[0] <= limits[0]).all() and (got[1] <= limits[1]).all() and (got[2][crowded] <= limits[2]).all()
+        return (got / np.array(limits)[:, None]).mean(1)
+
+    n = random_.integers(100, 400, 400)
+    tokens, segments, loss = used(n, n // 2)
+    assert tokens > 0.97 and segments < 0.9 and loss < 0.6
+    tokens, segments, loss = used(n, n)
+    assert loss > 0.97 and tokens < loss
+    tokens, segments, loss = used(n // 10, n // 20)
+    assert segments > 0.97 and tokens < 0.5 and loss < 0.5
+    box = packing.pack(np.array([1020, 4, 4]), np.array([1000, 1, 1]), limits)
+    assert box[1] == box[2] != box[0]
+
+
 def test_packing(spark):
     random_ = np.random.default_rng(6)
     n = random_.integers(1, 500, 3000)
