@@ -15,7 +15,7 @@ from quillspark.operators import state as S
 from quillspark.operators import structure as V
 from quillspark.plans.base import CHUNKS, DOCUMENTS, QUESTIONS, Query, bm25_sql, chunks, documents, typed
 from quillspark.plans.ingest import _LINES, _TRIM
-from quillspark.runtime import table
+from quillspark.runtime import new_folder, table
 from quillspark.streaming import feed
 
 TEXTS = [(q, t) for q, t, _ in QUESTIONS]
@@ -309,12 +309,7 @@ def latest_versions(s, d):
 
 def stream_version_guard(s, d):
     """The same guard over a stream of the table's files, with its state in the shared folder."""
-    import tempfile
-    import uuid
-
-    shared = s.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{shared or tempfile.mkdtemp()}/feed-{uuid.uuid4().hex}"
-    return feed.run_version_guard(feed.stream_table(s, d, "change_event"), folder).select("seq", "document_id", "version")
+    return feed.run_version_guard(feed.stream_table(s, d, "change_event"), new_folder(s, "feed")).select("seq", "document_id", "version")
 
 
 def conversation_ttl(s, d):
