@@ -19,11 +19,15 @@ from quillspark.llm import bpe
 from quillspark.llm.corpus import current_documents
 from quillspark.llm.encode import slices
 from quillspark.llm.language import label_names
-from quillspark.runtime import checkpoint, ship
+from quillspark.runtime import checkpoint, new_folder, ship
 
 DIMENSIONS = ["corpus", "source", "language", "department", "document_type"]
 HASH = ["h1", "h2", "tokenizer"]
 UNKNOWN = "unknown"
+#: In place of a vocabulary's path: the tokenizer whose tokens are the bytes of UTF-8.
+BYTES = "bytes"
+#: What was delivered in the last so many days is the change that a registered query applies to an older state.
+LATE_DAYS = 30
 
 # Spellings of the departments, by their letters alone.
 DEPARTMENTS = {
@@ -57,7 +61,9 @@ def language(c: Column, names: dict[str, str]) -> Column:
 
 
 def tokenizer_hash(path: str) -> int:
-    """A signed 64-bit hash of the vocabulary file."""
+    """A signed 64-bit hash of the vocabulary file; 0 for BYTES."""
+    if path == BYTES:
+        return 0
     with open(path, "rb") as f:
         return int.from_bytes(hashlib.sha256(f.read()).digest()[:8], "big", signed=True)
 
@@ -70,6 +76,8 @@ def with_hash(rows: DataFrame, path: str) -> DataFrame:
 
 def counts_of(rows: DataFrame, path: str) -> DataFrame:
     """``(h1, h2, tokenizer, tokens)`` of ``(h1, h2, tokenizer, text)``; copies in a batch are encoded once."""
+    if path == BYTES:
+        return rows.groupBy(*HASH).agg(F.coalesce(F.octet_length(F.first("text")), F.lit(0)).cast("bigint").alias("tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.load(path)
@@ -94,23 +102,35 @@ class State:
     items: DataFrame
     cells: DataFrame
 
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str) -> State:
+        """The state that ``update`` wrote under ``folder``, in this run or an earlier one."""
+        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in ("counts", "items", "cells")))
 
-def update(rows: DataFrame, before: State | None = None, path: str | None = None) -> State:
-    """State of the items ``rows`` (DIMENSIONS, key, text), each (corpus, key) once.
+
+def update(rows: DataFrame, before: State | None = None, path: str | None = None, folder: str | None = None) -> State:
+    """State of the items ``rows`` (DIMENSIONS, key, text), each (corpus, key) once; written under ``folder`` if there is one.
 
     Without ``before`` everything is new. Items of ``before`` that are missing in ``rows``
     count as removed. Cells whose items are all gone disappear.
     """
-    ship(rows.sparkSession)
+    spark = ship(rows.sparkSession)
     path = path or bpe.tokenizer_path()
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if folder is None:
+            return checkpoint(df)
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
     hashed = with_hash(rows, path)
     fresh = hashed if before is None else hashed.join(before.counts.select(*HASH), HASH, "left_anti")
     counts = counts_of(fresh, path)
     if before is not None:
         counts = before.counts.select(*HASH, "tokens").unionByName(counts)
-    counts = checkpoint(counts)
+    counts = kept(counts, "counts")
     columns = ["corpus", "key", *DIMENSIONS[1:], *HASH]
-    items = checkpoint(hashed.select(*columns))
+    items = kept(hashed.select(*columns), "items")
     signed = items.withColumn("sign", F.lit(1))
     if before is not None:
         # an item that stayed as it was cancels itself out
@@ -121,7 +141,8 @@ def update(rows: DataFrame, before: State | None = None, path: str | None = None
     deltas = grouped.join(counts, HASH).groupBy(*DIMENSIONS).agg(F.sum("items").alias("items"), F.sum(F.col("items") * F.col("tokens")).alias("tokens"))
     if before is not None:
         deltas = deltas.unionByName(before.cells).groupBy(*DIMENSIONS).agg(F.sum("items").alias("items"), F.sum("tokens").alias("tokens"))
-    return State(counts, items, deltas.where(F.col("items") != 0))
+    # the cells come last: they complete a state
+    return State(counts, items, kept(deltas.where(F.col("items") != 0), "cells"))
 
 
 def cube(cells: DataFrame) -> DataFrame:
@@ -153,7 +174,44 @@ def document_items(documents: DataFrame, names: dict[str, str]) -> DataFrame:
     )
 
 
+def all_items(chunks: DataFrame, loaded: DataFrame, documents: DataFrame, names: dict[str, str]) -> DataFrame:
+    return chunk_items(chunks, loaded, names).unionByName(document_items(documents, names))
+
+
+def run(spark: SparkSession, steps: list[DataFrame], path: str | None = None) -> State:
+    """State after the items of each step, each a whole set of items; every state is written and read again by the next."""
+    state, folder = None, new_folder(spark, "token-budget")
+    for number, items in enumerate(steps):
+        update(items, state, path, f"{folder}/{number}")
+        state = State.read(spark, f"{folder}/{number}")
+    return state
+
+
+def _earlier(rows: DataFrame, at: str) -> DataFrame:
+    """Rows of before the last LATE_DAYS; those without a time are earlier ones."""
+    last = rows.agg(F.max(at) - F.make_dt_interval(F.lit(LATE_DAYS))).scalar()
+    return rows.where(F.coalesce(F.col(at) < last, F.lit(True)))
+
+
 def token_budget(spark: SparkSession, chunks: DataFrame, loaded: DataFrame, documents: DataFrame, reference: DataFrame) -> DataFrame:
-    """The cube of both corpora from the start."""
+    """The cube of both corpora: the state of LATE_DAYS ago, then the signed deltas of what came or changed since.
+
+    A chunk belongs to the older state if its document was delivered by then, under the
+    label that it had then. The result is that of a count of everything from the start.
+    """
+    names = label_names(reference)
+    before = _earlier(loaded, "loaded_at")
+    known = before.select(F.col("metadata.id").alias("document_id")).distinct()
+    old = all_items(chunks.join(known, "document_id", "left_semi"), before, _earlier(documents, "crawled_at"), names)
+    return cube(run(spark, [old, all_items(chunks, loaded, documents, names)]).cells)
+
+
+def after_removal(spark: SparkSession, chunks: DataFrame, loaded: DataFrame, documents: DataFrame, reference: DataFrame, withdrawn: DataFrame, path: str = BYTES) -> DataFrame:
+    """The cube after three states: earlier deliveries, all of them, and all but the chunks of the ``withdrawn`` documents (document_id).
+
+    The tokens are those of ``path``, by default the bytes of UTF-8, which SQL can count too.
+    """
     names = label_names(reference)
-    return cube(update(chunk_items(chunks, loaded, names).unionByName(document_items(documents, names))).cells)
+    first = all_items(chunks, _earlier(loaded, "loaded_at"), _earlier(documents, "crawled_at"), names)
+    left = chunks.join(withdrawn.select("document_id").distinct(), "document_id", "left_anti")
+    return cube(run(spark, [first, all_items(chunks, loaded, documents, names), all_items(left, loaded, documents, names)], path).cells)

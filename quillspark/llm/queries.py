@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import budget, language, near, neighbours, packing, repetition, scans, sentences, split
 from quillspark.llm.corpus import current_documents
 from quillspark.llm.encode import token_ids
+from quillspark.llm.oracles import SQL
 from quillspark.runtime import table
 
 
@@ -80,6 +81,15 @@ def p6_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.token_budget(spark, chunks, loaded, documents, reference)
 
 
+def p6_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cube in bytes, by deltas from earlier deliveries over the present ones to the withdrawal of documents.
+
+    Withdrawn are the documents of which a change of no tenant is on record.
+    """
+    chunks, loaded, documents, reference, events = (table(spark, sf_dir, t) for t in ("document_chunk", "loaded_document", "documents", "language_ref", "change_event"))
+    return budget.after_removal(spark, chunks, loaded, documents, reference, events.where("tenant_id is null"))
+
+
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents assigned to containers of each capacity."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacity"))
@@ -108,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
         "p6_budget": p6_budget,
+        "p6_deltas": p6_deltas,
         "p7_found": p7_found,
         "p7_nearest": p7_nearest,
         "p8_ids": p8_ids,
@@ -118,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL

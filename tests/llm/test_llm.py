@@ -372,6 +372,34 @@ def test_budget_by_deltas_equals_a_fresh_count(spark):
     assert total["tokens"] == sum(len(r) // 4 for r in e.encode_batch([*HARD[:-1], "fresh text"])) and total["items"] == len(HARD)
 
 
+def test_state_is_read_again(spark, tmp_path):
+    """Three runs over a kept state, the last without most items, equal a fresh count; only unseen texts are counted."""
+    names = "corpus string, key string, source string, language string, department string, document_type string, text string"
+    rows = [("c", str(i), "ab"[i % 2], "en", "HR", "Policy", t) for i, t in enumerate(HARD)]
+    steps = [rows[:9], rows, [(*r[:2], "moved", *r[3:]) for r in rows[::3]], []]
+    before = None
+    for n, step in enumerate(steps):
+        budget.update(spark.createDataFrame(step, names), before, None, f"{tmp_path}/{n}")
+        before = budget.State.read(spark, f"{tmp_path}/{n}")
+        fresh = budget.update(spark.createDataFrame(step, names))
+        assert sorted(map(tuple, before.cells.collect())) == sorted(map(tuple, fresh.cells.collect()))
+        assert before.counts.count() == before.counts.dropDuplicates(budget.HASH).count()
+    assert before.cells.count() == 0
+
+
+def _sql_names():
+    from quillspark.llm.oracles import SQL
+
+    return sorted(SQL)
+
+
+@pytest.mark.parametrize("name", _sql_names())
+def test_matches_sql(spark, data, name):
+    import oracle
+
+    assert oracle.compare(spark, queries.queries()[name], queries.oracle_sql()[name], data) == ""
+
+
 def test_dirty_names(spark):
     df = spark.createDataFrame([("H.R.", " adr", "fr_CA"), ("Legal Dept", "releasenote", "xx"), (None, None, None), (" ", "", " ")], "d string, t string, l string")
     got = [tuple(r) for r in df.select(budget.department(F.col("d")), budget.document_type(F.col("t")), budget.language(F.col("l"), {"fr": "fr"})).collect()]
