@@ -16,6 +16,10 @@ class PreprocessOptions:
     drop_empty_pages: bool = True
     least_pages: int = 3
     least_letters: int = 40
+    # Phrases of filler pages.
+    phrases: tuple[str, ...] = (
+        "для заметок", "для записей", "страница намеренно оставлена пустой", "намеренно оставлено пустым", "this page intentionally left blank", "notes",
+    )
 
 
 @dataclass(frozen=True)
@@ -23,6 +27,7 @@ class IngestionOptions:
     contextual: bool = False
     max_chunk: int = 800
     preprocess: bool = True
+    cleaning: PreprocessOptions = field(default_factory=PreprocessOptions)
 
 
 @dataclass(frozen=True)

@@ -39,7 +39,7 @@ class Engine:
         """``(chunk_id, document_id, chunk_index, text, start_char_offset, end_char_offset, metadata)``."""
         if strategy not in CHUNKERS:
             raise ValueError(f"unknown chunker {strategy}")
-        rows = pages.preprocess(documents) if self.ingestion.preprocess else documents
+        rows = pages.preprocess(documents, self.ingestion.cleaning) if self.ingestion.preprocess else documents
         if strategy == "recursive":
             options.setdefault("limit", self.ingestion.max_chunk)
         out = CHUNKERS[strategy](rows, "document_id", "content", **options)

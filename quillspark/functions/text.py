@@ -34,9 +34,9 @@ def normalise_newlines(c: Column) -> Column:
 
 
 def dehyphenate(c: Column) -> Column:
-    """Join words broken over a line end, then codes broken after their hyphen."""
-    words = F.regexp_replace(c, r"(\p{L}\p{L})[-‐‑]\n(?U:\s*)(?=\p{Ll}\p{Ll})", "$1")
-    return F.regexp_replace(words, r"([\p{Lu}\p{Nd}])([-‐‑])\n(?U:\s*)(?=\p{Nd})", "$1$2")
+    """Join words broken over a line end, then close up what else has a hyphen there, as codes do."""
+    words = F.regexp_replace(c, r"(?<=\p{L}{2})[-‐‑]\n(?U:\s*)(?=\p{Ll}{2})", "")
+    return F.regexp_replace(words, r"(?<=[A-Za-zА-Яа-я0-9])[-‐‑]\n(?U:\s*)(?=[A-Za-zА-Яа-я0-9])", "-")
 
 
 def dot_leaders(c: Column) -> Column:
@@ -47,14 +47,16 @@ def collapse_whitespace(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)[^\S\n]{2,}", " "), r"\n{3,}", "\n\n")
 
 
-def clean(c: Column, leaders: bool = True, hyphens: bool = True) -> Column:
-    """The cleaner: invisible characters, newlines, hyphens, dot leaders, white space, trim, in this order."""
+def clean(c: Column, leaders: bool = True, hyphens: bool = True, spaces: bool = True) -> Column:
+    """The cleaner: invisible characters, newlines, hyphens, dot leaders, white space, trim, in this order; the middle three as asked."""
     c = normalise_newlines(strip_invisible(c))
     if hyphens:
         c = dehyphenate(c)
     if leaders:
         c = dot_leaders(c)
-    return trim(collapse_whitespace(c))
+    if spaces:
+        c = collapse_whitespace(c)
+    return trim(c)
 
 
 def tokens(c: Column) -> Column:

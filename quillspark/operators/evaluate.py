@@ -11,7 +11,13 @@ from quillspark.functions import text as X
 PRICES = ("0.00", "0.20", "0.40")
 #: Weights of the composite score and the bounds of its labels.
 WEIGHTS, GOOD, FAIR = (0.25, 0.40, 0.25, 0.10), 0.80, 0.65
-STOP_WORDS = ["that", "this", "with", "from", "have", "which", "будет", "также", "этот", "если", "который"]
+# Words that say nothing about a text, and the answer where no sentence holds a fact.
+STOP_WORDS = [
+    "модуль", "модуля", "модулей", "также", "этого", "может", "быть", "согласно",
+    "данным", "документа", "паспорта", "является", "имеет", "следующие", "параметры",
+]
+NO_ANSWER = "В предоставленном контексте найдены параметры документа, соответствующие запросу."
+FAILED = "[ошибка"
 
 
 def upper_median(c: Column) -> Column:
@@ -137,22 +143,31 @@ def retrieval_metrics(judged: DataFrame) -> DataFrame:
 
 
 def grounded_share(answer: Column, context: Column) -> Column:
-    """Share of the answer's distinct words of four or more characters that the context has; 1 without any."""
+    """Share of the answer's distinct words of four or more characters that the context has, without regard to case.
+
+    1 without any such word; 0 for a null or blank answer or context.
+    """
     found = F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"([A-Za-zА-Яа-я0-9\-_:]{4,})"), F.lit(1)), lambda w: F.lower(w)))
     words = F.array_except(found, F.array(*map(F.lit, STOP_WORDS)))
     low = F.lower(context)
-    return F.when(F.size(words) == 0, F.lit(1.0)).otherwise(F.round(F.size(F.filter(words, lambda w: F.contains(low, w))) / F.size(words), 6))
+    share = F.when(F.size(words) == 0, F.lit(1.0)).otherwise(F.round(F.size(F.filter(words, lambda w: F.contains(low, w))) / F.size(words), 6))
+    blank = (X.trim(F.coalesce(answer, F.lit(""))) == "") | (X.trim(F.coalesce(context, F.lit(""))) == "")
+    return F.when(blank, F.lit(0.0)).otherwise(share)
 
 
 def fact_share(answer: Column, facts: Column) -> Column:
+    """Share of the facts that the answer holds; 0 for a null, blank or failed answer, else 1 without facts."""
     low = F.lower(answer)
-    return F.when(F.size(facts) == 0, F.lit(1.0)).otherwise(F.round(F.size(F.filter(facts, lambda f: F.contains(low, F.lower(f)))) / F.size(facts), 6))
+    share = F.when(F.size(facts) == 0, F.lit(1.0)).otherwise(F.round(F.size(F.filter(facts, lambda f: F.contains(low, F.lower(f)))) / F.size(facts), 6))
+    none = (X.trim(F.coalesce(answer, F.lit(""))) == "") | F.coalesce(low, F.lit("")).startswith(FAILED)
+    return F.when(none, F.lit(0.0)).otherwise(share)
 
 
 def extractive_answer(text: Column, facts: Column, sentences: int = 2) -> Column:
-    """First sentences that hold an expected fact."""
-    parts = F.transform(F.regexp_extract_all(text, F.lit(r"([^.!?]+[.!?]*)"), F.lit(1)), X.trim)
-    return F.array_join(F.slice(F.filter(parts, lambda p: F.exists(facts, lambda f: F.contains(F.lower(p), F.lower(f)))), 1, sentences), " ")
+    """First sentences, parted by full stops and line ends, that hold an expected fact; NO_ANSWER if none does."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[.\n]"), X.trim), lambda p: p != "")
+    held = F.slice(F.filter(parts, lambda p: F.exists(facts, lambda f: F.contains(F.lower(p), F.lower(f)))), 1, sentences)
+    return F.when(F.size(held) > 0, F.concat(F.array_join(held, ". "), F.lit("."))).otherwise(F.lit(NO_ANSWER))
 
 
 def cost(embedding: Column, prompt: Column, completion: Column) -> Column:

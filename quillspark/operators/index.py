@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.providers import complete
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -36,7 +37,11 @@ def upsert(table: DataFrame, changes: DataFrame, key: str = "chunk_id", order: s
     return table.join(changes.select(key), key, "left_anti").select(*table.columns).unionByName(changes.select(*table.columns))
 
 
-def delete(table: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
+def delete(table: DataFrame, ids: DataFrame, key: str = "chunk_id", collection: str | None = None) -> DataFrame:
+    """Rows whose key isn't in ``ids``; with ``collection`` those of other collections stay whatever their key."""
+    if collection is not None:
+        mine = F.coalesce(F.col("collection_name") == collection, F.lit(False))
+        return delete(table.where(mine), ids, key).unionByName(table.where(~mine))
     return table.join(ids.select(key).distinct(), key, "left_anti")
 
 
@@ -54,11 +59,38 @@ def orphans(table: DataFrame, rechunked: DataFrame) -> DataFrame:
     return table.join(changed, "document_id", "left_semi").join(rechunked.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "document_id")
 
 
-def index_rows(chunks: DataFrame, strategy: str = "chunk") -> DataFrame:
-    """``(embed_text, chunk_id)``: the text of the chunk, or its first sentence for ``sub-chunk``."""
-    first = F.regexp_extract("text", r"^([\s\S]*?[.!?])(?:\s|$)", 1)
-    text = {"chunk": F.col("text"), "sub-chunk": F.when(first != "", first).otherwise(F.col("text"))}[strategy]
-    return chunks.select(text.alias("embed_text"), "chunk_id")
+# What the two strategies that ask a model ask for.
+QUESTION_PROMPT = (
+    "Сформулируйте {0} кратких и четких вопросов на русском языке, ответы на которые содержатся "
+    "в приведенном фрагменте текста. Выводите строго по одному вопросу на строку, без нумерации и вводных слов.\n\nФрагмент текста:\n"
+)
+SUMMARY_PROMPT = "Составьте краткое резюме следующего фрагмента текста в одном или двух предложениях на русском языке.\n\nФрагмент текста:\n"
+
+
+def index_rows(chunks: DataFrame, strategy: str = "chunk", chat=None, questions: int = 3) -> DataFrame:
+    """``(embed_text, chunk_id)``: what stands for each chunk in the index.
+
+    ``chunk``: its text; ``sub-chunk``: its first sentence, none for a blank text;
+    ``query``: a row for each line of the model's reply to a request for ``questions``
+    questions; ``summary``: the model's summary, none if that is blank. Null texts count as empty.
+    """
+    text = F.coalesce("text", F.lit(""))
+    if strategy == "chunk":
+        return chunks.select(text.alias("embed_text"), "chunk_id")
+    if strategy == "sub-chunk":
+        first = X.trim(F.regexp_replace(text, r"(?s)(?<=[.!?])(?U:\s+).*$", ""))
+        return chunks.select(first.alias("embed_text"), "chunk_id").where("embed_text <> ''")
+    if strategy not in ("query", "summary"):
+        raise ValueError(f"unknown indexing strategy {strategy}")
+    if chat is None:
+        raise ValueError(f"the strategy {strategy} needs a chat provider")
+    if questions < 1:
+        raise ValueError("at least one question is needed")
+    prompt = QUESTION_PROMPT.format(questions) if strategy == "query" else SUMMARY_PROMPT
+    asked = complete(chunks.select("chunk_id", F.concat(F.lit(prompt), text).alias("prompt")), "prompt", chat)
+    reply = X.trim(F.coalesce("reply", F.lit("")))
+    lines = F.transform(F.split(reply, "\n"), X.trim) if strategy == "query" else F.array(reply)
+    return asked.select(F.explode(lines).alias("embed_text"), "chunk_id").where("embed_text <> ''")
 
 
 def route_by_extension(documents: DataFrame, strategies: dict[str, str], default: str = "chunk") -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.config import PreprocessOptions
 from quillspark.functions import text as X
 
-# Phrases that make a page boilerplate.
-BOILERPLATE = ["для заметок", "this page intentionally left blank", "страница намеренно оставлена пустой", "notes"]
 MARKER = r"(?i)^## Page\s+\d+"
+# A line of nothing but the page's number.
+PAGE_NUMBER = r"(?iu)^(?:(?:Стр\.?|Page)\s*)?\d+(?:\s*(?:из|of|/)\s*\d+)?$"
 
 
 def split_lines(documents: DataFrame) -> DataFrame:
@@ -19,78 +20,99 @@ def split_lines(documents: DataFrame) -> DataFrame:
 
 
 def split_pages(documents: DataFrame) -> DataFrame:
-    """``(document_id, page_index, header, body)``: a marker begins a page; text before the first is page 0 without a header."""
+    """``(document_id, page_index, header, body)``: a marker begins a page; lines before the first, if any, are page 0 without a header.
+
+    Headers and bodies are trimmed. An empty content is one empty page.
+    """
     order = Window.partitionBy("document_id").orderBy("line_no")
     rows = split_lines(documents).withColumn("is_marker", F.col("line").rlike(MARKER).cast("int"))
     rows = rows.withColumn("page_index", F.sum("is_marker").over(order).cast("int"))
-    rows = rows.groupBy("document_id", "page_index").agg(
-        F.max(F.when(F.col("is_marker") == 1, F.col("line"))).alias("header"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_marker") == 0, F.struct("line_no", "line")))), lambda x: x["line"]), "\n").alias("body"),
+    lines = F.array_sort(F.collect_list(F.when(F.col("is_marker") == 0, F.struct("line_no", "line"))))
+    return rows.groupBy("document_id", "page_index").agg(
+        X.trim(F.max(F.when(F.col("is_marker") == 1, F.col("line")))).alias("header"), X.trim(F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("body")
     )
-    return rows.where(F.col("header").isNotNull() | (X.trim(F.col("body")) != ""))
 
 
-def edge_lines(pages: DataFrame) -> DataFrame:
-    """Pages with their lines that aren't blank and the first and last of them if they can be a running line."""
+def strip_running_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5) -> DataFrame:
+    """Remove lines at the page edges that come again on at least half of the pages of a document, and page numbers.
+
+    The first line goes if it, or it but for its digits, is as often the first one; then the
+    last of what is left if that holds for last lines, or if it is only the page's number.
+    Counted are lines of 3 to 120 characters that begin neither with ``#`` nor ``|``; a
+    page of one line counts on both sides. Documents of fewer than ``least_pages`` pages
+    stay as they are. ``body`` is joined anew from the lines that aren't blank.
+    """
     lines = F.filter(F.transform(F.split("body", "\n"), X.trim), lambda x: x != "")
+    size = F.size("lines")
+    rows = pages.withColumn("lines", lines).withColumns({
+        "pages": F.count("*").over(Window.partitionBy("document_id")),
+        "top": F.lower(F.when(size > 0, F.element_at("lines", 1))), "bottom": F.lower(F.when(size > 0, F.element_at("lines", -1))),
+    })
 
-    def usable(c):
-        return F.when((F.length(c) >= 3) & (F.length(c) <= 120) & ~c.startswith("#") & ~c.startswith("|"), c)
+    def shape(c):
+        return F.regexp_replace(c, r"\d+", "#")
+
+    def often(line, counted):
+        # lines are counted by their first and last places in the document; the test is for any line
+        fit = counted.isNotNull() & F.length(counted).between(3, 120) & ~counted.startswith("#") & ~counted.startswith("|")
+        need = F.ceil(F.col("pages") * share)
+        exact = F.count(F.when(fit, 1)).over(Window.partitionBy("document_id", counted)) >= need
+        alike = F.count(F.when(fit, 1)).over(Window.partitionBy("document_id", shape(counted))) >= need
+        return line.isNotNull() & (exact | alike)
+
+    many = F.col("pages") >= least_pages
+    rows = rows.withColumns({"drop_first": many & often(F.col("top"), F.col("top")), "often_last": often(F.col("bottom"), F.col("bottom"))})
+    # what is left has a last line of its own unless the only line went
+    left = size > F.when(F.col("drop_first"), 1).otherwise(0)
+    rows = rows.withColumn("drop_last", many & left & (F.col("often_last") | F.col("bottom").rlike(PAGE_NUMBER)))
+    start = F.when(F.col("drop_first"), 2).otherwise(1)
+    kept = F.greatest(F.lit(0), size - F.when(F.col("drop_first"), 1).otherwise(0) - F.when(F.col("drop_last"), 1).otherwise(0))
+    body = F.when(many, F.array_join(F.slice("lines", start, kept), "\n")).otherwise(F.col("body"))
+    return rows.select("document_id", "page_index", "header", body.alias("body"), "drop_first", "drop_last")
 
-    rows = pages.withColumn("lines", lines)
-    first = F.when(F.size("lines") > 0, F.element_at("lines", 1))
-    last = F.when(F.size("lines") > 1, F.element_at("lines", -1))
-    return rows.withColumns({"first_line": usable(first), "last_line": usable(last)})
 
+def _keeps(options: PreprocessOptions) -> Column:
+    body = X.trim(F.col("body"))
+    holds = F.col("body").contains("|") | F.col("body").contains("![") | F.col("body").contains("```")
+    phrase = F.lower(F.regexp_replace(body, "[.!? ]+$", "")).isin([p.lower() for p in options.phrases])
+    return (body != "") & (holds | ~(phrase | (X.letters(F.col("body")) < options.least_letters)))
 
-def strip_running_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5) -> DataFrame:
-    """Remove first and last lines that come again on at least half of the pages of a document, exactly or but for digits.
 
-    Documents of fewer than ``least_pages`` pages stay as they are. ``body`` is joined anew from the lines that aren't blank.
+def keep_pages(pages: DataFrame, options: PreprocessOptions | None = None) -> DataFrame:
+    """Drop empty pages, pages of one of the phrases, and those of too few letters; a page with a table, an image or code always stays.
+
+    A phrase is the whole page but for closing marks and letter case.
     """
-    rows = edge_lines(pages)
-    of_document = Window.partitionBy("document_id")
-    rows = rows.withColumn("pages", F.count("*").over(of_document))
-    need = F.ceil(F.col("pages") * share)
-    marks = {}
-    for side in ("first", "last"):
-        low = F.lower(f"{side}_line")
-        shape = F.regexp_replace(low, r"\d+", "#")
-        exact = F.count(low).over(Window.partitionBy("document_id", low))
-        alike = F.count(low).over(Window.partitionBy("document_id", shape))
-        marks[f"drop_{side}"] = F.coalesce(low.isNotNull() & (F.col("pages") >= least_pages) & ((exact >= need) | (alike >= need)), F.lit(False))
-    rows = rows.withColumns(marks)
-    start = F.when(F.col("drop_first"), 2).otherwise(1)
-    size = F.greatest(F.lit(0), F.size("lines") - F.when(F.col("drop_first"), 1).otherwise(0) - F.when(F.col("drop_last"), 1).otherwise(0))
-    body = F.when(F.col("pages") >= least_pages, F.array_join(F.slice("lines", start, size), "\n")).otherwise(F.col("body"))
-    return rows.select("document_id", "page_index", "header", body.alias("body"), "drop_first", "drop_last")
+    return pages.where(_keeps(options or PreprocessOptions()))
 
 
-def keep_pages(pages: DataFrame, least_letters: int = 40) -> DataFrame:
-    """Drop pages of boilerplate or too few letters; pages with a table, an image or code always stay."""
-    keeps = F.col("body").contains("|") | F.col("body").contains("![") | F.col("body").contains("```")
-    low = F.lower("body")
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | (F.length(X.trim(low)) <= len(p) + 2) & low.contains(p)
-    return pages.where(keeps | ~(phrase | (X.letters(F.col("body")) < least_letters)))
+def reassemble(pages: DataFrame, keep: Column | None = None) -> DataFrame:
+    """``(document_id, content)``: headers and bodies in order, a blank line between pages, trimmed.
 
+    With ``keep`` only the pages for which it holds; a document without any has an empty content.
+    """
+    head = F.when(F.coalesce("header", F.lit("")) != "", F.concat("header", F.lit("\n"))).otherwise(F.lit(""))
+    page = F.struct("page_index", F.concat(head, X.trim(F.col("body")), F.lit("\n")).alias("page"))
+    parts = F.array_sort(F.collect_list(page if keep is None else F.when(keep, page)))
+    return pages.groupBy("document_id").agg(X.trim(F.array_join(F.transform(parts, lambda x: x["page"]), "\n")).alias("content"))
 
-def reassemble(pages: DataFrame) -> DataFrame:
-    """``(document_id, content)``: headers and bodies in order, a blank line between pages."""
-    page = F.concat_ws("\n", F.col("header"), F.nullif(X.trim(F.col("body")), F.lit("")))
-    parts = F.array_sort(F.collect_list(F.struct("page_index", page.alias("page"))))
-    return pages.groupBy("document_id").agg(F.array_join(F.transform(parts, lambda x: x["page"]), "\n\n").alias("content"))
 
+def preprocess(documents: DataFrame, options: PreprocessOptions | None = None) -> DataFrame:
+    """Clean contents; those of two pages or more lose running lines and empty pages, each step as the options say.
 
-def preprocess(documents: DataFrame) -> DataFrame:
-    """Clean contents; those of two pages or more lose running lines and empty pages."""
-    cleaned = documents.where(F.col("content").isNotNull()).select("document_id", X.clean(F.col("content")).alias("content"))
-    pages = split_pages(cleaned)
-    many = pages.groupBy("document_id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    worked = reassemble(keep_pages(strip_running_lines(pages.join(many.select("document_id"), "document_id", "left_semi"))))
-    rest = cleaned.join(many.select("document_id"), "document_id", "left_anti")
-    return worked.unionByName(rest)
+    A content of which no page is left is empty; a blank one stays as it is.
+    """
+    options = options or PreprocessOptions()
+    text = X.clean(F.col("content"), leaders=options.dot_leaders, hyphens=options.dehyphenate, spaces=options.clean)
+    rows = documents.where(F.col("content").isNotNull()).select("document_id", F.when(X.trim(F.col("content")) == "", F.col("content")).otherwise(text).alias("content"))
+    if not (options.strip_running_lines or options.drop_empty_pages):
+        return rows
+    pages = split_pages(rows).withColumn("n", F.count("*").over(Window.partitionBy("document_id"))).where(F.col("n") > 1).drop("n")
+    if options.strip_running_lines:
+        pages = strip_running_lines(pages, options.least_pages)
+    worked = reassemble(pages, _keeps(options) if options.drop_empty_pages else None)
+    joined = rows.join(worked.withColumnRenamed("content", "worked"), "document_id", "left")
+    return joined.select("document_id", F.coalesce("worked", "content").alias("content"))
 
 
 def cluster_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
@@ -102,6 +124,23 @@ def cluster_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     return rows.withColumn("line_no", F.row_number().over(order))
 
 
+def assemble_words(words: DataFrame, separator: str | None = "## Page {0}", tolerance: float = 3.0) -> DataFrame:
+    """``(document_id, content)`` of a table of words: lines by their baselines, pages in order, each under its separator.
+
+    ``{0}`` in the separator is the page number; null or blank leaves it out. Pages without
+    any word are left out, and so are documents without any.
+    """
+    lines = cluster_lines(words, tolerance).withColumn("line", X.trim(F.col("line"))).where("line <> ''")
+    each = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    pages = lines.groupBy("document_id", "page_number").agg(F.concat(F.array_join(F.transform(each, lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+    if separator and separator.strip():
+        before, _, after = separator.partition("{0}")
+        pages = pages.withColumn("text", F.concat(F.lit(before), F.col("page_number").cast("string") if "{0}" in separator else F.lit(""), F.lit(after + "\n\n"), "text"))
+    parts = F.array_sort(F.collect_list(F.struct("page_number", "text")))
+    content = F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n")
+    return pages.groupBy("document_id").agg(F.regexp_replace(content, r"(?U)\s+$", "").alias("content"))
+
+
 def markdown_tables(documents: DataFrame) -> DataFrame:
     """Runs of lines that begin and end with a bar: ``(document_id, table_no, section, first_line, lines, markdown)``."""
     order = Window.partitionBy("document_id").orderBy("line_no")

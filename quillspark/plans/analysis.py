@@ -92,8 +92,10 @@ def relevance_judgements(s, d):
 
 
 def answer_grounding(s, d):
-    """Each chunk as an answer from the chunk before it in its document."""
-    a = chunks(s, d).where("text is not null")
+    """Each chunk as an answer from the chunk before it in its document; some of them blank or failed."""
+    n = F.col("chunk_index")
+    text = F.when(n % 5 == 3, " ").when(n % 5 == 4, F.concat(F.lit("[Ошибка] "), "text")).otherwise(F.col("text"))
+    a = chunks(s, d).where("text is not null").select("chunk_id", "document_id", "chunk_index", text.alias("text"))
     before = a.select("document_id", (F.col("chunk_index") + 1).alias("chunk_index"), F.col("text").alias("context"))
     both = a.join(before, ["document_id", "chunk_index"])
     facts = F.array(F.lit("quarterly"), F.lit("vault"), F.lit("bar"))
@@ -103,7 +105,7 @@ def answer_grounding(s, d):
 def extractive_answers(s, d):
     facts = F.array(F.lit("power feed"), F.lit("отчёт"), F.lit("rapport"))
     rows = chunks(s, d).where("text is not null").select("chunk_id", E.extractive_answer(F.col("text"), facts).alias("answer"))
-    return rows.where("answer <> ''").select("chunk_id", F.sha2("answer", 256).alias("hash"))
+    return rows.select("chunk_id", F.sha2("answer", 256).alias("hash"))
 
 
 def cost_model(s, d):
@@ -154,26 +156,47 @@ def section_asof(s, d):
 
 
 def _elements(s, d):
-    return _headings(s, d).select(
-        "document_id", F.concat_ws("@", "document_id", "line_no").alias("element_id"), F.lit(1).alias("page_number"), F.col("title").alias("section_heading"), F.col("at").alias("start_char_offset")
-    )
+    """Headings as elements of five kinds by their line: with an offset, a content, a section, a page of their own, or nothing that fits."""
+    n = F.col("line_no") % 5
+    lines = A.raw_lines(documents(s, d)).where(F.col("line").rlike(V.HEADING)).withColumn("title", X.trim(F.regexp_extract("line", V.HEADING, 2)))
+    pages = A.page_spans(documents(s, d))
+    within = (F.col("at") >= F.col("page_start")) & (F.col("at") < F.col("page_end"))
+    numbered = lines.join(pages, "document_id").where(within).select("document_id", "line_no", "at", "title", "page_number")
+    return numbered.select(
+        "document_id", F.concat_ws("@", "document_id", "line_no").alias("element_id"), F.when(n == 3, F.col("page_number")).otherwise(9999).alias("page_number"),
+        F.when(n == 2, F.upper("title")).alias("section_heading"), F.when(n == 0, F.col("at")).when((n == 4) & (F.col("line_no") % 2 == 0), F.col("at") + 1000000).otherwise(0).alias("start_char_offset"),
+        F.when(n == 1, F.col("title")).alias("content"), "title", "line_no", "at",
+    )
 
 
 def element_attach(s, d):
-    """Headings as elements, to the chunks of their documents."""
-    c = chunks(s, d).join(section_asof(s, d), ["document_id", "chunk_id"]).withColumn("page_number", F.lit(None).cast("int"))
-    return A.attach_elements(_elements(s, d), c)
+    """To the chunks of their documents, by all five levels."""
+    return A.attach_elements(_elements(s, d), A.chunk_places(chunks(s, d), documents(s, d)))
+
+
+def chunk_places(s, d):
+    rows = A.chunk_places(chunks(s, d), documents(s, d))
+    return rows.select("chunk_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "section")
+
+
+def multimodal_chunks(s, d):
+    """Headings as figures and tables, in the texts of the chunks that they belong to."""
+    table_of = F.concat(F.lit("| "), "title", F.lit(" |\n| --- |"))
+    e = _elements(s, d).withColumn("kind", F.when(F.col("line_no") % 2 == 0, "Figure").otherwise("Table")).withColumn("element_no", F.col("line_no"))
+    e = e.withColumn("content", F.when(F.col("kind") == "Table", table_of).otherwise(F.concat(F.lit("Picture of "), "title")))
+    rows = A.augmented(chunks(s, d), e, documents(s, d))
+    return rows.select("chunk_id", F.sha2("text", 256).alias("hash"), F.col("figures").cast("bigint").alias("figures"), F.col("tables").cast("bigint").alias("tables"))
 
 
 def element_nearest(s, d):
-    return A.nearest_chunk(_elements(s, d), chunks(s, d))
+    return A.nearest_chunk(_elements(s, d).withColumn("start_char_offset", F.col("at")), chunks(s, d))
 
 
 def element_texts(s, d):
     """Chunks with the heading of their section appended as a table's caption, unless it is there already."""
     rows = chunks(s, d).where("text is not null").join(section_asof(s, d).where("section is not null"), ["document_id", "chunk_id"])
-    text = A.with_element(F.col("text"), "Table", F.concat(F.lit("t-"), "chunk_id"), F.col("section"))
-    return rows.select("chunk_id", F.sha2(text, 256).alias("hash"))
+    added = A.element_addition(F.col("text"), F.lit("Table"), F.concat(F.lit("t-"), "chunk_id"), F.col("section"))
+    return rows.select("chunk_id", F.sha2(F.concat("text", added), 256).alias("hash"))
 
 
 def numbered_headings(s, d):
@@ -382,7 +405,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         chunk_quality, token_quality, size_histogram, dup_chunks, coverage_intervals, line_coverage, table_integrity, boundary_defects, metadata_faults,
-        retrieval_metrics, relevance_judgements, answer_grounding, extractive_answers, cost_model, composite_score, page_overlap, section_asof, element_attach,
+        retrieval_metrics, relevance_judgements, answer_grounding, extractive_answers, cost_model, composite_score, page_overlap, section_asof, element_attach, chunk_places, multimodal_chunks,
         element_nearest, element_texts, numbered_headings, graph_search, graph_search_all, image_dedup, entity_dedup, connected_components, khop_traverse, community_texts, community_texts_all, entity_texts, heading_tree, descendants, ancestors, siblings,
         cross_refs, formal_references, version_guard, version_guard_tenant, latest_versions, stream_version_guard, conversation_ttl, summary_cache_key,
         summary_cache_evict, events_tumbling, events_sessions, docx_scan, xlsx_scan,
@@ -393,7 +416,31 @@ _SILO = f"(SELECT *, metadata.silo AS silo FROM {CHUNKS})"
 _OFF = f"(SELECT document_id, line_no, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY document_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS off FROM {_LINES.format('')})"
 _HEAD = rf"(SELECT document_id, line_no, off, {_TRIM.format(chr(114) + 'egexp_extract(line, ' + chr(39) + '^(#{1,6})' + chr(92) + 's+(.*)$' + chr(39) + ', 2)')} AS title FROM {_OFF} WHERE regexp_matches(line, '^(#{{1,6}})\s+(.*)$'))"
 _ALL = f"(SELECT chunk_id, text FROM {CHUNKS} WHERE text IS NOT NULL)"
+_ANSWERED = f"""(SELECT chunk_id, document_id, chunk_index, CASE WHEN chunk_index % 5 = 3 THEN ' ' WHEN chunk_index % 5 = 4 THEN '[Ошибка] ' || text ELSE text END AS text FROM {CHUNKS} WHERE text IS NOT NULL)"""
 _SECTIONS = f"(SELECT c.document_id, c.chunk_id, h.title AS section FROM {CHUNKS} c ASOF LEFT JOIN {_HEAD} h ON c.document_id = h.document_id AND c.start_char_offset >= h.off)"
+_RAW = f"""(SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY document_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS off FROM (
+    SELECT document_id, length(content) AS size, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT document_id, content, string_split(content, chr(10)) AS l FROM {DOCUMENTS} WHERE content IS NOT NULL)))"""
+_PAGE = r"(?i)^\s*(?:##\s*Page\s+|\[Page\s+|---\s*Page\s+)(\d+)"
+_PAGE_SPANS = f"""(WITH m AS MATERIALIZED (SELECT document_id, n::INTEGER AS page_number, a, coalesce(lead(a) OVER (PARTITION BY document_id ORDER BY line_no), size) AS z FROM (SELECT *, regexp_extract(line, '{_PAGE}', 1) AS n,
+      coalesce(last_value(CASE WHEN {_TRIM.format('line')} <> '' THEN off + length(line) END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM {_RAW}) WHERE n <> '')
+    SELECT * FROM m UNION ALL SELECT document_id, 1, 0, length(content) FROM {DOCUMENTS} WHERE content IS NOT NULL AND document_id NOT IN (SELECT document_id FROM m))"""
+_PLACES = rf"""(SELECT c.*, coalesce(p.pages, [coalesce(TRY_CAST(regexp_extract(c.text, '(?:##\s*Page\s+|\[Page\s+)(\d+)', 1) AS INTEGER), 1)]) AS pages,
+    coalesce(nullif({_TRIM.format("regexp_extract(coalesce(c.text, ''), '(?m)^#{1,3}" + chr(92) + "s+(.+)$', 1)")}, ''),
+      CASE WHEN c.start_char_offset > 0 AND c.start_char_offset <= d.size THEN {_TRIM.format("regexp_extract(substring(h.line, 1, c.start_char_offset - h.off), '^#{1,3}" + chr(92) + "s+(.+)$', 1)")} END) AS section
+    FROM {CHUNKS} c LEFT JOIN (SELECT document_id, length(content) AS size FROM {DOCUMENTS} WHERE content IS NOT NULL) d USING (document_id)
+    LEFT JOIN (SELECT chunk_id, list_sort(list(DISTINCT page_number)) AS pages FROM {CHUNKS} c JOIN {_PAGE_SPANS} s ON s.document_id = c.document_id AND c.start_char_offset < s.z AND c.end_char_offset > s.a
+      WHERE c.end_char_offset > c.start_char_offset GROUP BY chunk_id) p ON p.chunk_id = c.chunk_id
+    ASOF LEFT JOIN (SELECT document_id, off, line, off + length(regexp_extract(line, '^#{{1,3}}\s+.', 0)) AS place FROM {_RAW} WHERE regexp_matches(line, '^#{{1,3}}\s+(.+)$')) h ON h.document_id = c.document_id AND c.start_char_offset >= h.place)"""
+_ELEMENTS = rf"""(SELECT l.document_id, l.document_id || '@' || line_no AS element_id, CASE WHEN line_no % 5 = 3 THEN page_number ELSE 9999 END AS page_number, CASE WHEN line_no % 5 = 2 THEN upper(title) END AS section_heading,
+    CASE WHEN line_no % 5 = 0 THEN off WHEN line_no % 5 = 4 AND line_no % 2 = 0 THEN off + 1000000 ELSE 0 END AS start_char_offset, CASE WHEN line_no % 5 = 1 THEN title END AS content, title, line_no, off
+    FROM (SELECT *, {_TRIM.format("regexp_extract(line, '^(#{1,6})" + chr(92) + "s+(.*)$', 2)")} AS title FROM {_RAW} WHERE regexp_matches(line, '^(#{{1,6}})\s+(.*)$')) l JOIN {_PAGE_SPANS} p ON p.document_id = l.document_id AND off >= p.a AND off < p.z)"""
+_ATTACHED = f"""(SELECT document_id, element_id, chunk_id, level FROM (SELECT *, row_number() OVER (PARTITION BY document_id, element_id ORDER BY level, CASE WHEN level >= 4 AND start_char_offset > 0 THEN dist ELSE 0 END, chunk_index) AS r FROM (
+    SELECT e.document_id, e.element_id, e.start_char_offset, c.chunk_id, c.chunk_index, abs(c.start_char_offset - e.start_char_offset) AS dist,
+      (CASE WHEN e.start_char_offset > 0 AND e.start_char_offset BETWEEN c.start_char_offset AND c.end_char_offset THEN 1
+        WHEN contains(lower(coalesce(c.text, '')), lower(e.element_id)) OR coalesce(e.content, '') <> '' AND contains(lower(coalesce(c.text, '')), lower(e.content)) THEN 2
+        WHEN coalesce(e.section_heading, '') <> '' AND (coalesce(lower(c.section) = lower(e.section_heading), false) OR contains(lower(coalesce(c.text, '')), lower(e.section_heading))) THEN 3
+        WHEN list_contains(c.pages, e.page_number) THEN 4 ELSE 5 END)::INTEGER AS level
+    FROM <elements> e JOIN {_PLACES} c ON c.document_id = e.document_id)) WHERE r = 1)"""
 _TOK = r"len(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_]+'))"
 
 
@@ -453,12 +500,14 @@ SQL: dict[str, str] = {
         round(avg(g), 6) AS ndcg_10, round(avg(CASE WHEN f IS NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS zero_hit FROM (SELECT query_id, min(CASE WHEN relevant THEN rank END) AS f,
         least(1.0::DOUBLE, sum(CASE WHEN relevant THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END)) AS g FROM {_JUDGED} GROUP BY query_id)""",
     "relevance_judgements": f"SELECT query_id, rank::BIGINT AS rank, chunk_id, relevant FROM {_JUDGED}",
-    "answer_grounding": rf"""SELECT chunk_id, CASE WHEN len(w) = 0 THEN 1.0::DOUBLE ELSE round(len(list_filter(w, lambda x: contains(lower(context), x)))::DOUBLE / len(w), 6) END AS grounded,
-        round(len(list_filter(['quarterly', 'vault', 'bar'], lambda f: contains(lower(text), f)))::DOUBLE / 3, 6) AS correct FROM (
+    "answer_grounding": rf"""SELECT chunk_id, CASE WHEN {_TRIM.format('text')} = '' OR {_TRIM.format('context')} = '' THEN 0.0::DOUBLE WHEN len(w) = 0 THEN 1.0::DOUBLE
+          ELSE round(len(list_filter(w, lambda x: contains(lower(context), x)))::DOUBLE / len(w), 6) END AS grounded,
+        CASE WHEN {_TRIM.format('text')} = '' OR starts_with(lower(text), '[ошибка') THEN 0.0::DOUBLE ELSE round(len(list_filter(['quarterly', 'vault', 'bar'], lambda f: contains(lower(text), f)))::DOUBLE / 3, 6) END AS correct FROM (
         SELECT a.chunk_id, a.text, b.text AS context, list_filter(list_distinct(list_transform(regexp_extract_all(a.text, '[A-Za-zА-Яа-я0-9\-_:]{{4,}}'), lambda x: lower(x))), lambda x: NOT list_contains({E.STOP_WORDS}, x)) AS w
-        FROM {CHUNKS} a JOIN {CHUNKS} b ON a.document_id = b.document_id AND a.chunk_index = b.chunk_index + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL)""",
-    "extractive_answers": rf"""SELECT chunk_id, sha256(answer) AS hash FROM (SELECT chunk_id, array_to_string(list_slice(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: {_TRIM.format('x')}),
-        lambda x: contains(lower(x), 'power feed') OR contains(lower(x), 'отчёт') OR contains(lower(x), 'rapport')), 1, 2), ' ') AS answer FROM {CHUNKS} WHERE text IS NOT NULL) WHERE answer <> ''""",
+        FROM {_ANSWERED} a JOIN {_ANSWERED} b ON a.document_id = b.document_id AND a.chunk_index = b.chunk_index + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL)""",
+    "extractive_answers": rf"""SELECT chunk_id, sha256(CASE WHEN len(held) > 0 THEN array_to_string(held, '. ') || '.' ELSE 'В предоставленном контексте найдены параметры документа, соответствующие запросу.' END) AS hash
+        FROM (SELECT chunk_id, list_slice(list_filter(list_filter(list_transform(regexp_split_to_array(text, '[.\n]'), lambda x: {_TRIM.format('x')}), lambda x: x <> ''),
+        lambda x: contains(lower(x), 'power feed') OR contains(lower(x), 'отчёт') OR contains(lower(x), 'rapport')), 1, 2) AS held FROM {CHUNKS} WHERE text IS NOT NULL)""",
     "cost_model": f"""SELECT silo, sum(n)::BIGINT AS tokens, sum(((n * 0.00 + n * 0.20 + 100 * 0.40) / 1000)::DECIMAL(18,6))::DECIMAL(28,6)::VARCHAR AS cost FROM (SELECT silo, {_TOK}::DECIMAL(18,0) AS n FROM {_SILO} WHERE text IS NOT NULL) GROUP BY silo""",
     "composite_score": rf"""SELECT silo, score, CASE WHEN score >= 80 THEN 'good' WHEN score >= 65 THEN 'fair' ELSE 'weak' END AS label FROM (SELECT silo, round(100 * (0.25::DOUBLE * chunk + 0.40::DOUBLE * coalesce(ndcg, 0.5::DOUBLE) + 0.25::DOUBLE * coalesce(correct, 0.5::DOUBLE) + 0.1::DOUBLE), 6) AS score
         FROM (SELECT silo, 1 - count(*) FILTER (regexp_matches(t, '^\p{{Ll}}'))::DOUBLE / count(*) AS chunk FROM (SELECT silo, {_TRIM.format('text')} AS t FROM {_SILO} WHERE text IS NOT NULL) WHERE t <> '' GROUP BY silo)
@@ -466,14 +515,19 @@ SQL: dict[str, str] = {
     "page_overlap": rf"""SELECT c.document_id, c.chunk_id, p.page_number FROM {CHUNKS} c JOIN (SELECT document_id, page_number, off AS a, coalesce(lead(off) OVER (PARTITION BY document_id ORDER BY off), 2147483647) AS z FROM (
         SELECT document_id, regexp_extract(line, '(\d+)', 1)::INTEGER AS page_number, off FROM {_OFF} WHERE regexp_matches(line, '(?i)^## Page\s+\d+'))) p ON c.document_id = p.document_id AND c.start_char_offset < p.z AND c.end_char_offset > p.a""",
     "section_asof": f"SELECT * FROM {_SECTIONS}",
-    "element_attach": f"""SELECT document_id, element_id, chunk_id, level FROM (SELECT *, row_number() OVER (PARTITION BY document_id, element_id ORDER BY level, CASE WHEN level IN (3, 5) THEN dist ELSE 0 END, chunk_index) AS r FROM (
-        SELECT e.document_id, e.document_id || '@' || e.line_no AS element_id, c.chunk_id, c.chunk_index, (CASE WHEN e.off BETWEEN c.start_char_offset AND c.end_char_offset THEN 1 WHEN e.title = s.section THEN 4 ELSE 5 END)::INTEGER AS level,
-        CASE WHEN e.off BETWEEN c.start_char_offset AND c.end_char_offset THEN 0 ELSE abs(e.off - c.start_char_offset) END AS dist
-        FROM {_HEAD} e JOIN {CHUNKS} c USING (document_id) JOIN {_SECTIONS} s ON s.chunk_id = c.chunk_id AND s.document_id = c.document_id)) WHERE r = 1""",
-    "element_nearest": f"""SELECT document_id, element_id, chunk_id FROM (SELECT e.document_id, e.document_id || '@' || e.line_no AS element_id, c.chunk_id,
-        row_number() OVER (PARTITION BY e.document_id, e.line_no ORDER BY abs(e.off - c.start_char_offset), c.chunk_index) AS r FROM {_HEAD} e JOIN {CHUNKS} c USING (document_id)) WHERE r = 1""",
-    "element_texts": f"""SELECT chunk_id, sha256(CASE WHEN contains(lower(text), lower('t-' || chunk_id)) OR contains(lower(text), lower(section)) THEN text
-        ELSE text || chr(10) || '[Table t-' || chunk_id || ']' || chr(10) || section END) AS hash FROM {CHUNKS} c JOIN {_SECTIONS} x USING (document_id, chunk_id) WHERE text IS NOT NULL AND section IS NOT NULL""",
+    "element_attach": f"SELECT document_id, element_id, chunk_id, level FROM {_ATTACHED.replace('<elements>', _ELEMENTS)}",
+    "chunk_places": f"SELECT chunk_id, array_to_string(pages, ',') AS pages, section FROM {_PLACES}",
+    "multimodal_chunks": rf"""WITH e AS MATERIALIZED (SELECT * REPLACE (CASE WHEN line_no % 2 = 1 THEN '| ' || title || ' |' || chr(10) || '| --- |' ELSE 'Picture of ' || title END AS content),
+          CASE WHEN line_no % 2 = 0 THEN 'Figure' ELSE 'Table' END AS kind FROM {_ELEMENTS}),
+        f AS (SELECT c.chunk_id, e.kind, e.line_no, e.element_id, CASE WHEN contains(lower(coalesce(c.text, '')), lower('[' || kind || ' ' || e.element_id || ']')) OR contains(lower(coalesce(c.text, '')), lower(e.content))
+            OR kind = 'Table' AND contains(lower(coalesce(c.text, '')), lower('| ' || title || ' |')) THEN '' WHEN kind = 'Table' THEN chr(10) || chr(10) || '[Table ' || e.element_id || ']' || chr(10) || e.content
+            ELSE chr(10) || chr(10) || '[Figure ' || e.element_id || '] ' || e.content END AS added FROM {_ATTACHED.replace('<elements>', 'e')} a JOIN e USING (document_id, element_id) JOIN {CHUNKS} c ON c.chunk_id = a.chunk_id),
+        g AS (SELECT chunk_id, string_agg(added, '' ORDER BY kind, line_no, element_id) AS added, count(*) FILTER (kind = 'Figure') AS figures, count(*) FILTER (kind = 'Table') AS tables FROM f GROUP BY chunk_id)
+        SELECT c.chunk_id, sha256(CASE WHEN coalesce(added, '') <> '' THEN coalesce(text, '') || added ELSE text END) AS hash, coalesce(figures, 0) AS figures, coalesce(tables, 0) AS tables FROM {CHUNKS} c LEFT JOIN g USING (chunk_id)""",
+    "element_nearest": f"""SELECT document_id, element_id, chunk_id FROM (SELECT e.document_id, e.element_id, c.chunk_id,
+        row_number() OVER (PARTITION BY e.document_id, e.element_id ORDER BY abs(e.off - c.start_char_offset), c.chunk_index) AS r FROM {_ELEMENTS} e JOIN {CHUNKS} c USING (document_id)) WHERE r = 1""",
+    "element_texts": f"""SELECT chunk_id, sha256(CASE WHEN contains(lower(text), lower('[Table t-' || chunk_id || ']')) OR contains(lower(text), lower(section)) THEN text
+        ELSE text || chr(10) || chr(10) || '[Table t-' || chunk_id || ']' || chr(10) || section END) AS hash FROM {CHUNKS} c JOIN {_SECTIONS} x USING (document_id, chunk_id) WHERE text IS NOT NULL AND section IS NOT NULL""",
     "numbered_headings": rf"""SELECT document_id, line_no::INTEGER AS line_no, repeat('#', least(6, length(n) - length(replace(n, '.', '')) + 2)::INTEGER) || ' ' || {_TRIM.format('line')} AS made FROM (
         SELECT document_id, line_no, line, regexp_extract(line, '^\s*(\d+(?:\.\d+)*)\.?\s+\p{{Lu}}', 1) AS n FROM (SELECT document_id, line_no, regexp_replace(line, '^#+\s+', '') AS line FROM {_LINES.format('')}))
         WHERE n <> '' AND length(line) <= 120 AND NOT regexp_matches(line, '[.;,]\s*$')""",

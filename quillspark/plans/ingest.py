@@ -12,6 +12,8 @@ from quillspark.operators import index as I
 from quillspark.operators import pages as P
 from quillspark.plans.base import CHUNKS, DOCUMENTS, VECTORS, Query, chunks, documents, typed, vectors
 from quillspark.runtime import table
+from quillspark.sources import facts
+from quillspark.sources.facts import document_facts
 
 # -- filters ---------------------------------------------------------------------
 
@@ -67,17 +69,22 @@ def page_split(s, d):
     return _hashed(P.split_pages(documents(s, d)), "document_id", "page_index", "header", text="body")
 
 
-def _pdf_pages(s, d):
-    return P.split_pages(documents(s, d).where(F.col("source_path").endswith(".pdf")))
+def _planted(pages):
+    """Pages with what few of the data's have: numbers at the foot of every other page, and filler pages."""
+    n = F.col("page_index")
+    foot = F.concat("body", F.lit("\nСтр. "), n.cast("string"), F.lit(" из 12"))
+    body = F.when(n % 10 == 3, "Для записей.").when(n % 10 == 5, "15").when(n % 10 == 7, "This page intentionally left blank!")
+    return pages.withColumn("body", body.when(n % 2 == 0, foot).otherwise(F.col("body")))
 
 
 def header_footer_strip(s, d):
-    return _hashed(P.strip_running_lines(_pdf_pages(s, d)), "document_id", "page_index", "drop_first", "drop_last", text="body")
+    """With page numbers planted at the foot of every other page."""
+    return _hashed(P.strip_running_lines(_planted(P.split_pages(documents(s, d)))), "document_id", "page_index", "drop_first", "drop_last", text="body")
 
 
 def page_boilerplate(s, d):
-    """Pages that are kept, with a bound on letters that these pages meet in part."""
-    return P.keep_pages(P.split_pages(documents(s, d)), least_letters=400).select("document_id", "page_index", X.letters(F.col("body")).cast("bigint").alias("letters"))
+    """Pages that are kept, filler pages planted among them."""
+    return P.keep_pages(_planted(P.split_pages(documents(s, d)))).select("document_id", "page_index", X.letters(F.col("body")).cast("bigint").alias("letters"))
 
 
 def reassemble(s, d):
@@ -92,26 +99,47 @@ def markdown_tables(s, d):
     return P.markdown_tables(documents(s, d)).select("document_id", F.col("table_no").cast("bigint").alias("table_no"), "first_line", "lines", F.sha2("markdown", 256).alias("hash"))
 
 
-def line_clusters(s, d):
-    """Words of page_block laid on slightly uneven baselines and put into lines again."""
+def _words(s, d):
+    """Words of page_block laid on slightly uneven baselines."""
     rows = table(s, d, "page_block").select("document_id", "page_number", "body").distinct()
     lines = rows.select("document_id", "page_number", F.posexplode(F.split("body", r"\r?\n")).alias("line_no", "line"))
     words = lines.select("document_id", "page_number", "line_no", F.posexplode(F.split("line", " ")).alias("left", "text")).where("text <> ''")
     base = F.lit(9000.0) - F.col("line_no") * 12 + F.pmod(F.col("left"), F.lit(2)) * 0.5
-    return P.cluster_lines(words.select("document_id", "page_number", "text", "left", base.alias("bottom"))).select(
+    return words.select("document_id", "page_number", "text", "left", base.alias("bottom"))
+
+
+def line_clusters(s, d):
+    """Words put into lines again."""
+    return P.cluster_lines(_words(s, d)).select(
         "document_id", "page_number", F.col("line_no").cast("bigint").alias("line_no"), "line"
     )
 
 
+#: Lines added to the first pages of every seventh document, so that each fact occurs.
+EXTRA_LINES = [
+    "ООО «Вектор плюс», г. Казань", "Confidential user manual, Paris 2019", "Паспорт. Для служебного пользования", "Регламент 1985 и 2031 года", "Отчет завода Прибор, г. уфа",
+    "Тел. 12-34, Москва", "",
+]
+TODAY = "2025-12-31"
+
+
+def _first_pages(s, d):
+    """First pages with codes and extra lines planted, and properties of the file for some."""
+    docs = documents(s, d).where(F.col("source_path").endswith(".pdf") & F.col("content").isNotNull())
+    before = F.split(F.regexp_replace("content", r"\r\n?", "\n"), "\n")
+    lines = F.filter(F.transform(F.slice(before, 1, 30), X.trim), lambda x: (x != "") & ~x.rlike(P.MARKER))
+    lines = F.transform(lines, lambda x: F.regexp_replace(x, r"\b([A-Z]{2})-(\d{4})\b", "$1.$2.$2 A"))
+    n = F.regexp_extract("document_id", r"(\d+)$", 1).cast("int")
+    extra = F.filter(F.array(F.get(F.array(*map(F.lit, EXTRA_LINES)), n % 7)), lambda x: x != "")
+    return docs.select(
+        "document_id", "source_path", F.concat(extra, lines).alias("lines"), F.when(n % 3 == 0, F.col("metadata.title")).when(n % 3 == 1, "Document 1").alias("info_title"),
+        F.when(n % 4 == 0, F.col("metadata.author")).when(n % 4 == 1, "Administrator").alias("info_author"), F.when(n % 2 == 0, F.col("metadata.last_modified")).alias("modified"),
+    )
+
+
 def pdf_metadata(s, d):
-    """Facts that a loader takes from the pages: first code, last year, whether a number of pages is named."""
-    rows = P.split_lines(documents(s, d).where(F.col("source_path").endswith(".pdf")))
-    code, year = F.regexp_extract("line", r"([A-Z]{2}-\d{3,4}[A-Z]?)", 1), F.regexp_extract("line", r"((?:19|20)\d\d)", 1)
-    return rows.groupBy("document_id").agg(
-        F.min_by(F.when(code != "", code), F.when(code != "", F.col("line_no"))).alias("code"),
-        F.max_by(F.when(year != "", year), F.when(year != "", F.col("line_no"))).alias("year"),
-        F.min_by(F.when(X.trim(F.col("line")).rlike(r"^[^#\s]"), X.trim(F.col("line"))), F.when(X.trim(F.col("line")).rlike(r"^[^#\s]"), F.col("line_no"))).alias("first_line"),
-    )
+    """All facts that a loader takes from the first page, the path and the properties of a file."""
+    return document_facts(_first_pages(s, d), TODAY)
 
 
 # -- chunkers ------------------------------------------------------------------------
@@ -194,9 +222,30 @@ def sub_chunk_index(s, d):
     return rows.select("chunk_id", F.sha2("embed_text", 256).alias("hash"))
 
 
+STRATEGIES = {".md": "sub-chunk", ".xlsx": "summary", ".pdf": "query"}
+
+
+class _Echo:
+    """A stand-in for a chat model: the last line of the prompt as it is, and again on a second line after a mark."""
+
+    def complete(self, prompts):
+        return ["\n".join((p.split("\n")[-1], "? " + p.split("\n")[-1])) for p in prompts]
+
+
 def index_strategies(s, d):
-    rows = I.route_by_extension(documents(s, d), {".md": "sub-chunk", ".xlsx": "summary", ".pdf": "query"})
-    return rows.groupBy("strategy").agg(F.count("*").alias("documents"))
+    """Rows of the index of every chunk by the strategy of its document's extension."""
+    routed = I.route_by_extension(documents(s, d), STRATEGIES).select("document_id", "strategy")
+    rows = chunks(s, d).join(routed, "document_id").where("text is not null")
+    out = None
+    for name in ("chunk", *STRATEGIES.values()):
+        part = I.index_rows(rows.where(F.col("strategy") == name), name, _Echo(), 2).select(F.lit(name).alias("strategy"), "chunk_id", F.sha2("embed_text", 256).alias("hash"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def word_documents(s, d):
+    """Contents put together from the words of page_block, with page separators."""
+    return _hashed(P.assemble_words(_words(s, d)), "document_id")
 
 
 # -- index upkeep --------------------------------------------------------------------------
@@ -274,7 +323,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         filter_ops, filter_null_safe, filter_in_like, filter_custom, clean_text, clean_metadata, dehyphenate, page_split, header_footer_strip, page_boilerplate, reassemble,
-        preprocess, markdown_tables, line_clusters, pdf_metadata, chunk_fixed, chunk_sentence, chunk_recursive, chunk_token_ws, chunk_token_greedy, chunk_reindex,
+        preprocess, markdown_tables, line_clusters, word_documents, pdf_metadata, chunk_fixed, chunk_sentence, chunk_recursive, chunk_token_ws, chunk_token_greedy, chunk_reindex,
         semantic_islands, adjacent_similarity, context_windows, code_chunks, atomic_table_chunks, prompt_prefixes, sub_chunk_index, index_strategies, bm25_stats,
         document_frequencies, upsert_latest, delete_ids, collection_counts, chunk_lookup, reingest_diff, reingest_result, search_keys, label_names, column_names, truncated,
     )
@@ -286,34 +335,71 @@ _TRIM = "regexp_replace({0}, '^[" + _W + "]+|[" + _W + "]+$', '', 'g')"
 _U = r"\s\x0B\x{85}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}"
 
 
-def _clean(c: str) -> str:
+def _clean(c: str, hyphens: bool = False) -> str:
     invisible = f"translate({c}, chr(160) || chr(8239) || chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(65279) || chr(174) || chr(8482) || chr(169), '  ')"
     lines = rf"regexp_replace({invisible}, '\r\n?', chr(10), 'g')"
+    lines = _dehyphenated(lines) if hyphens else lines
     leaders = rf"regexp_replace({lines}, '(?:\.[{_U}]*){{3,}}', ' ', 'g')"
     spaces = rf"regexp_replace({leaders}, '[\t\x0B\f\r \x{{85}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{205F}}\x{{3000}}]{{2,}}', ' ', 'g')"
     return _TRIM.format(rf"regexp_replace({spaces}, '\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
+_NEWLINES = r"regexp_replace({0}, '\r\n?', chr(10), 'g')"
+
+
+def _dehyphenated(c: str) -> str:
+    """Without look-around a match takes the letters at its end, so that pieces of two letters need another pass."""
+    for _ in range(4):
+        c = rf"regexp_replace({c}, '(\p{{L}}{{2}})[-‐‑]\n[{_U}\x{{A0}}\x{{202F}}]*(\p{{Ll}}{{2}})', '\1\2', 'g')"
+    for _ in range(4):
+        c = rf"regexp_replace({c}, '([A-Za-zА-Яа-я0-9])[-‐‑]\n[{_U}\x{{A0}}\x{{202F}}]*([A-Za-zА-Яа-я0-9])', '\1-\2', 'g')"
+    return c
+
+
 _LINES = rf"(SELECT document_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT document_id, source_path, string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)) AS l FROM {DOCUMENTS} WHERE content IS NOT NULL {{0}}))"
 
 
-def _pages(extra: str = "") -> str:
-    return rf"""(SELECT document_id, page_index, max(CASE WHEN m = 1 THEN line END) AS header, coalesce(string_agg(CASE WHEN m = 0 THEN line END, chr(10) ORDER BY line_no), '') AS body
-      FROM (SELECT *, sum(m) OVER (PARTITION BY document_id ORDER BY line_no)::INTEGER AS page_index FROM (SELECT *, regexp_matches(line, '(?i)^## Page\s+\d+')::INTEGER AS m FROM {_LINES.format(extra)}))
-      GROUP BY document_id, page_index HAVING header IS NOT NULL OR {_TRIM.format('body')} <> '')"""
+def _pages(lines: str = _LINES.format("")) -> str:
+    return rf"""(SELECT document_id, page_index, {_TRIM.format('header')} AS header, {_TRIM.format('body')} AS body FROM (
+      SELECT document_id, page_index, max(CASE WHEN m = 1 THEN line END) AS header, coalesce(string_agg(CASE WHEN m = 0 THEN line END, chr(10) ORDER BY line_no), '') AS body
+      FROM (SELECT *, sum(m) OVER (PARTITION BY document_id ORDER BY line_no)::INTEGER AS page_index FROM (SELECT *, regexp_matches(line, '(?i)^## Page\s+\d+')::INTEGER AS m FROM {lines}))
+      GROUP BY document_id, page_index))"""
 
 
 _PDF = "AND source_path LIKE '%.pdf'"
-_EDGES = rf"""(SELECT *, CASE WHEN length(f) BETWEEN 3 AND 120 AND NOT starts_with(f, '#') AND NOT starts_with(f, '|') THEN lower(f) END AS lf,
-    CASE WHEN length(z) BETWEEN 3 AND 120 AND NOT starts_with(z, '#') AND NOT starts_with(z, '|') THEN lower(z) END AS lz, count(*) OVER (PARTITION BY document_id) AS n
-    FROM (SELECT *, CASE WHEN len(ls) > 0 THEN ls[1] END AS f, CASE WHEN len(ls) > 1 THEN ls[-1] END AS z
-      FROM (SELECT *, list_filter(list_transform(string_split(body, chr(10)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS ls FROM {_pages(_PDF)})))"""
-_DROPS = r"""(SELECT *, coalesce(lf IS NOT NULL AND n >= 3 AND (count(lf) OVER (PARTITION BY document_id, lf) >= ceil(n * 0.5) OR
-      count(lf) OVER (PARTITION BY document_id, regexp_replace(lf, '\d+', '#', 'g')) >= ceil(n * 0.5)), false) AS drop_first,
-    coalesce(lz IS NOT NULL AND n >= 3 AND (count(lz) OVER (PARTITION BY document_id, lz) >= ceil(n * 0.5) OR
-      count(lz) OVER (PARTITION BY document_id, regexp_replace(lz, '\d+', '#', 'g')) >= ceil(n * 0.5)), false) AS drop_last FROM """ + _EDGES + ")"
-_STRIPPED = f"""(SELECT document_id, page_index, drop_first, drop_last, header, CASE WHEN n >= 3 THEN array_to_string(list_slice(ls, CASE WHEN drop_first THEN 2 ELSE 1 END,
-    len(ls) - CASE WHEN drop_last THEN 1 ELSE 0 END), chr(10)) ELSE body END AS body FROM {_DROPS})"""
+_PLANTED = f"""(SELECT document_id, page_index, header, CASE WHEN page_index % 10 = 3 THEN 'Для записей.' WHEN page_index % 10 = 5 THEN '15' WHEN page_index % 10 = 7 THEN 'This page intentionally left blank!'
+    WHEN page_index % 2 = 0 THEN body || chr(10) || 'Стр. ' || page_index || ' из 12' ELSE body END AS body FROM {_pages()})"""
+
+
+def _stripped(pages: str) -> str:
+    """Pages without running lines and page numbers: counts of first and last lines by table, then a look at each page's own."""
+    fit = "length({0}) BETWEEN 3 AND 120 AND NOT starts_with({0}, '#') AND NOT starts_with({0}, '|')"
+    often = lambda x: rf"""EXISTS (SELECT 1 FROM counts c WHERE c.document_id = e.document_id AND c.side = '{x}' AND c.shaped = false AND c.line = e.{x} AND c.times >= ceil(e.n * 0.5))
+      OR EXISTS (SELECT 1 FROM counts c WHERE c.document_id = e.document_id AND c.side = '{x}' AND c.shaped AND c.line = regexp_replace(e.{x}, '\d+', '#', 'g') AND c.times >= ceil(e.n * 0.5))"""
+    part = lambda x, shaped: f"""SELECT document_id, '{x}' AS side, {str(shaped).lower()} AS shaped, {f"regexp_replace({x}, '[0-9]+', '#', 'g')" if shaped else x} AS line, count(*) AS times
+      FROM edges WHERE {fit.format(x)} GROUP BY ALL"""
+    return rf"""(WITH edges AS MATERIALIZED (SELECT *, lower(ls[1]) AS top, lower(ls[-1]) AS bottom, count(*) OVER (PARTITION BY document_id) AS n FROM (
+        SELECT *, list_filter(list_transform(string_split(body, chr(10)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS ls FROM {pages})),
+      counts AS MATERIALIZED ({' UNION ALL '.join(part(x, sh) for x in ('top', 'bottom') for sh in (False, True))}),
+      first AS MATERIALIZED (SELECT *, n >= 3 AND len(ls) > 0 AND ({often('top')}) AS drop_first FROM edges e),
+      last AS MATERIALIZED (SELECT *, n >= 3 AND len(ls) > CASE WHEN drop_first THEN 1 ELSE 0 END AND (regexp_matches(bottom, '^(?:(?:стр\.?|page)\s*)?\d+(?:\s*(?:из|of|/)\s*\d+)?$') OR {often('bottom')}) AS drop_last FROM first e)
+      SELECT document_id, page_index, header, drop_first, drop_last, CASE WHEN n >= 3 THEN array_to_string(list_slice(ls, CASE WHEN drop_first THEN 2 ELSE 1 END, len(ls) - CASE WHEN drop_last THEN 1 ELSE 0 END), chr(10))
+        ELSE body END AS body FROM last)"""
+
+
+_LETTERS = r"length(regexp_replace(body, '[^\p{L}]', '', 'g'))"
+_KEEPS = rf"""({_TRIM.format('body')} <> '' AND (contains(body, '|') OR contains(body, '![') OR contains(body, '```') OR NOT ({_LETTERS} < 40 OR lower(regexp_replace({_TRIM.format('body')}, '[.!? ]+$', '')) IN
+    ('для заметок', 'для записей', 'страница намеренно оставлена пустой', 'намеренно оставлено пустым', 'this page intentionally left blank', 'notes'))))"""
+
+
+def _joined(pages: str, keep: str = "true") -> str:
+    return f"""(SELECT document_id, {_TRIM.format('c')} AS c FROM (SELECT document_id, coalesce(string_agg(CASE WHEN coalesce(header, '') <> '' THEN header || chr(10) ELSE '' END || {_TRIM.format('body')} || chr(10), chr(10)
+      ORDER BY page_index) FILTER ({keep}), '') AS c FROM {pages} GROUP BY document_id))"""
+
+
+_CLEANED = f"(SELECT document_id, CASE WHEN {_TRIM.format('content')} = '' THEN content ELSE {_clean('content', True)} END AS content FROM {DOCUMENTS} WHERE content IS NOT NULL)"
+_CLEAN_LINES = r"(SELECT document_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT document_id, string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)) AS l FROM " + _CLEANED + "))"
+_CLEAN_PAGES = f"(SELECT * EXCLUDE (pages) FROM (SELECT *, count(*) OVER (PARTITION BY document_id) AS pages FROM {_pages(_CLEAN_LINES)}) WHERE pages > 1)"
 
 _SPANS = """SELECT document_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS t FROM ({0})"""
 
@@ -348,6 +434,44 @@ _REDONE = _FIXED.format(900, 100, DOCUMENTS, "AND document_id IN (SELECT documen
 _COSINE = "round(list_cosine_similarity(before::DOUBLE[], vector::DOUBLE[]), 6)"
 _M = "(SELECT chunk_id, metadata.silo AS silo, metadata.department AS department, metadata.document_type AS document_type, metadata.fiscal_year AS fiscal_year, metadata.title AS title, metadata.office AS office FROM " + CHUNKS + ")"
 
+_FIRST_SENTENCE = _TRIM.format("regexp_replace(text, '(?s)([.!?])[" + _U + chr(92) + "x{A0}" + chr(92) + "x{202F}].*$', '" + chr(92) + "1')")
+_CLUSTERS = r"""SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id, page_number ORDER BY baseline DESC) AS line_no, line FROM (
+        SELECT document_id, page_number, round_even((9000.0 - line_no * 12 + (pos % 2) * 0.5) / 3.0, 0) * 3.0 AS baseline, string_agg(w, ' ' ORDER BY pos) AS line FROM (
+        SELECT document_id, page_number, line_no, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS w FROM (
+        SELECT document_id, page_number, generate_subscripts(l, 1) - 1 AS line_no, string_split(unnest(l), ' ') AS ws FROM (
+        SELECT document_id, page_number, regexp_split_to_array(body, '\r?\n') AS l FROM (SELECT DISTINCT document_id, page_number, body FROM page_block))))
+        WHERE w <> '' GROUP BY ALL)"""
+# RE2 knows word borders of ASCII alone: what stands before and after is matched with the word
+_BORDER = r"(?:^|[^\p{L}\p{M}\p{Nd}_])", r"(?:$|[^\p{L}\p{M}\p{Nd}_])"
+_CODE = f"(?i){_BORDER[0]}{facts.CODE[2:-2]}{_BORDER[1]}"
+_YEAR = f"{_BORDER[0]}{facts.YEAR[2:-2]}{_BORDER[1]}"
+
+
+def _phrases(table: dict[str, list[str]], default: str) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(low, '{p}')" for p in ps) + f" THEN '{n}'" for n, ps in table.items()) + f" ELSE '{default}' END"
+
+
+_FIRST_PAGES = rf"""(SELECT document_id, source_path, list_concat(list_filter([({EXTRA_LINES})[n % 7 + 1]], lambda x: x <> ''), list_transform(list_filter(list_transform(
+      list_slice(string_split({_NEWLINES.format('content')}, chr(10)), 1, 30), lambda x: {_TRIM.format('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^## Page\s+\d+')),
+      lambda x: regexp_replace(x, '\b([A-Z]{{2}})-(\d{{4}})\b', '\1.\2.\2 A', 'g'))) AS ls, CASE n % 3 WHEN 0 THEN metadata.title WHEN 1 THEN 'Document 1' END AS info_title,
+      CASE n % 4 WHEN 0 THEN metadata.author WHEN 1 THEN 'Administrator' END AS info_author, CASE WHEN n % 2 = 0 THEN metadata.last_modified END AS modified, regexp_extract(source_path, '([^/]+)/[^/]*$', 1) AS folder,
+      regexp_replace(regexp_replace(source_path, '^.*/', ''), '\.[^.]*$', '') AS file_name FROM (SELECT *, regexp_extract(document_id, '(\d+)$', 1)::INTEGER AS n FROM {DOCUMENTS}
+      WHERE content IS NOT NULL AND suffix(source_path, '.pdf')))"""
+_FACTS = rf"""(WITH a AS (SELECT *, {_TRIM.format("coalesce(list_filter(list_transform(ls, lambda x: regexp_extract(x, '" + _CODE + "', 1)), lambda x: x <> '')[1], regexp_extract(file_name, '" + _CODE + "', 1))")} AS code,
+        {_TRIM.format("coalesce(info_title, '')")} AS info, {_TRIM.format("coalesce(info_author, '')")} AS person, list_filter(ls, lambda x: length(x) > 6 AND NOT regexp_matches(x, '(?i){facts.NO_TITLE_LINE}') AND NOT regexp_matches(x, '{_CODE}')) AS shown,
+        list_filter(ls, lambda x: regexp_matches(x, '(?i){facts.ORGANISATION}'))[1] AS org FROM {_FIRST_PAGES}),
+      b AS (SELECT *, array_to_string(shown[1:2], ' — ') AS both_lines, coalesce(CASE WHEN regexp_matches(org, '{facts.ORGANISATION_NAME}') THEN trim(regexp_extract(org, '{facts.ORGANISATION_NAME}', 0), ' «»"') ELSE {_TRIM.format('org')} END, '') AS company,
+        list_filter(list_transform(list_reverse(ls), lambda x: TRY_CAST(regexp_extract(x, '{_YEAR}', 1) AS INTEGER)), lambda x: x BETWEEN 1990 AND 2025)[1] AS y FROM a),
+      c AS (SELECT *, CASE WHEN info <> '' AND NOT regexp_matches(info, '(?i){facts.NO_TITLE}') AND NOT suffix(lower(info), '.pdf') THEN info WHEN len(shown) > 0 THEN CASE WHEN code <> '' AND NOT contains(lower(both_lines), lower(code))
+        THEN code || ' — ' || both_lines ELSE both_lines END ELSE file_name END AS title FROM b),
+      e AS (SELECT *, lower(title || ' ' || array_to_string(ls, ' ')) AS low FROM c)
+    SELECT document_id, coalesce(nullif(trim(regexp_replace(CASE WHEN code <> '' THEN code ELSE file_name END, '[^\p{{L}}\p{{Nd}}.\-_]+', '-', 'g'), '-'), ''), 'doc-' || left(sha256(document_id), 8)) AS id,
+      CASE WHEN folder IN ({", ".join(f"'{x}'" for x in facts.SILOS)}) THEN folder ELSE 'technical-docs' END AS silo, 'Engineering' AS department,
+      coalesce(list_filter(list_transform(ls, lambda x: regexp_extract(x, '(?i){facts.CITY}', 0)), lambda x: x <> '')[1], 'Central') AS office, {_phrases(facts.LEVELS, 'Public')} AS confidentiality_level,
+      {_phrases(facts.TYPES, 'Specification')} AS document_type, coalesce(y, least(year(modified), 2025), 2025)::INTEGER AS fiscal_year, CASE WHEN person <> '' AND NOT contains(lower(person), 'user') AND NOT contains(lower(person), 'admin')
+        THEN CASE WHEN company <> '' AND NOT contains(lower(person), lower(company)) THEN person || ' (' || company || ')' ELSE person END WHEN company <> '' THEN company ELSE 'Unknown' END AS author,
+      coalesce(modified, DATE '2025-12-31') AS last_modified, title FROM e)"""
+
 SQL: dict[str, str] = {
     "filter_ops": f"""SELECT chunk_id, silo, fiscal_year FROM {_M} WHERE (coalesce(fiscal_year >= 2019, false) AND coalesce(fiscal_year < 2024, false) AND NOT coalesce(silo = 'legal-contracts', false))
         OR coalesce(contains(title, 'index'), false)""",
@@ -357,24 +481,20 @@ SQL: dict[str, str] = {
     "clean_text": f"SELECT document_id, sha256(c) AS hash, length(c)::BIGINT AS length FROM (SELECT document_id, {_clean('content')} AS c FROM {DOCUMENTS} WHERE content IS NOT NULL)",
     "clean_metadata": f"SELECT document_id, {_clean('metadata.title')} AS title, {_clean('metadata.author')} AS author FROM {DOCUMENTS}",
     "page_split": f"SELECT document_id, page_index, header, sha256(body) AS hash, length(body)::BIGINT AS length FROM {_pages()}",
-    "header_footer_strip": f"SELECT document_id, page_index, drop_first, drop_last, sha256(body) AS hash, length(body)::BIGINT AS length FROM {_STRIPPED}",
-    "page_boilerplate": rf"""SELECT document_id, page_index, length(regexp_replace(body, '[^\p{{L}}]', '', 'g'))::BIGINT AS letters FROM {_pages()}
-        WHERE contains(body, '|') OR contains(body, '![') OR contains(body, '```') OR length(regexp_replace(body, '[^\p{{L}}]', '', 'g')) >= 400""",
-    "reassemble": f"""SELECT document_id, sha256(c) AS hash, length(c)::BIGINT AS length FROM (SELECT document_id, string_agg(concat_ws(chr(10), header, nullif({_TRIM.format('body')}, '')), chr(10) || chr(10)
-        ORDER BY page_index) AS c FROM {_pages()} GROUP BY document_id)""",
+    "header_footer_strip": f"SELECT document_id, page_index, drop_first, drop_last, sha256(body) AS hash, length(body)::BIGINT AS length FROM {_stripped(_PLANTED)}",
+    "page_boilerplate": f"SELECT document_id, page_index, {_LETTERS}::BIGINT AS letters FROM {_PLANTED} WHERE {_KEEPS}",
+    "reassemble": f"SELECT document_id, sha256(c) AS hash, length(c)::BIGINT AS length FROM {_joined(_pages())}",
+    "dehyphenate": f"SELECT document_id, sha256(c) AS hash, length(c)::BIGINT AS length FROM (SELECT document_id, {_dehyphenated(_NEWLINES.format('content'))} AS c FROM {DOCUMENTS} WHERE content IS NOT NULL)",
+    "preprocess": f"""SELECT document_id, sha256(c) AS hash, length(c)::BIGINT AS length FROM (SELECT document_id, coalesce(j.c, d.content) AS c
+        FROM {_CLEANED} d LEFT JOIN {_joined(_stripped(_CLEAN_PAGES), _KEEPS)} j USING (document_id))""",
     "markdown_tables": f"""SELECT document_id, table_no::BIGINT AS table_no, min(line_no)::BIGINT AS first_line, count(*) AS lines, sha256(string_agg(l, chr(10) ORDER BY line_no)) AS hash FROM (
         SELECT *, sum(CASE WHEN b AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY line_no) AS table_no FROM (
         SELECT *, coalesce(lag(b) OVER (PARTITION BY document_id ORDER BY line_no), false) AS before FROM (
         SELECT *, trim(line, ' ') AS l, starts_with(trim(line, ' '), '|') AND suffix(trim(line, ' '), '|') AS b FROM {_LINES.format('')}))) WHERE b GROUP BY document_id, table_no""",
-    "line_clusters": r"""SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id, page_number ORDER BY baseline DESC) AS line_no, line FROM (
-        SELECT document_id, page_number, round_even((9000.0 - line_no * 12 + (pos % 2) * 0.5) / 3.0, 0) * 3.0 AS baseline, string_agg(w, ' ' ORDER BY pos) AS line FROM (
-        SELECT document_id, page_number, line_no, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS w FROM (
-        SELECT document_id, page_number, generate_subscripts(l, 1) - 1 AS line_no, string_split(unnest(l), ' ') AS ws FROM (
-        SELECT document_id, page_number, regexp_split_to_array(body, '\r?\n') AS l FROM (SELECT DISTINCT document_id, page_number, body FROM page_block))))
-        WHERE w <> '' GROUP BY ALL)""",
-    "pdf_metadata": rf"""SELECT document_id, arg_min(CASE WHEN code <> '' THEN code END, CASE WHEN code <> '' THEN line_no END) AS code, arg_max(CASE WHEN y <> '' THEN y END, CASE WHEN y <> '' THEN line_no END) AS year,
-        arg_min(CASE WHEN t <> '' AND NOT starts_with(t, '#') THEN t END, CASE WHEN t <> '' AND NOT starts_with(t, '#') THEN line_no END) AS first_line FROM (
-        SELECT document_id, line_no, regexp_extract(line, '([A-Z]{{2}}-\d{{3,4}}[A-Z]?)', 1) AS code, regexp_extract(line, '((?:19|20)\d\d)', 1) AS y, {_TRIM.format('line')} AS t FROM {_LINES.format(_PDF)}) GROUP BY document_id""",
+    "line_clusters": _CLUSTERS,
+    "word_documents": rf"""SELECT document_id, sha256(c) AS hash, length(c)::BIGINT AS length FROM (SELECT document_id, regexp_replace(string_agg(t, chr(10) || chr(10) ORDER BY page_number), '[{_U}\x{{A0}}\x{{202F}}]+$', '') AS c FROM (
+        SELECT document_id, page_number, '## Page ' || page_number || chr(10) || chr(10) || string_agg(l, chr(10) ORDER BY line_no) || chr(10) AS t FROM (SELECT *, {_TRIM.format('line')} AS l FROM ({_CLUSTERS})) WHERE l <> '' GROUP BY document_id, page_number) GROUP BY document_id)""",
+    "pdf_metadata": f"SELECT * FROM {_FACTS}",
     "chunk_fixed": f"""SELECT document_id, chunk_index::BIGINT AS chunk_index, sha256(text) AS hash, start::BIGINT AS start, (start + length(text))::BIGINT AS "end" FROM ({_FIXED.format(500, 100, DOCUMENTS, '')})""",
     "chunk_sentence": _spans(_sentences(3)),
     "chunk_recursive": _spans(_recursive(400)),
@@ -392,9 +512,12 @@ SQL: dict[str, str] = {
         FROM (SELECT c.chunk_id, d.content, c.start_char_offset AS a, c.end_char_offset AS z FROM {CHUNKS} c JOIN {DOCUMENTS} d USING (document_id) WHERE d.content IS NOT NULL))""",
     "prompt_prefixes": f"""SELECT chunk_id, sha256('search_document: ' || text) AS as_document, sha256('Represent this sentence for searching relevant passages: ' || text) AS as_query
         FROM {CHUNKS} WHERE text IS NOT NULL""",
-    "sub_chunk_index": rf"""SELECT chunk_id, sha256(CASE WHEN f <> '' THEN f ELSE text END) AS hash FROM (SELECT chunk_id, text, regexp_extract(text, '^((?s:.)*?[.!?])(?:\s|$)', 1) AS f FROM {CHUNKS} WHERE text IS NOT NULL)""",
-    "index_strategies": rf"""SELECT CASE lower(regexp_extract(source_path, '(\.[^./]+)$', 1)) WHEN '.md' THEN 'sub-chunk' WHEN '.xlsx' THEN 'summary' WHEN '.pdf' THEN 'query' ELSE 'chunk' END AS strategy,
-        count(*) AS documents FROM {DOCUMENTS} GROUP BY 1""",
+    "sub_chunk_index": rf"SELECT chunk_id, sha256(f) AS hash FROM (SELECT chunk_id, {_FIRST_SENTENCE} AS f FROM {CHUNKS} WHERE text IS NOT NULL) WHERE f <> ''",
+    "index_strategies": rf"""WITH c AS (SELECT c.*, CASE lower(regexp_extract(source_path, '(\.[^./]+)$', 1)) WHEN '.md' THEN 'sub-chunk' WHEN '.xlsx' THEN 'summary' WHEN '.pdf' THEN 'query' ELSE 'chunk' END AS strategy,
+          {_TRIM.format("string_split(text, chr(10))[-1]")} AS z, string_split(text, chr(10))[-1] AS raw FROM {CHUNKS} c JOIN {DOCUMENTS} d USING (document_id) WHERE text IS NOT NULL)
+        SELECT strategy, chunk_id, sha256(x) AS hash FROM (SELECT strategy, chunk_id, text AS x FROM c WHERE strategy = 'chunk' UNION ALL SELECT strategy, chunk_id, {_FIRST_SENTENCE} FROM c WHERE strategy = 'sub-chunk'
+          UNION ALL SELECT strategy, chunk_id, z FROM c WHERE strategy = 'query' UNION ALL SELECT strategy, chunk_id, {_TRIM.format(''? ' || raw')} FROM c WHERE strategy = 'query'
+          UNION ALL SELECT strategy, chunk_id, {_TRIM.format("raw || chr(10) || '? ' || raw")} FROM c WHERE strategy = 'summary') WHERE strategy = 'chunk' OR x <> ''""",
     "bm25_stats": rf"""SELECT count(*) AS chunks, sum(n)::BIGINT AS tokens, round(avg(n), 6) AS average FROM (SELECT len(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}_]+')) AS n FROM {CHUNKS} WHERE text IS NOT NULL)""",
     "document_frequencies": rf"""SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}_]+')) AS term
         FROM {CHUNKS} WHERE text IS NOT NULL) GROUP BY ALL) GROUP BY term""",

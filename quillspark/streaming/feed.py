@@ -2,8 +2,8 @@
 
 Each micro-batch is worked off in ``foreachBatch`` with the batch number in the paths it
 writes, so that a batch that runs again after a failure replaces what it wrote. Version
-state is a table of one row for each document; a hot document is a window over sorted
-rows, never a group in memory.
+state is kept as the changes of each batch, merged now and then; a hot document is cut
+into blocks of its sequence.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.operators.state import above_all_earlier
+
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_a_trigger: int | None = None) -> DataFrame:
     """``name.parquet`` of a data directory (a file or a directory of files) as a stream."""
@@ -27,16 +29,24 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_a_trigger: i
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+#: After so many batches the changes of the version state are merged into one table.
+MERGE_BATCHES = 16
+
+
 def accept(batch: DataFrame, state: DataFrame | None) -> DataFrame:
     """Events whose version is above that in ``state`` and all earlier ones of the batch, in the order of ``seq``."""
-    before = Window.partitionBy("document_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = batch.withColumn("last", F.max("version").over(before))
-    if state is not None:
-        rows = rows.join(state.withColumnRenamed("version", "known"), "document_id", "left")
-    else:
-        rows = rows.withColumn("known", F.lit(None).cast("bigint"))
-    floor = F.greatest("last", "known")  # greatest skips nulls
-    return rows.where(floor.isNull() | (F.col("version") > floor)).drop("last", "known")
+    return above_all_earlier(batch, state)
+
+
+def known_versions(spark: SparkSession, states: str, number: int) -> DataFrame | None:
+    """Version of each document before batch ``number``: the last merged table and the changes of the batches since."""
+    if not number:
+        return None
+    merged = number // MERGE_BATCHES * MERGE_BATCHES
+    paths = [f"{states}/merged/{merged}"] if merged else []
+    paths += [f"{states}/changes/{n}" for n in range(merged, number)]
+    rows = spark.read.schema("document_id string, version bigint").parquet(*paths)
+    return rows.groupBy("document_id").agg(F.max("version").alias("version"))
 
 
 def run_version_guard(
@@ -54,15 +64,17 @@ def run_version_guard(
     def work(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         rows = batch if tenant is None else batch.where(F.col("tenant_id") == tenant)
-        state = session.read.parquet(f"{states}/{number - 1}") if number else None
-        rows = accept(rows, state)
+        rows = accept(rows, known_versions(session, states, number))
         rows.write.mode("overwrite").parquet(f"{accepted}/batch={number}")
         done = session.read.schema(schema).parquet(f"{accepted}/batch={number}")
         if sink is not None:
             sink(done, number)
-        fresh = done.select("document_id", "version")
-        both = fresh if state is None else state.unionByName(fresh)
-        both.groupBy("document_id").agg(F.max("version").alias("version")).write.mode("overwrite").parquet(f"{states}/{number}")
+        fresh = done.groupBy("document_id").agg(F.max("version").alias("version"))
+        fresh.write.mode("overwrite").parquet(f"{states}/changes/{number}")
+        if (number + 1) % MERGE_BATCHES == 0:
+            # all before this batch, and this one; what is merged is read no more
+            both = fresh if not number else known_versions(session, states, number).unionByName(fresh)
+            both.groupBy("document_id").agg(F.max("version").alias("version")).write.mode("overwrite").parquet(f"{states}/merged/{number + 1}")
 
     query = events.writeStream.foreachBatch(work).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.config import Features, RerankOptions, TokenBudgets
+from quillspark import providers
+from quillspark.config import Features, PreprocessOptions, RerankOptions, TokenBudgets
 from quillspark.functions import text as X
 from quillspark.functions import vector as VEC
 from quillspark.functions.predicates import ALL, Custom, OneOf, where
@@ -137,10 +138,90 @@ def test_pages(spark):
     assert "Company Report" not in out[0]["content"] and "Стр." not in out[0]["content"] and words.strip() in out[0]["content"]
     assert out[1]["content"] == "one page"
     four = "## Page 1\n" + words * 2 + "\n\n## Page 2\nДля заметок.\n\n## Page 3\n3\n\n## Page 4\n| a | b |"
-    kept = pages.keep_pages(pages.split_pages(spark.createDataFrame([("d", four)], "document_id string, content string")), 30).collect()
+    kept = pages.keep_pages(pages.split_pages(spark.createDataFrame([("d", four)], "document_id string, content string")), PreprocessOptions(least_letters=30)).collect()
     assert sorted(r["page_index"] for r in kept) == [1, 4]
 
 
+def test_page_numbers_and_fillers(spark):
+    """Page numbers go always, a lone line counts on both sides, phrases are whole pages, and each step can be left out."""
+    body = "Words enough to be a page of its own in this document of pages "
+    feet = ["Page 1 of 4", "2", "стр. 3", "4 / 4"]
+    content = "\n".join(f"## Page {n}\n{body}{'abcd'[n - 1]}\n{x}" for n, x in enumerate(feet, 1)) + "\n## Page 5\nДЛЯ ЗАПИСЕЙ!\n## Page 6\nnotes on paper"
+    docs = spark.createDataFrame([("d", content), ("e", "## Page 1\n1\n## Page 2\n2"), ("f", " \n "), ("g", None), ("h", "")], "document_id string, content string")
+
+    def run(**options):
+        return {r["document_id"]: r["content"] for r in pages.preprocess(docs, PreprocessOptions(**options)).collect()}
+
+    got = run()
+    assert got == {"d": "\n\n".join(f"## Page {n}\n{body}{'abcd'[n - 1]}" for n in range(1, 5)), "e": "", "f": " \n ", "h": ""}
+    assert "ЗАПИСЕЙ" in run(drop_empty_pages=False)["d"] and "Page 1 of 4" not in run(drop_empty_pages=False)["d"]
+    assert "Page 1 of 4" in run(strip_running_lines=False)["d"] and run(strip_running_lines=False, drop_empty_pages=False)["e"].count("## Page") == 2
+    assert "notes on paper" in run(least_letters=5)["d"] and "ЗАПИСЕЙ" in run(least_letters=5, phrases=())["d"]
+    lone = spark.createDataFrame([("d", n, f"## Page {n}", "Same line") for n in range(3)], "document_id string, page_index int, header string, body string")
+    assert {(r["drop_first"], r["drop_last"], r["body"]) for r in pages.strip_running_lines(lone).collect()} == {(True, False, "")}
+
+
+def test_codes_over_line_ends(spark):
+    rows = spark.createDataFrame([("RS-\n485 and преобразова-\nтель, ab-\nCd, x-\n1, a-\n b",)], "t string")
+    assert rows.select(X.dehyphenate(F.col("t"))).first()[0] == "RS-485 and преобразователь, ab-Cd, x-1, a-b"
+
+
+def test_answers(spark):
+    facts = F.array(F.lit("alpha"), F.lit("beta"))
+    rows = spark.createDataFrame([(0, "Alpha one!\nBeta two. gamma", "alpha"), (1, "", "x"), (2, None, None), (3, "[Ошибка: alpha]", "alpha"), (4, "также", "z"), (5, "word", " ")], "i int, a string, c string")
+    got = rows.orderBy("i").select(evaluate.grounded_share(F.col("a"), F.col("c")), evaluate.fact_share(F.col("a"), facts), evaluate.extractive_answer(F.col("a"), facts)).collect()
+    assert [r[0] for r in got] == [round(1 / 3, 6), 0.0, 0.0, 0.5, 1.0, 0.0] and [r[1] for r in got] == [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    assert got[0][2] == "Alpha one!. Beta two." and got[1][2] == got[2][2] == evaluate.NO_ANSWER
+
+
+def test_facts_of_a_first_page(spark):
+    from quillspark.sources.facts import document_facts
+
+    lines = ["ООО «Прибор»", "Руководство по эксплуатации", "РАПМ.421.345 РЭ v2.1", "Модуль ввода сигналов", "Нижний Новгород, 2031", "Москва 2019"]
+    rows = [("a", "/x/hr-policies/f.pdf", lines, None, "Admin", None), ("b", "f b!.pdf", None, "Untitled", " A. Author ", None), ("c", None, [], "Real title", None, None), ("d", "/?.pdf", [None], None, None, None)]
+    schema = "document_id string, source_path string, lines array<string>, info_title string, info_author string, modified date, extra int"
+    got = {r["document_id"]: r for r in document_facts(spark.createDataFrame([(*r, 1) for r in rows], schema), "2025-06-01").collect()}
+    a = got["a"]
+    assert (a["id"], a["silo"], a["office"], a["document_type"], a["fiscal_year"], a["author"]) == ("РАПМ.421.345-РЭ-v2.1", "hr-policies", "Нижний Новгород", "Runbook", 2019, "ООО")
+    assert a["title"] == "РАПМ.421.345 РЭ v2.1 — Руководство по эксплуатации — Модуль ввода сигналов"
+    assert (got["b"]["id"], got["b"]["title"], got["b"]["author"], got["b"]["fiscal_year"]) == ("f-b", "f b!", "A. Author", 2025)
+    assert got["c"]["title"] == "Real title" and got["c"]["id"].startswith("doc-") and got["d"]["id"].startswith("doc-")
+
+
+def test_words_to_pages(spark):
+    w = [("d", 2, "b", 5.0, 90.0), ("d", 2, "a", 1.0, 90.9), ("d", 1, "x", 1.0, 10.0), ("d", 1, "top", 1.0, 40.0), ("d", 3, " ", 1.0, 1.0)]
+    df = spark.createDataFrame(w, "document_id string, page_number int, text string, left double, bottom double")
+    assert pages.assemble_words(df).first()["content"] == "## Page 1\n\ntop\nx\n\n\n## Page 2\n\na b"
+    assert pages.assemble_words(df, None).first()["content"] == "top\nx\n\n\na b"
+
+
+def test_index_strategies(spark):
+    c = spark.createDataFrame([("1", "One. Two."), ("2", "  "), ("3", None)], "chunk_id string, text string")
+    chat = providers.RuleChat([("One", "First?\n\n Second? ")], "")
+    got = lambda name: [tuple(r) for r in index.index_rows(c, name, chat).collect()]
+    assert got("sub-chunk") == [("One.", "1")] and got("query") == [("First?", "1"), ("Second?", "1")] and got("summary") == [("First?\n\n Second?", "1")]
+    with pytest.raises(ValueError):
+        index.index_rows(c, "query")
+
+
+def test_version_guard_of_a_hot_document(spark):
+    """One document with most events, cut into many blocks, gives what a walk over all events gives."""
+    import random
+
+    draw = random.Random(1)
+    rows = [(n, "hot" if draw.random() < 0.9 else draw.choice(["a", "b", None]), "t", draw.choice([None, *range(n // 10, n // 10 + 30)])) for n in range(800)]
+    df = spark.createDataFrame(rows, "seq bigint, document_id string, tenant_id string, version bigint")
+    last, want = {}, []
+    for n, d, _, v in rows:
+        if v is not None and (d not in last or v > last[d]):
+            want.append(n)
+            last[d] = v
+    known = spark.createDataFrame([("hot", 40)], "document_id string, version bigint")
+    for block in (7, 1 << 18):
+        assert sorted(r["seq"] for r in state.above_all_earlier(df, None, block).collect()) == want
+        assert min(r["version"] for r in state.above_all_earlier(df, known, block).where("document_id = 'hot'").collect()) > 40
+
+
 # -- retrieval ---------------------------------------------------------------------------------------
 
 
@@ -210,12 +291,28 @@ def test_upsert_and_reingest(spark):
 
 
 def test_attach_levels(spark):
-    c = spark.createDataFrame([("d", "d#0", 0, 0, 10, 1, "A"), ("d", "d#1", 1, 10, 20, 2, "B")],
-                              "document_id string, chunk_id string, chunk_index int, start_char_offset int, end_char_offset int, page_number int, section string")
-    e = spark.createDataFrame([("d", "inside", 9, None, 15), ("d", "both", 9, None, 10), ("d", "page", 2, None, 500), ("d", "section", 9, "A", 400), ("d", "far", 9, None, 300)],
-                              "document_id string, element_id string, page_number int, section_heading string, start_char_offset int")
+    c = spark.createDataFrame([("d", "d#0", 0, "Intro, see IMG-7", 0, 10, [1], "Alpha"), ("d", "d#1", 1, "Body of Beta", 10, 20, [2, 3], "B"), ("d", "d#2", 2, None, 30, 40, [3], None)],
+                              "document_id string, chunk_id string, chunk_index int, text string, start_char_offset int, end_char_offset int, pages array<int>, section string")
+    rows = [("inside", 9, None, 15, None), ("edge", 9, None, 10, None), ("zero", 3, None, 0, None), ("img-7", 3, "beta", 500, None), ("table", 3, None, 0, "BODY of"), ("heading", 1, "ALPHA", 400, None),
+            ("in text", 1, "beta", None, None), ("page", 3, " ", 400, None), ("far", 9, None, 300, None), ("none", 9, None, 0, None)]
+    e = spark.createDataFrame([("d", *r) for r in rows], "document_id string, element_id string, page_number int, section_heading string, start_char_offset int, content string")
     got = {r["element_id"]: (r["chunk_id"], r["level"]) for r in attach.attach_elements(e, c).collect()}
-    assert got == {"inside": ("d#1", 1), "both": ("d#0", 1), "page": ("d#1", 3), "section": ("d#0", 4), "far": ("d#1", 5)}
+    assert got == {"inside": ("d#1", 1), "edge": ("d#0", 1), "zero": ("d#1", 4), "img-7": ("d#0", 2), "table": ("d#1", 2), "heading": ("d#0", 3), "in text": ("d#1", 3), "page": ("d#2", 4),
+                   "far": ("d#2", 5), "none": ("d#0", 5)}
+
+
+def test_places_and_additions(spark):
+    content = "## Page 1\n# One\nfirst words here\n\n[Page 2]\nsecond words\n--- Page 3 ---\n## Two\nlast"
+    docs = spark.createDataFrame([("d", content), ("n", "no marks")], "document_id string, content string")
+    rows = [("d#0", "d", 0, content[:20], 0, 20), ("d#1", "d", 1, "words here", 20, 45), ("d#2", "d", 2, "## Own\nx", 50, 60), ("d#3", "d", 3, None, 5, 5), ("d#4", "d", 4, "[Page 7]", 9, 9), ("n#0", "n", 0, "no", 0, 2)]
+    c = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, text string, start_char_offset int, end_char_offset int")
+    got = {r["chunk_id"]: (r["pages"], r["section"]) for r in attach.chunk_places(c, docs).collect()}
+    assert got == {"d#0": ([1], "Page 1"), "d#1": ([1, 2], "One"), "d#2": ([2, 3], "Own"), "d#3": ([1], "Pa"), "d#4": ([7], "Page 1"), "n#0": ([1], None)}
+    e = [("d", "f1", 1, None, 3, "A picture", "Figure", 1), ("d", "t1", 1, None, 2, "| a |\n| - |", "Table", 0), ("d", "f2", 1, None, 4, "WORDS HERE", "Figure", 2), ("n", "t2", 1, None, 0, " ", "Table", 0)]
+    elements = spark.createDataFrame(e, "document_id string, element_id string, page_number int, section_heading string, start_char_offset int, content string, kind string, element_no int")
+    out = {r["chunk_id"]: (r["text"], r["figures"], r["tables"]) for r in attach.augmented(c, elements, docs).collect()}
+    assert out["d#0"] == (content[:20] + "\n\n[Figure f1] A picture\n\n[Table t1]\n| a |\n| - |", 1, 1) and out["d#1"] == ("words here", 1, 0) and out["n#0"] == ("no", 0, 1)
+    assert out["d#3"] == (None, 0, 0) and len(out) == 6
 
 
 def test_components_and_hops(spark):
