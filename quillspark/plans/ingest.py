@@ -516,7 +516,7 @@ SQL: dict[str, str] = {
     "index_strategies": rf"""WITH c AS (SELECT c.*, CASE lower(regexp_extract(source_path, '(\.[^./]+)$', 1)) WHEN '.md' THEN 'sub-chunk' WHEN '.xlsx' THEN 'summary' WHEN '.pdf' THEN 'query' ELSE 'chunk' END AS strategy,
           {_TRIM.format("string_split(text, chr(10))[-1]")} AS z, string_split(text, chr(10))[-1] AS raw FROM {CHUNKS} c JOIN {DOCUMENTS} d USING (document_id) WHERE text IS NOT NULL)
         SELECT strategy, chunk_id, sha256(x) AS hash FROM (SELECT strategy, chunk_id, text AS x FROM c WHERE strategy = 'chunk' UNION ALL SELECT strategy, chunk_id, {_FIRST_SENTENCE} FROM c WHERE strategy = 'sub-chunk'
-          UNION ALL SELECT strategy, chunk_id, z FROM c WHERE strategy = 'query' UNION ALL SELECT strategy, chunk_id, {_TRIM.format(''? ' || raw')} FROM c WHERE strategy = 'query'
+          UNION ALL SELECT strategy, chunk_id, z FROM c WHERE strategy = 'query' UNION ALL SELECT strategy, chunk_id, {_TRIM.format("'? ' || raw")} FROM c WHERE strategy = 'query'
           UNION ALL SELECT strategy, chunk_id, {_TRIM.format("raw || chr(10) || '? ' || raw")} FROM c WHERE strategy = 'summary') WHERE strategy = 'chunk' OR x <> ''""",
     "bm25_stats": rf"""SELECT count(*) AS chunks, sum(n)::BIGINT AS tokens, round(avg(n), 6) AS average FROM (SELECT len(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}_]+')) AS n FROM {CHUNKS} WHERE text IS NOT NULL)""",
     "document_frequencies": rf"""SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}_]+')) AS term

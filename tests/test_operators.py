@@ -308,7 +308,7 @@ def test_places_and_additions(spark):
     c = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, text string, start_char_offset int, end_char_offset int")
     got = {r["chunk_id"]: (r["pages"], r["section"]) for r in attach.chunk_places(c, docs).collect()}
     assert got == {"d#0": ([1], "Page 1"), "d#1": ([1, 2], "One"), "d#2": ([2, 3], "Own"), "d#3": ([1], "Pa"), "d#4": ([7], "Page 1"), "n#0": ([1], None)}
-    e = [("d", "f1", 1, None, 3, "A picture", "Figure", 1), ("d", "t1", 1, None, 2, "| a |\n| - |", "Table", 0), ("d", "f2", 1, None, 4, "WORDS HERE", "Figure", 2), ("n", "t2", 1, None, 0, " ", "Table", 0)]
+    e = [("d", "f1", 1, None, 3, "A picture", "Figure", 1), ("d", "t1", 1, None, 2, "| a |\n| - |", "Table", 0), ("d", "f2", 1, None, 0, "WORDS HERE", "Figure", 2), ("n", "t2", 1, None, 0, " ", "Table", 0)]
     elements = spark.createDataFrame(e, "document_id string, element_id string, page_number int, section_heading string, start_char_offset int, content string, kind string, element_no int")
     out = {r["chunk_id"]: (r["text"], r["figures"], r["tables"]) for r in attach.augmented(c, elements, docs).collect()}
     assert out["d#0"] == (content[:20] + "\n\n[Figure f1] A picture\n\n[Table t1]\n| a |\n| - |", 1, 1) and out["d#1"] == ("words here", 1, 0) and out["n#0"] == ("no", 0, 1)
