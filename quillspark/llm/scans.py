@@ -24,6 +24,8 @@ from quillspark.runtime import checkpoint, ship
 EDGE = 3
 #: A word is misread if its folding is that of a word so many times as frequent, and seen so often at least.
 TIMES, LEAST_SEEN = 8, 3
+#: Words of fewer characters are never put right: their foldings are shared by too many words.
+LEAST_LETTERS = 3
 #: Share of a template's occurrences that must be at page edges for a running line.
 EDGE_SHARE = 0.8
 
@@ -184,86 +186,84 @@ def join_pieces(first: str, hyphen: str, second: str) -> str:
     return first + second
 
 
-def _tokens(rows: DataFrame) -> DataFrame:
-    """Words of the body lines in reading order, broken ones joined where they begin.
+#: Corrections that are handed to every task as one table, at most; beyond that words are joined to them.
+MOST_SHIPPED = 200_000
 
-    ``lines`` are the body lines of a page, ``next_line`` the first one of the next page
-    and ``last_line`` the last one of the page before.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
-        names = ["document_id", "page_number", "place", "token", "folded", "was_broken", "starts", "ends_paragraph"]
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, page, lines, next_line, last_line in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = [x["line"] for x in sorted(lines, key=lambda x: x["line_no"])]
-                width = max(map(len, lines), default=0)
-                starts = last_line is None or last_line.rstrip()[-1:] in ".!?…"
-                skip = last_line is not None and _broken(last_line) is not None
-                place = 0
-                for k, line in enumerate(lines):
-                    tokens = line.split()
-                    if skip:
-                        tokens = tokens[1:]
-                    after = lines[k + 1] if k + 1 < len(lines) else next_line
-                    broken = _broken(line) if after and after.split() else None
-                    skip = broken is not None
-                    for j, t in enumerate(tokens):
-                        whole = broken is not None and j == len(tokens) - 1
-                        if whole:
-                            t = join_pieces(broken[0], broken[1], after.split()[0])
-                        core = _core(t)
-                        # a page may end in a short line without ending a paragraph
-                        stop = j == len(tokens) - 1 and not whole and len(line) < 0.75 * width and t[-1] in ".!?…»\"“"
-                        out.append((doc, page, place, t, fold(core) if core else "", whole, starts, stop))
-                        starts = t[-1] in ".!?…" or t[-2:-1] in ".!?" and t[-1] in "»”\"“"
-                        place += 1
-            columns = list(zip(*out)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-    schema = "document_id string, page_number int, place int, token string, folded string, was_broken boolean, starts boolean, ends_paragraph boolean"
-    return rows.mapInArrow(run, schema)
+def page_tokens(lines: list[dict], next_line: str | None, last_line: str | None) -> Iterator[tuple[str, str, bool, bool, bool]]:
+    """``(token, core, was_broken, starts, ends_paragraph)`` of the body lines of a page, broken words joined where they begin.
 
-
-def words(lines: DataFrame) -> DataFrame:
-    """Tokens of all pages (see _tokens); pages are joined to their neighbours by page number."""
+    ``next_line`` is the first body line of the next page, ``last_line`` the last one of the page before.
+    """
+    lines = [x["line"] for x in sorted(lines, key=lambda x: x["line_no"])]
+    width = max(map(len, lines), default=0)
+    starts = last_line is None or last_line.rstrip()[-1:] in ".!?…"
+    skip = last_line is not None and _broken(last_line) is not None
+    for k, line in enumerate(lines):
+        tokens = line.split()
+        if skip:
+            tokens = tokens[1:]
+        after = lines[k + 1] if k + 1 < len(lines) else next_line
+        broken = _broken(line) if after and after.split() else None
+        skip = broken is not None
+        for j, t in enumerate(tokens):
+            whole = broken is not None and j == len(tokens) - 1
+            if whole:
+                t = join_pieces(broken[0], broken[1], after.split()[0])
+            # a page may end in a short line without ending a paragraph
+            stop = j == len(tokens) - 1 and not whole and len(line) < 0.75 * width and t[-1] in ".!?…»\"“"
+            yield t, _core(t), whole, starts, stop
+            starts = t[-1] in ".!?…" or t[-2:-1] in ".!?" and t[-1] in "»”\"“"
+
+
+def body_pages(lines: DataFrame) -> DataFrame:
+    """``(document_id, page_number, lines, next_line, last_line)``: body lines of each page with those that border on them."""
     body = lines.where(F.col("kind") == "body")
     pages = body.groupBy("document_id", "page_number").agg(
         F.collect_list(F.struct("line_no", "line")).alias("lines"), F.min_by("line", "line_no").alias("first_line"), F.max_by("line", "line_no").alias("last_line")
     )
-    pages = checkpoint(pages)
-    after = pages.select("document_id", (F.col("page_number") - 1).alias("page_number"), F.col("first_line").alias("next_line"))
-    before = pages.select("document_id", (F.col("page_number") + 1).alias("page_number"), F.col("last_line").alias("before_line"))
-    both = pages.join(after, ["document_id", "page_number"], "left").join(before, ["document_id", "page_number"], "left")
-    return _tokens(both.select("document_id", "page_number", "lines", "next_line", F.col("before_line").alias("last_line")))
+    # the pages of a document meet in order; a page that is missing in between borders on nothing
+    order = Window.partitionBy("document_id").orderBy("page_number")
+    number = F.col("page_number")
+    after = F.when(F.lead(number).over(order) == number + 1, F.lead("first_line").over(order))
+    before = F.when(F.lag(number).over(order) == number - 1, F.lag("last_line").over(order))
+    return pages.select("document_id", "page_number", "lines", after.alias("next_line"), before.alias("before_line")).withColumnRenamed("before_line", "last_line")
 
 
-def vocabulary(tokens: DataFrame, loaded: DataFrame) -> DataFrame:
+def vocabulary(pages: DataFrame, loaded: DataFrame) -> DataFrame:
     """``(folded, word, seen, capital)``: words of the pages and of the loaded contents, in lower case, with counts.
 
     Counts are summed in each batch before the shuffle; all texts are counted.
     """
+    names = ["folded", "word", "seen", "capital"]
+
+    def counted(texts: Iterator[tuple[str, bool]]) -> pa.RecordBatch:
+        seen: Counter[tuple[str, bool]] = Counter()
+        for core, starts in texts:
+            if len(core) >= LEAST_LETTERS:
+                seen[core.lower(), core[:1].isupper() and not starts] += 1
+        keys = list(seen)
+        columns = [[fold(w) for w, _ in keys], [w for w, _ in keys], list(seen.values()), [n if c else 0 for (_, c), n in seen.items()]]
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cores(text):
+            starts = True
+            for t in text.split():
+                yield _core(t), starts
+                starts = t[-1] in ".!?…"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter[tuple[str, bool]] = Counter()
-            for text in batch.column(0).to_pylist():
-                starts = True
-                for t in text.split():
-                    core = _core(t)
-                    if len(core) > 2:
-                        seen[core.lower(), core[:1].isupper() and not starts] += 1
-                    starts = t[-1] in ".!?…"
-            keys = list(seen)
-            columns = [[fold(w) for w, _ in keys], [w for w, _ in keys], list(seen.values()), [n if c else 0 for (_, c), n in seen.items()]]
-            types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["folded", "word", "seen", "capital"])
-
-    texts = loaded.where(F.col("content").isNotNull()).select(F.col("content").alias("text"))
-    pages = tokens.groupBy("document_id", "page_number").agg(F.concat_ws(" ", F.collect_list("token")).alias("text")).select("text")
-    counted = texts.unionByName(pages).mapInArrow(run, "folded string, word string, seen bigint, capital bigint")
-    return counted.groupBy("folded", "word").agg(F.sum("seen").alias("seen"), F.sum("capital").alias("capital"))
+            yield counted(x for text in batch.column(0).to_pylist() for x in cores(text))
+
+    def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield counted((core, starts) for row in zip(*(c.to_pylist() for c in batch.columns)) for _, core, _, starts, _ in page_tokens(*row))
+
+    schema = "folded string, word string, seen bigint, capital bigint"
+    texts = loaded.where(F.col("content").isNotNull()).select("content").mapInArrow(of_texts, schema)
+    both = texts.unionByName(pages.select("lines", "next_line", "last_line").mapInArrow(of_pages, schema))
+    return both.groupBy("folded", "word").agg(F.sum("seen").alias("seen"), F.sum("capital").alias("capital"))
 
 
 def corrections(vocab: DataFrame) -> DataFrame:
@@ -293,25 +293,51 @@ def _right_case(wrong: str, right: str, is_name: bool, starts: bool) -> str:
     return right[:1].upper() + right[1:] if upper else right
 
 
-def repaired(pages: DataFrame, loaded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, tokens): classified lines, and tokens with ``right``, the word put right or null."""
-    ship(pages.sparkSession)
+def repaired(pages: DataFrame, loaded: DataFrame, noise_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(lines, tokens): classified lines, and tokens with ``right``, the word put right or null.
+
+    ``noise_only`` leaves out the tokens that are neither broken nor wrong. Up to
+    MOST_SHIPPED corrections go to the tasks as a table, so that a page is one row
+    throughout; more are joined to the distinct words of each page.
+    """
+    spark = ship(pages.sparkSession)
     lines = checkpoint(classified_lines(pages, loaded))
-    tokens = checkpoint(words(lines))
-    fixes = corrections(vocabulary(tokens, loaded))
+    body = checkpoint(body_pages(lines))
+    fixes = checkpoint(corrections(vocabulary(body, loaded)))
+    names = ["document_id", "page_number", "place", "token", "was_broken", "starts", "ends_paragraph", "right"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
+    if fixes.count() <= MOST_SHIPPED:
+        table = {r["word"]: (r["right"], bool(r["right_is_name"])) for r in fixes.collect()}
+        shipped = spark.sparkContext.broadcast(table)
+        source = body.withColumn("fixes", F.lit(None).cast("array<struct<word:string,right:string,right_is_name:boolean>>"))
+    else:
+        shipped = None
+
+        def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(d, n, w) for d, n, *row in zip(*(c.to_pylist() for c in batch.columns)) for w in {core.lower() for _, core, *_ in page_tokens(*row)}]
+                columns = list(zip(*rows)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)][:2] + [pa.array(columns[2], pa.string())], ["document_id", "page_number", "word"])
+
+        met = body.mapInArrow(words_of, "document_id string, page_number int, word string").join(fixes, "word")
+        own = met.groupBy("document_id", "page_number").agg(F.collect_list(F.struct("word", "right", "right_is_name")).alias("fixes"))
+        source = body.join(own, ["document_id", "page_number"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shipped.value if shipped is not None else None
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in (3, 5, 6, 7, 8)))
-            right = [None if r is None else _right_case(_core(t), r, bool(n), s) for t, s, _, r, n in rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(7)), pa.array(right, pa.string())], out)
-
-    out = ["document_id", "page_number", "place", "token", "was_broken", "starts", "ends_paragraph", "right"]
-    core = F.lower(F.regexp_replace("token", f"^{_LEAD}|{_TRAIL}$", ""))
-    joined = tokens.withColumn("word", core).join(fixes, "word", "left")
-    source = joined.select("document_id", "page_number", "place", "token", "was_broken", "starts", "ends_paragraph", "right", "right_is_name")
+            out = []
+            for doc, page, *row, own in zip(*(c.to_pylist() for c in batch.columns)):
+                fix = known if known is not None else {x["word"]: (x["right"], bool(x["right_is_name"])) for x in own or ()}
+                for place, (token, core, broken, starts, ends) in enumerate(page_tokens(*row)):
+                    hit = fix.get(core.lower())
+                    if hit or broken or not noise_only:
+                        out.append((doc, page, place, token, broken, starts, ends, _right_case(core, *hit, starts) if hit else None))
+            columns = list(zip(*out)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
     schema = "document_id string, page_number int, place int, token string, was_broken boolean, starts boolean, ends_paragraph boolean, right string"
-    return lines, source.mapInArrow(run, schema)
+    return lines, source.select("document_id", "page_number", "lines", "next_line", "last_line", "fixes").mapInArrow(run, schema)
 
 
 def found(pages: DataFrame, loaded: DataFrame) -> DataFrame:
@@ -319,7 +345,7 @@ def found(pages: DataFrame, loaded: DataFrame) -> DataFrame:
 
     Null bodies have no lines; repeated rows of a page count once, and so does each item of a page.
     """
-    lines, tokens = repaired(pages, loaded)
+    lines, tokens = repaired(pages, loaded, noise_only=True)
     edges = f"^{_LEAD}|{_TRAIL}$"
     whole = F.coalesce(F.col("right"), F.regexp_replace("token", edges, ""))
     hyphen = tokens.where("was_broken").select("document_id", "page_number", F.lit("hyphen").alias("kind"), whole.alias("item"))
@@ -390,6 +416,7 @@ def document_paragraphs(pages: DataFrame, loaded: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     pages = checkpoint(all_pages(pages, loaded))
     _, tokens = repaired(pages, loaded)
+    tokens = checkpoint(tokens)
     key = ["document_id", "page_number"]
     before = Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     tokens = tokens.withColumn("within", F.coalesce(F.sum(F.col("ends_paragraph").cast("int")).over(before), F.lit(0)))
