@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -164,6 +165,7 @@ def classified_lines(pages: DataFrame, loaded: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind).select("document_id", "page_number", "line_no", "line", "kind")
 
 
+@lru_cache(maxsize=1 << 17)
 def _core(token: str) -> str:
     """A token without surrounding punctuation; an exclamation mark before or inside a word is a misread letter."""
     return token.rstrip(_EDGES).lstrip(_EDGES.replace("!", ""))
@@ -237,28 +239,30 @@ def vocabulary(pages: DataFrame, loaded: DataFrame) -> DataFrame:
     names = ["folded", "word", "seen", "capital"]
 
     def counted(texts: Iterator[tuple[str, bool]]) -> pa.RecordBatch:
+        # tokens as they stand are counted first, so that the rest is done once for each different one
         seen: Counter[tuple[str, bool]] = Counter()
-        for core, starts in texts:
+        for (token, starts), n in Counter(texts).items():
+            core = _core(token)
             if len(core) >= LEAST_LETTERS:
-                seen[core.lower(), core[:1].isupper() and not starts] += 1
+                seen[core.lower(), core[:1].isupper() and not starts] += n
         keys = list(seen)
         columns = [[fold(w) for w, _ in keys], [w for w, _ in keys], list(seen.values()), [n if c else 0 for (_, c), n in seen.items()]]
         types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cores(text):
+        def tokens(text):
             starts = True
             for t in text.split():
-                yield _core(t), starts
+                yield t, starts
                 starts = t[-1] in ".!?…"
 
         for batch in batches:
-            yield counted(x for text in batch.column(0).to_pylist() for x in cores(text))
+            yield counted(x for text in batch.column(0).to_pylist() for x in tokens(text))
 
     def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield counted((core, starts) for row in zip(*(c.to_pylist() for c in batch.columns)) for _, core, _, starts, _ in page_tokens(*row))
+            yield counted((token, starts) for row in zip(*(c.to_pylist() for c in batch.columns)) for token, _, _, starts, _ in page_tokens(*row))
 
     schema = "folded string, word string, seen bigint, capital bigint"
     texts = loaded.where(F.col("content").isNotNull()).select("content").mapInArrow(of_texts, schema)
@@ -303,7 +307,7 @@ def repaired(pages: DataFrame, loaded: DataFrame, noise_only: bool = False) -> t
     spark = ship(pages.sparkSession)
     lines = checkpoint(classified_lines(pages, loaded))
     body = checkpoint(body_pages(lines))
-    fixes = checkpoint(corrections(vocabulary(body, loaded)))
+    fixes = checkpoint(corrections(checkpoint(vocabulary(body, loaded))))
     names = ["document_id", "page_number", "place", "token", "was_broken", "starts", "ends_paragraph", "right"]
     types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
     if fixes.count() <= MOST_SHIPPED:
