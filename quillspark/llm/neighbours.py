@@ -339,6 +339,79 @@ def similar_pairs(embedded: DataFrame, stored: DataFrame, least: float = LEAST_C
     return links.select(F.least("chunk_id", "other").alias("chunk_id_a"), F.greatest("chunk_id", "other").alias("chunk_id_b")).distinct()
 
 
+#: Neighbours that each curve proposes for a class, and those that are reranked over all curves.
+PROPOSED, RERANKED = 6, 24
+
+
+def curve_neighbours(curves: DataFrame, partitions: int) -> DataFrame:
+    """``(a, b, near)``: for each class the PROPOSED most similar others in a window of WINDOW on either side, by their codes, on each curve.
+
+    Windows end at the borders of the range partitions, a few in all the rows of a partition.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, done = None, 0  # rows that are still needed, and how many of them have come out
+
+        def result(curve, model, ids, x, first: int, last: int) -> pa.RecordBatch:
+            n, wide = len(ids), np.full((len(ids), 2 * WINDOW), -2, np.float32)
+            other = np.zeros((n, 2 * WINDOW), np.int64)
+            for step in range(1, min(WINDOW, n - 1) + 1):
+                near = np.einsum("ij,ij->i", x[:-step], x[step:])
+                near[(curve[:-step] != curve[step:]) | (model[:-step] != model[step:])] = -2
+                wide[:-step, step - 1], other[:-step, step - 1] = near, ids[step:]
+                wide[step:, WINDOW + step - 1], other[step:, WINDOW + step - 1] = near, ids[:-step]
+            wide, other, mine = wide[first:last], other[first:last], ids[first:last]
+            col = np.argpartition(-wide, PROPOSED - 1, axis=1)[:, :PROPOSED]
+            near = np.take_along_axis(wide, col, 1)
+            row, place = np.nonzero(near > -2)
+            return pa.RecordBatch.from_arrays([pa.array(mine[row]), pa.array(other[row, col[row, place]]), pa.array(near[row, place])], ["a", "b", "near"])
+
+        for batch in batches:
+            x = _matrix(batch.column(4), "i1", DIMENSIONS).astype(np.float32)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy(), x)
+            if held is not None:
+                now = tuple(np.concatenate(p) for p in zip(held, now))
+            last = len(now[0]) - WINDOW
+            if last > done:
+                yield result(*now, done, last)
+                done = last
+            drop = max(0, done - WINDOW)
+            held, done = tuple(p[drop:] for p in now), done - drop
+        if held is not None and done < len(held[0]):
+            yield result(*held, done, len(held[0]))
+
+    ordered = curves.repartitionByRange(partitions, "curve", "model", "key").sortWithinPartitions("curve", "model", "key")
+    return ordered.select("curve", "model", "key", "class_id", "code").mapInArrow(run, "a bigint, b bigint, near float")
+
+
+def nearest_on_curves(embedded: DataFrame, stored: DataFrame, k: int = NEAREST) -> DataFrame:
+    """``(chunk_id, model_id, rank, neighbour_id, cosine)``: the ``k`` most similar chunks of the same model that the curves meet, for every chunk.
+
+    The proposals of all curves are merged, the RERANKED best by their codes get their exact
+    cosine. Copies of a vector are one class; of a class the k + 1 smallest chunk ids
+    stand for all in the ranking. Equal cosines (at nine places) rank by chunk id. Unusable
+    vectors take no part; a chunk without any other of its model has no row. What share of
+    the true nearest comes out hangs on how far they are: see the README.
+    """
+    spark = embedded.sparkSession
+    vectors = checkpoint(current_vectors(embedded, stored).withColumn("class_id", F.xxhash64("model_id", "vector")))
+    rows, ids = classes(vectors), first_members(vectors)
+    proposed = curve_neighbours(on_curves(rows), shuffle_partitions(spark))
+    best = proposed.groupBy("a", "b").agg(F.max("near").alias("near"))
+    order = Window.partitionBy("a").orderBy(F.desc("near"), "b")
+    best = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= RERANKED).select("a", "b")
+    near = exact_cosines(best, rows, -1.0).join(ids.withColumnRenamed("class_id", "b"), "b")
+    entry = lambda c: F.transform("first_ids", lambda i: F.struct((-F.round(c, 9)).alias("rank"), i.alias("id")))
+    options = near.groupBy(F.col("a").alias("class_id")).agg(F.flatten(F.collect_list(entry(F.col("cosine")))).alias("others"))
+    empty = F.expr("cast(array() as array<struct<rank:double,id:string>>)")
+    lists = ids.join(options, "class_id", "left").select("class_id", F.concat(entry(F.lit(1.0)), F.coalesce("others", empty)).alias("options"))
+    mine = vectors.select("chunk_id", "model_id", "class_id").join(lists, "class_id")
+    top = F.slice(F.array_sort(F.filter("options", lambda o: o["id"] != F.col("chunk_id"))), 1, k)
+    out = mine.select("chunk_id", "model_id", F.posexplode(top).alias("rank", "o"))
+    return out.select("chunk_id", "model_id", (F.col("rank") + 1).alias("rank"), F.col("o.id").alias("neighbour_id"), (-F.col("o.rank")).alias("cosine"))
+
+
 #: Vectors of a block of the exact search.
 BLOCK = 2048
 

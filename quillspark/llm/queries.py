@@ -100,6 +100,11 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(table(spark, sf_dir, "document_chunk"))
 
 
+def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar chunks of every chunk that the curves meet."""
+    return neighbours.nearest_on_curves(table(spark, sf_dir, "embedded_chunk"), table(spark, sf_dir, "sqlite_vector_store"))
+
+
 def p7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact five nearest of every chunk whose document number is divisible by 20."""
     number = F.regexp_extract("chunk_id", r"(\d+)#", 1).try_cast("bigint")
@@ -120,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_budget": p6_budget,
         "p6_deltas": p6_deltas,
         "p7_found": p7_found,
+        "p7_neighbours": p7_neighbours,
         "p7_nearest": p7_nearest,
         "p8_ids": p8_ids,
         "p9_containers": p9_containers,

@@ -207,6 +207,27 @@ def test_neighbours_recall_and_copies(spark):
     assert not any(n.startswith("z") or n == "s3" for p in got for n in p)
 
 
+def test_nearest_of_every_vector(spark):
+    """Near neighbours come out for every vector, ranked as brute force ranks them; the share of far ones is what it is."""
+    random_ = np.random.default_rng(14)
+    base = random_.normal(size=(150, 64))
+    x = np.concatenate([base] + [base + random_.normal(size=base.shape) * s for s in (0.2, 0.25, 0.3, 0.35, 0.4)] + [np.repeat(base[:1], 9, 0)])
+    names = [f"c{i:04d}" for i in range(len(x))]
+    schema = "chunk_id string, model_id string, vector array<float>, embedded_at timestamp_ntz"
+    e = spark.createDataFrame([(i, "m", v.tolist(), None) for i, v in zip(names, x)] + [("z", "m", None, None), ("alone", "other", [1.0] * 64, None)], schema)
+    s = spark.createDataFrame([], "chunk_id string, model_id string, vector binary")
+    got = {}
+    for r in neighbours.nearest_on_curves(e, s).collect():
+        got.setdefault(r["chunk_id"], {})[r["rank"]] = r["neighbour_id"]
+    assert set(got) == set(names) and all(sorted(v) == [1, 2, 3, 4, 5] for v in got.values())
+    u = x.astype("<f4").astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = np.round(u @ u.T, 6)
+    want = {n: sorted((m for m in names if m != n), key=lambda m: (-c[i, int(m[1:])], m))[:5] for i, n in enumerate(names)}
+    hits = sum(len(set(want[n]) & set(got[n].values())) for n in names)
+    assert hits >= 0.95 * 5 * len(names)
+
+
 # -- 1: near copies -----------------------------------------------------------------------------------
 
 
