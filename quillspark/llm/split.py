@@ -160,11 +160,15 @@ class Tree:
 
     # -- auditing ----------------------------------------------------------------
     def is_border(self, unit: int) -> bool:
-        """Is this UTF-16 offset a border of some node, down to the words?"""
+        """Is this UTF-16 offset a border of some node, down to the words?
+
+        The last level of the tree has the borders of all levels above it, so that the two
+        characters around the offset, as a node of that level, decide.
+        """
         at = self.place(unit)
         if at is None:
             return False
-        return at in (0, len(self.text)) or not (is_word_part(self.text[at - 1]) and is_word_part(self.text[at]))
+        return at in (0, len(self.text)) or self.children(at - 1, at + 1, self.LEVELS - 1) is not None
 
 
 def pieces(df: DataFrame, key: str, content: str, limit: int = LIMIT, least: int = LEAST_OVERLAP, most: int = MOST_OVERLAP) -> DataFrame:

@@ -162,6 +162,49 @@ def test_pieces_keep_the_rules():
             assert all(tree.is_border(x) for p in got for x in p)
 
 
+def test_borders_are_those_of_the_tree():
+    """The audit's borders are what a descent through all levels of the tree finds."""
+    random.seed(8)
+    words = ["word", "слово", "中文字。", "x-1", "end. ", "\n\n", "\n# H\n", "\n- item", "ไทย", "née", " ", ", "]
+    for _ in range(40):
+        text = "".join(random.choice(words) for _ in range(random.randrange(1, 80)))
+        tree = split.Tree(text)
+
+        def borders(a, b, level):
+            while level < tree.LEVELS and (cuts := tree.children(a, b, level)) is None:
+                level += 1
+            if level == tree.LEVELS:
+                return {a, b}
+            return set().union(*(borders(x, y, level + 1) for x, y in zip(cuts, cuts[1:])))
+
+        assert {x for x in range(len(text) + 1) if tree.is_border(x)} == borders(0, len(text), 0)
+
+
+def test_unmarked_chain_on_held_out_text(spark, data):
+    """Trained on stripped sentences of half of the contents in unspaced scripts, it finds the boundaries of the other half."""
+    from quillspark.llm.unmarked import UnmarkedModel, stripped
+
+    loaded_ = spark.read.parquet(data.replace("sf0.001", "sf0.1") + "/loaded_document.parquet")
+    rows = sentences._text_formats(sentences.current_documents(loaded_)).where(F.col("content").rlike("[\u0e01-\u0e5b\u3040-\u30ff\u4e00-\u9fff]"))
+    texts = [r["content"] for r in rows.orderBy("document_id").limit(700).select("content").collect()]
+    model = sentences.BoundaryModel().learn(texts)
+    parts = [t[a:b].strip() for t in texts for a, b in sentences.blocks(t) if not sentences.is_heading(t, a)]
+    known = [x for x in model.unspaced_sentences([p for p in parts if p]) if len(x) > 1]
+    assert len(known) > 300
+    chain = UnmarkedModel().learn(known[: len(known) // 2])
+    hit = got = want = 0
+    for sequence in known[len(known) // 2 :]:
+        pieces = [p for p in (stripped(x)[0] for x in sequence) if p]
+        gold = set((np.cumsum([len(p) for p in pieces]) - 1).tolist())
+        mine = set(np.flatnonzero(chain.tag("".join(pieces))).tolist())
+        last = sum(map(len, pieces)) - 1
+        hit, got, want = hit + len((gold & mine) - {last}), got + len(mine - {last}), want + len(gold - {last})
+    print("unmarked chain:", len(known), hit, got, want)
+    assert 2 * hit / (got + want) > 0.83
+    block = "".join(stripped(x)[0] for s_ in known[:12] for x in s_)
+    assert not sentences.candidates(block) and len(model.cuts(block)) > 3
+
+
 def test_stored_faults(spark):
     text = "Word " * 500
     rows = [("d#0", 0, 0, 500), ("d#1", 1, 450, 1500), ("d#2", 2, 1452, 1990), ("d#3", 3, 1985, 2400), ("d#4", 4, 2350, 2500), ("d#4", 4, 2350, 2500)]
