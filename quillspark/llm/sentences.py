@@ -4,34 +4,42 @@ Every character is tagged as boundary or inside by a linear-chain model; only ch
 after a final mark, a closed quotation or, in Thai, at a space can score as boundary, so
 the Viterbi search runs over those. The model's tables (what stands before a mark that
 surely ends a sentence, what a sentence surely begins with) and its weights are learned
-on a bounded sample from what is sure without labels: beginnings and ends of blocks,
-blocks joined to one another, and marks before a lower-case continuation. For Thai, which
-has no final marks, blocks are joined by a bare space.
+on all texts from what is sure without labels: beginnings and ends of blocks, blocks
+joined to one another, and marks before a lower-case continuation. For Thai, which has
+no final marks, blocks are joined by a bare space. Tasks count tokens and sure cases;
+cases of equal features are one with a number, so the driver learns from few rows.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
-from math import log
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
+from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.corpus import about, current_documents
+from quillspark.llm import unmarked
+from quillspark.llm.corpus import current_documents
 from quillspark.llm.split import Tree
 from quillspark.llm.unmarked import UNSPACED, UnmarkedModel
-from quillspark.runtime import ship
+from quillspark.runtime import checkpoint, ship
 
-#: Documents and characters of each that the model is learned on.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS = 3000, 6000
 FORMATS = ("md", "docx", "txt")
 #: From how many characters on a block of an unspaced script without any candidate is left to the unmarked chain.
 UNMARKED_CHARS = 160
+#: Step of the weights; parts in which the cases of a round of learning come; steps up and down that the transition may go.
+STEP, SLICES, MOST_STEPS = 0.05, 50, 800
+#: Sightings from which on more don't change the evidence of a token.
+MOST_SEEN = 100
+#: Counted entries that a task holds before it hands them on.
+HELD = 200_000
 
 # Final marks, quotation marks and closing brackets.
 MARKS = ".!?…。！？।؟"
@@ -42,6 +50,9 @@ CLOSERS = "\"”’»)]」』“'"
 _BLANK = re.compile(r"[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*")
 _HEADING = re.compile(r"^[ \t]*#[^\n]*", re.M)
 _CANDIDATE = re.compile(r"[.!?…。！？।؟]+|[»”」』\"“]|(?<=[฀-๿])[ \t\r\n]+(?=[฀-๿])")
+_THAI = re.compile("[฀-๿]")
+#: Where candidates begin in blocks without Thai; one class of characters is searched much faster than a choice.
+_PLAIN = re.compile("[.!?…。！？।؟»”」』\"“]")
 _BRACKET = re.compile("[«»“”„「」『』\"()\\[\\]]")
 _NOT_OWN = "\"'«»“”„「」『』()[]¿¡"
 _WHITE = " \t\r\n"
@@ -129,26 +140,50 @@ class Candidate:
         self.at, self.mark, self.inside, self.closed = at, mark, inside, closed
         self.gap, self.before, self.kind, self.after = gap, before, kind, after
 
+    def asks_before(self) -> bool:
+        return self.mark == "dot" and not self.closed
+
+    def asks_after(self) -> bool:
+        return self.mark != "space" and (self.kind == "letter" or self.kind == "upper" and self.gap == "none" and self.mark == "dot")
+
+
+def _outermost(pairs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Beginnings and ends of the pairs that lie in no other one; pairs never cross."""
+    starts: list[int] = []
+    stops: list[int] = []
+    for a, b in sorted(pairs):
+        if not stops or a > stops[-1]:
+            starts.append(a)
+            stops.append(b)
+    return starts, stops
+
+
+def _last(block: str, at: int) -> str:
+    """The last character before ``at`` that is no gap; a blank where there is none."""
+    while at and block[at - 1] in _GAPS:
+        at -= 1
+    return block[at - 1] if at else " "
+
 
 def candidates(block: str) -> list[Candidate]:
     """Places where a sentence may end within a block: ``at`` is the end of the sentence."""
     pairs = quotations(block)
     closing = {b: a for a, b in pairs}
-    spans = sorted((a, b) for a, b in pairs if block[a] in QUOTES or block[a] in "([")
+    starts, stops = _outermost(pairs)
     out: list[Candidate] = []
-    done = 0
-    for m in _CANDIDATE.finditer(block):
+    done, end = 0, len(block.rstrip(_WHITE))
+    for m in (_CANDIDATE if _THAI.search(block) else _PLAIN).finditer(block):
         a, b = m.span()
         if a < done:
             continue
         if m[0][0] in _WHITE:  # a space between two Thai characters
-            out.append(Candidate(a, "space", any(x < a < y for x, y in spans), False, "space", "", "letter", ""))
+            k = bisect_left(starts, a) - 1
+            out.append(Candidate(a, "space", k >= 0 and a < stops[k], False, "space", "", "letter", ""))
             continue
         closed = False
         if m[0] in QUOTES or m[0] in PAIRS.values():
             # a closed quotation with a final mark as its last character
-            inner = block[:a].rstrip(_GAPS)
-            if a not in closing or inner[-1:] not in MARKS or not inner:
+            if a not in closing or _last(block, a) not in MARKS:
                 continue
             closed = True
         while b < len(block):
@@ -164,23 +199,177 @@ def candidates(block: str) -> list[Candidate]:
             else:
                 break
         done = b
-        if not block[b:].strip(_WHITE):
+        if b >= end:
             continue  # the end of the block, which ends a sentence anyway
         run = block[a:b]
-        marks = [c for c in run if c in MARKS] or [block[:a].rstrip(_GAPS)[-1]]
-        strong = any(c in "!?。！？।؟" for c in marks)
-        dots = "…" in marks or marks.count(".") > 1
-        mark = "strong" if strong else "dots" if dots else "dot"
+        if run == ".":
+            mark = "dot"
+        else:
+            marks = [c for c in run if c in MARKS] or [_last(block, a)]
+            strong = any(c in "!?。！？।؟" for c in marks)
+            dots = "…" in marks or marks.count(".") > 1
+            mark = "strong" if strong else "dots" if dots else "dot"
         c = block[b]
         gap = "line" if c in "\r\n" else "space" if c in _GAPS else "none"
         kind, after = _word_after(block, b)
         if gap == "none" and mark == "dot" and c not in _NOT_OWN and not c.isalnum():
             continue
-        inside = any(x < b <= y for x, y in spans)
+        k = bisect_left(starts, b) - 1
+        inside = k >= 0 and b <= stops[k]
         out.append(Candidate(b, mark, inside, closed, gap, _word_before(block, a), kind, after))
     return out
 
 
+def asks_chain(found: list[Candidate], block: str) -> bool:
+    """Is the block one that the unmarked chain decides?"""
+    return not found and len(block) >= UNMARKED_CHARS and len(UNSPACED.findall(block)) > 0.6 * len(block)
+
+
+def best_path(at: list[int], emit: list[float], near: float) -> list[bool]:
+    """Viterbi over the candidates of a block; two boundaries with no room between them are unlikely."""
+    if not at:
+        return []
+    inside, boundary = 0.0, emit[0]
+    back: list[tuple[bool, bool]] = [(False, False)]
+    for k in range(1, len(at)):
+        close = near if at[k] - at[k - 1] < 3 else 0.0
+        from_boundary = boundary + close > inside
+        to_inside = boundary > inside
+        inside, boundary = max(inside, boundary), emit[k] + max(inside, boundary + close)
+        back.append((to_inside, from_boundary))
+    tags = [boundary > inside]
+    for k in range(len(at) - 1, 0, -1):
+        tags.append(back[k][1] if tags[-1] else back[k][0])
+    return tags[::-1]
+
+
+def token_key(word: str) -> int:
+    """64 bits that stand for a token."""
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _short(word: str) -> int:
+    bare = word.replace(".", "")
+    return int(len(bare) <= 3 and not bare.isdigit())
+
+
+class Tokens:
+    """A code for each token seen: sorted keys, nine bytes a token."""
+
+    def __init__(self, keys: Iterable[int] = (), codes: Iterable[int] = ()):
+        keys, codes = np.asarray(keys, np.int64), np.asarray(codes, np.uint8)
+        order = np.argsort(keys)
+        self.keys, self.codes = keys[order], codes[order]
+        self.known: dict[str, int] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def at(self, key: int) -> int:
+        """The code of a key, -1 where there is none."""
+        k = int(np.searchsorted(self.keys, key))
+        return int(self.codes[k]) if k < len(self.keys) and self.keys[k] == key else -1
+
+    def code(self, word: str) -> int:
+        code = self.known.get(word)
+        if code is None:
+            if len(self.known) >= HELD:
+                self.known.clear()
+            code = self.known[word] = self.at(token_key(word))
+        return code
+
+
+class Tally:
+    """What texts tell without labels: counts of tokens, of sure cases and of joins with a mark near them."""
+
+    def __init__(self):
+        self.ends: dict[str, list[int]] = {}  # token: before a mark that ends a block, before any mark, before a mark and a number
+        self.begins: dict[str, list[int]] = {}  # token: begins a block or follows a strong mark outside quotations, follows another mark
+        self.cases: Counter[tuple] = Counter()  # (what is known of a candidate, token before, token after)
+        self.joins: Counter[tuple[str, int]] = Counter()  # (two blocks joined, where) that have another candidate near the join
+        self.asks = 0  # blocks that the unmarked chain decides
+
+    def __len__(self) -> int:
+        return len(self.ends) + len(self.begins) + len(self.cases) + len(self.joins)
+
+    def _end(self, word: str, final: int, to_number: int) -> None:
+        n = self.ends.setdefault(word, [0, 0, 0])
+        n[0] += final
+        n[1] += 1
+        n[2] += to_number
+
+    def _begin(self, word: str, later: int) -> None:
+        # only tokens with a capital, or without case, are asked for
+        if word and unicodedata.category(word[0]) in ("Lu", "Lt", "Lo", "Lm"):
+            self.begins.setdefault(word, [0, 0])[later] += 1
+
+    def _case(self, c: Candidate, is_boundary: bool) -> None:
+        before = c.before if c.asks_before() else ""
+        after = c.after if c.asks_after() else ""
+        number = "0" if c.before == "0" else "x"
+        about = f"{c.mark} {c.kind} {c.gap} {c.inside:d} {c.closed:d} {number} {_short(before)} {is_boundary:d}"
+        self.cases[about, before, after] += 1
+
+    def add(self, text: str) -> None:
+        """Count a text. Each block is joined to the next one, the last one to the first."""
+        parts = []
+        for a, b in blocks(text):
+            p = text[a:b].strip(_WHITE)
+            if not p or is_heading(text, a):
+                continue
+            parts.append(p)
+            self._begin(_word_after(p, 0)[1], 0)
+            if p[-1] in MARKS or p[-1] in CLOSERS and p[:-1].rstrip(_GAPS)[-1:] in MARKS:
+                self._end(_word_before(p, len(p)), 1, 0)
+            found = candidates(p)
+            for c in found:
+                if c.mark == "dot":
+                    self._end(c.before, 0, c.kind == "digit" and c.gap != "none")
+                self._begin(c.after, 0 if c.mark == "strong" and not c.inside and not c.closed and c.kind != "lower" else 1)
+                # a lower-case continuation goes on
+                if c.mark != "space" and (c.inside or c.kind == "lower" and c.mark != "strong"):
+                    self._case(c, False)
+            self.asks += asks_chain(found, text[a:b])
+        for x, y in zip(parts, [*parts[1:], *parts[:1]]):
+            thai = "฀" <= x[-1] <= "๿"
+            if not thai and x[-1] not in MARKS:
+                continue
+            # joined blocks part at the join
+            joined, cut = x[-60:] + " " + y[:60], len(x[-60:])
+            found = candidates(joined)
+            at = [c for c in found if c.at == cut]
+            for c in at:
+                if not c.inside and c.kind != "lower":
+                    self._case(c, True)
+            if at and x[-1] in MARKS and any(0 < abs(c.at - cut) < 3 for c in found):
+                self.joins[joined, cut] += 1
+
+    def rows(self) -> Iterator[tuple]:
+        """All counts as ``(what, a, b, about, x, y, z)``."""
+        for word, n in self.ends.items():
+            yield "end", token_key(word), _short(word), None, *n
+        for word, n in self.begins.items():
+            yield "begin", token_key(word), None, None, *n, 0
+        for (about, before, after), n in self.cases.items():
+            yield "case", token_key(before) if before else None, token_key(after) if after else None, about, n, 0, 0
+        for (joined, cut), n in self.joins.items():
+            yield "join", cut, None, joined, n, 0, 0
+        if self.asks:
+            yield "asks", None, None, None, self.asks, 0, 0
+
+
+def end_code(final: int, dotted: int, to_number: int, short: int) -> int:
+    if final > 0.02 * dotted:
+        return 0
+    if dotted > 2 and to_number > 0.6 * dotted:
+        return 1
+    return 2 + 2 * min(dotted, MOST_SEEN) + short
+
+
+def begin_code(first: int, later: int) -> int:
+    return 0 if first > 0.01 * later else 1 + min(later, 5)
+
+
 class BoundaryModel:
     """Weights of the chain and the tables behind two of its features."""
 
@@ -193,37 +382,36 @@ class BoundaryModel:
 
     def __init__(self):
         self.weights = dict(self.START)
-        self.final: Counter[str] = Counter()  # tokens before the mark that ends a block
-        self.dotted: Counter[str] = Counter()  # tokens before any mark
-        self.first: Counter[str] = Counter()  # tokens that begin a block, or follow a strong mark outside quotations
-        self.later: Counter[str] = Counter()  # tokens after other marks within a block
-        self.to_number: Counter[str] = Counter()  # tokens before a mark and a number
+        self.ends = Tokens()
+        self.begins = Tokens()
         self.rate = 0.25
         self.unmarked = UnmarkedModel()
+        self.scores: dict[tuple, float] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"scores": {}}
+
+    def end_value(self, code: int, short: int) -> float:
+        """Evidence of a token before a mark by its code; -1 is an unseen one."""
+        if code in (0, 1):
+            return -5.0 if code else 1.5
+        n, short = divmod(code - 2, 2) if code > 1 else (0, short)
+        return max(-5.0, n * log(1 - self.rate) + (-1.5 if short and n < 3 else 0.0))
+
+    @staticmethod
+    def begin_value(code: int) -> float:
+        return 0.0 if code < 0 else 2.0 if code == 0 else -0.5 * (code - 1)
 
     def before(self, word: str) -> float:
         """Evidence that a mark after this token ends a sentence."""
-        if not word:
-            return 0.0
-        n = self.dotted[word]
-        if self.final[word] > 0.02 * n:
-            return 1.5
-        if n and self.to_number[word] > 0.6 * n and n > 2:
-            return -5.0
-        bare = word.replace(".", "")
-        short = -1.5 if len(bare) <= 3 and not bare.isdigit() and n < 3 else 0.0
-        return max(-5.0, n * log(1 - self.rate) + short)
+        return self.end_value(self.ends.code(word), _short(word)) if word else 0.0
 
     def after(self, word: str) -> float:
         """Evidence that this token begins a sentence."""
-        if not word:
-            return 0.0
-        seen = self.later[word]
-        if self.first[word] > 0.01 * seen:
-            return 2.0
-        return -min(2.5, 0.5 * seen)
-
-    def features(self, c: Candidate) -> dict[str, float]:
+        return self.begin_value(self.begins.code(word)) if word else 0.0
+
+    def features(self, c: Candidate, before: float | None = None, after: float | None = None) -> dict[str, float]:
+        """Features of a candidate; the evidence of its tokens may be given."""
         out = {c.mark: 1.0, c.kind: 1.0}
         if c.mark == "space":
             return {"space": 1.0, "inside": float(c.inside)}
@@ -237,116 +425,139 @@ class BoundaryModel:
             out["none&dot"] = 1.0
             if c.kind == "digit" and c.before == "0":
                 out["none&dot&digit"] = 1.0
-        if c.mark == "dot" and not c.closed:
-            out["before"] = self.before(c.before)
+        if c.asks_before():
+            out["before"] = self.before(c.before) if before is None else before
             if c.before == "0":
                 out["number&dot"] = 1.0
-        if c.kind == "letter" or c.kind == "upper" and c.gap == "none" and c.mark == "dot":
-            out["after"] = self.after(c.after)
+        if c.asks_after():
+            out["after"] = self.after(c.after) if after is None else after
         return out
 
     def score(self, features: dict[str, float]) -> float:
         w = self.weights
         return sum(w.get(k, 0.0) * v for k, v in features.items())
 
+    def emissions(self, found: list[Candidate]) -> list[float]:
+        """Scores of candidates; those that are alike in all that features look at are scored once."""
+        out = []
+        for c in found:
+            before = c.before if c.asks_before() else "0" if c.before == "0" else ""
+            about = c.mark, c.kind, c.gap, c.inside, c.closed, before, c.after if c.asks_after() else ""
+            score = self.scores.get(about)
+            if score is None:
+                if len(self.scores) >= HELD:
+                    self.scores.clear()
+                score = self.scores[about] = self.score(self.features(c))
+            out.append(score)
+        return out
+
     def tag(self, found: list[Candidate]) -> list[bool]:
-        """Viterbi over the candidates of a block; two boundaries with no room between them are unlikely."""
-        if not found:
-            return []
-        near = self.weights["near"]
-        emit = [self.score(self.features(c)) for c in found]
-        inside, boundary = 0.0, emit[0]
-        back: list[tuple[bool, bool]] = [(False, False)]
-        for k in range(1, len(found)):
-            close = near if found[k].at - found[k - 1].at < 3 else 0.0
-            from_boundary = boundary + close > inside
-            to_inside = boundary > inside
-            inside, boundary = max(inside, boundary), emit[k] + max(inside, boundary + close)
-            back.append((to_inside, from_boundary))
-        tags = [boundary > inside]
-        for k in range(len(found) - 1, 0, -1):
-            tags.append(back[k][1] if tags[-1] else back[k][0])
-        return tags[::-1]
+        """Which candidates of a block end a sentence."""
+        return best_path([c.at for c in found], self.emissions(found), self.weights["near"])
 
     # -- learning ------------------------------------------------------------------
-    def learn(self, texts: list[str], rounds: int = 2) -> BoundaryModel:
+    def learn(self, texts: list[str]) -> BoundaryModel:
+        """Learn from texts at hand, as ``train`` does from a table."""
+        tally = Tally()
+        for t in texts:
+            tally.add(t)
+        rows = list(tally.rows())
+        ends = [(a, n[0], n[1], n[2], b) for what, a, b, _, *n in rows if what == "end"]
+        begins = [(a, n[0], n[1]) for what, a, _, _, *n in rows if what == "begin"]
+        self.ends = Tokens([e[0] for e in ends], [end_code(*e[1:]) for e in ends])
+        self.begins = Tokens([e[0] for e in begins], [begin_code(*e[1:]) for e in begins])
+        self.learn_rate(sum(e[1] for e in ends), sum(e[2] for e in ends))
+        cases: Counter[tuple] = Counter()
+        for what, a, b, about, n, *_ in rows:
+            if what == "case":
+                cases[about, None if a is None else self.ends.at(a), None if b is None else self.begins.at(b)] += n
+        self.learn_weights([(*c, n) for c, n in cases.items()])
+        limits = Counter()
+        for (joined, cut), n in tally.joins.items():
+            limits[self.join_limits(joined, cut)] += n
+        self.learn_transition([(*c, n) for c, n in limits.items()])
         parts = [t[a:b].strip(_WHITE) for t in texts for a, b in blocks(t) if not is_heading(t, a)]
-        parts = [p for p in parts if p]
-        ended = 0
-        for p in parts:
-            _, first = _word_after(p, 0)
-            self.first[first] += 1
-            if p[-1] in MARKS or p[-1] in CLOSERS and p[:-1].rstrip(_GAPS)[-1:] in MARKS:
-                word = _word_before(p, len(p))
-                self.final[word] += 1
-                self.dotted[word] += 1
-                ended += 1
-            for c in candidates(p):
-                if c.mark == "dot":
-                    self.dotted[c.before] += 1
-                    self.to_number[c.before] += c.kind == "digit" and c.gap != "none"
-                if c.mark == "strong" and not c.inside and not c.closed and c.kind != "lower":
-                    self.first[c.after] += 1
-                else:
-                    self.later[c.after] += 1
-        marks = sum(self.dotted.values())
+        self.unmarked.learn(self.unspaced_sentences([p for p in parts if p]))
+        return self
+
+    def learn_rate(self, ended: int, marks: int) -> None:
         self.rate = min(0.5, max(0.05, ended / marks)) if marks else 0.25
-        # sure cases: joined blocks part at the join; a lower-case continuation goes on
-        cases: list[tuple[dict[str, float], bool]] = []
-        for x, y in zip(parts, parts[1:]):
-            thai = "฀" <= x[-1] <= "๿"
-            if not thai and x[-1] not in MARKS:
-                continue
-            joined = x[-60:] + " " + y[:60]
-            cut = len(x[-60:])
-            cases += [(self.features(c), True) for c in candidates(joined) if c.at == cut and not c.inside and c.kind != "lower"]
-        for p in parts:
-            cases += [(self.features(c), False) for c in candidates(p) if c.mark != "space" and (c.inside or c.kind == "lower" and c.mark != "strong")]
-        total: Counter[str] = Counter()
+
+    def learn_weights(self, cases: list[tuple[str, int | None, int | None, int]], rounds: int = 2) -> None:
+        """Averaged perceptron over ``(about, code before, code after, number)``.
+
+        All cases come once a round, in ``SLICES`` parts of like make-up; equal ones of a
+        part come in a row, whose updates follow without a step for each.
+        """
+        known: Counter[tuple] = Counter()
+        for about, before, after, n in cases:
+            mark, kind, gap, inside, closed, number, short, yes = about.split(" ")
+            c = Candidate(0, mark, inside == "1", closed == "1", gap, number, kind, "")
+            features = self.features(c, 0.0 if before is None else self.end_value(before, int(short)), 0.0 if after is None else self.begin_value(after))
+            known[tuple(sorted(features.items())), yes == "1"] += n
+        order = sorted(known.items())
+        random = np.random.default_rng(3)
+        lag: Counter[str] = Counter()
         steps = 0
-        order = np.random.default_rng(3).permutation(len(cases) * rounds) % max(1, len(cases))
-        for i in order.tolist():
-            features, is_boundary = cases[i]
-            if (self.score(features) > 0) != is_boundary:
-                for k, v in features.items():
-                    self.weights[k] = self.weights.get(k, 0.0) + (0.05 if is_boundary else -0.05) * v
-            steps += 1
-            if steps % 50 == 0:
-                total.update(self.weights)
-        self.learn_transition(parts)
+        for k in range(rounds * SLICES):
+            for i in random.permutation(len(order)).tolist():
+                (items, is_boundary), n = order[i]
+                n = n * (k + 1) // SLICES - n * k // SLICES
+                score = self.score(dict(items))
+                if n and (score > 0) != is_boundary:
+                    gain = STEP * sum(v * v for _, v in items)
+                    u = min(n, floor(-score / gain) + 1 if is_boundary else ceil(score / gain))
+                    for name, v in items:
+                        step = (STEP if is_boundary else -STEP) * v
+                        self.weights[name] = self.weights.get(name, 0.0) + u * step
+                        lag[name] += step * (u * steps + u * (u - 1) / 2)
+                steps += n
         if steps >= 50:
-            near = self.weights["near"]
-            self.weights = {k: v / (steps // 50) for k, v in total.items()} | {"near": near}
-        self.unmarked.learn(self.unspaced_sentences(parts))
-        return self
+            self.weights = {name: v - lag[name] / steps for name, v in self.weights.items()}
+
+    def join_limits(self, joined: str, cut: int) -> tuple[int, int]:
+        """From how many steps of the transition's weight on the join is found, and something near it as well."""
+        found = candidates(joined)
+        at, emit = [c.at for c in found], self.emissions(found)
+        join = at.index(cut)
+        near = [k for k, x in enumerate(at) if 0 < abs(x - cut) < 3]
+
+        def path(step: int) -> list[bool]:
+            return best_path(at, emit, self.START["near"] + STEP * step)
 
-    def learn_transition(self, parts: list[str]) -> None:
-        """Weight of two boundaries with no room between them, from joined blocks: a block's end is one, what is near it within isn't.
+        def both(step: int) -> bool:
+            tags = path(step)
+            return tags[join] and any(tags[k] for k in near)
 
-        A perceptron over whole paths: where the best path has both, the weight falls; where
-        it misses the join for what stands near it, it rises.
+        steps = range(-MOST_STEPS, MOST_STEPS + 1)
+        return bisect_left(steps, True, key=lambda s: path(s)[join]) - MOST_STEPS, bisect_left(steps, True, key=both) - MOST_STEPS
+
+    def learn_transition(self, limits: list[tuple[int, int, int]]) -> None:
+        """Weight of two boundaries with no room between them, from ``(join found from, both found from, number)``.
+
+        A block's end is a boundary, what is near it within isn't. A perceptron over whole
+        paths that sees each join once: the weight falls where the best path has both, and
+        rises where it misses the join; it moves by the surplus of the one over the other.
         """
-        for x, y in zip(parts, parts[1:]):
-            if x[-1] not in MARKS:
-                continue
-            joined, cut = x[-60:] + " " + y[:60], len(x[-60:])
-            found = candidates(joined)
-            near = [k for k, c in enumerate(found) if 0 < abs(c.at - cut) < 3]
-            at = next((k for k, c in enumerate(found) if c.at == cut), None)
-            if at is None or not near:
-                continue
-            tags = self.tag(found)
-            if tags[at] and any(tags[k] for k in near):
-                self.weights["near"] -= 0.05
-            elif not tags[at]:
-                self.weights["near"] += 0.05
+        left = float(sum(n for *_, n in limits))
+        every, step, last = left, 0, 0
+        while left > 0 and abs(step) < MOST_STEPS:
+            surplus = sum(n * ((step < join) - (step >= both)) for join, both, n in limits)
+            if not surplus or surplus * last < 0:
+                break
+            left -= every / abs(surplus)
+            last = 1 if surplus > 0 else -1
+            step += last
+        self.weights["near"] = self.START["near"] + STEP * step
 
     def unspaced_sentences(self, parts: list[str]) -> list[list[str]]:
-        """Sentences of the blocks of scripts without spaces that hold several, from which the unmarked chain learns."""
+        """Sentences of the blocks of scripts without spaces, from which the unmarked chain learns; not of those that it decides."""
         out = []
         for p in parts:
             if len(UNSPACED.findall(p)) > 0.6 * len(p):
                 found = candidates(p)
+                if asks_chain(found, p):
+                    continue
                 cuts = [0, *(c.at for c, yes in zip(found, self.tag(found)) if yes), len(p)]
                 out.append([p[a:b] for a, b in zip(cuts, cuts[1:])])
         return out
@@ -354,7 +565,7 @@ class BoundaryModel:
     def cuts(self, block: str) -> list[int]:
         """Ends of sentences within a block."""
         found = candidates(block)
-        if not found and len(block) >= UNMARKED_CHARS and self.unmarked.learned and len(UNSPACED.findall(block)) > 0.6 * len(block):
+        if self.unmarked.learned and asks_chain(found, block):
             return self.unmarked.cuts(block)[:-1]
         return [c.at for c, yes in zip(found, self.tag(found)) if yes]
 
@@ -377,14 +588,97 @@ def _text_formats(documents: DataFrame) -> DataFrame:
     return documents.where(ext.isin(*FORMATS) & F.col("content").isNotNull() & F.col("document_id").isNotNull())
 
 
-def train(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS, chars: int = SAMPLE_CHARS, known: int = 0) -> BoundaryModel:
-    """Learn from at most ``sample`` documents, picked by the hash of their id, and ``chars`` of each.
+def counted(documents: DataFrame) -> DataFrame:
+    """What all texts tell without labels, as rows of ``Tally``; several of one key come from different tasks."""
 
-    ``known`` is the number of rows of the source table, from which the share to look at follows.
-    """
-    picked = documents.where(about("document_id", sample, known))
-    rows = picked.orderBy(F.xxhash64("document_id"), "document_id").limit(sample).select(F.substring("content", 1, chars).alias("t")).collect()
-    return BoundaryModel().learn([r["t"] for r in rows])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["what", "a", "b", "about", "x", "y", "z"]
+
+        def out(tally: Tally) -> pa.RecordBatch:
+            columns = list(zip(*tally.rows())) or [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+        tally = Tally()
+        for batch in batches:
+            for text in batch.column(0):
+                tally.add(text.as_py())
+                if len(tally) >= HELD:
+                    yield out(tally)
+                    tally = Tally()
+        yield out(tally)
+
+    return documents.select("content").mapInArrow(run, "what string, a long, b long, about string, x long, y long, z long")
+
+
+def _codes(rows: DataFrame, code: Column) -> tuple[DataFrame, Tokens]:
+    """``(a, code)`` of every token, as a table and at hand."""
+    summed = rows.groupBy("a").agg(F.max("b").alias("b"), *(F.sum(c).alias(c) for c in "xyz"))
+    codes = checkpoint(summed.select("a", code.cast("int").alias("code")))
+    taken = codes.select("a", F.col("code").cast("smallint").alias("code")).toArrow()
+    return codes, Tokens(taken["a"].to_numpy(), taken["code"].to_numpy())
+
+
+def train(documents: DataFrame) -> BoundaryModel:
+    """Learn from all documents: one pass that counts, and one for the unmarked chain where some block asks for it."""
+    spark = documents.sparkSession
+    ship(spark)
+    model = BoundaryModel()
+    rows = checkpoint(counted(documents))
+    total = {r["what"]: r for r in rows.groupBy("what").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
+    x, y, z, seen = F.col("x"), F.col("y"), F.col("z"), F.lit(MOST_SEEN)
+    end = F.when(x > 0.02 * y, 0).when((y > 2) & (z > 0.6 * y), 1).otherwise(2 + 2 * F.least(y, seen) + F.col("b"))
+    ends, model.ends = _codes(rows.where("what = 'end'"), end)
+    begins, model.begins = _codes(rows.where("what = 'begin'"), F.when(x > 0.01 * y, 0).otherwise(1 + F.least(y, F.lit(5))))
+    if "end" in total:
+        model.learn_rate(total["end"]["x"], total["end"]["y"])
+    if "case" in total:
+        cases = rows.where("what = 'case'").groupBy("a", "b", "about").agg(F.sum("x").alias("n"))
+        cases = cases.join(ends.select("a", F.col("code").alias("before")), "a", "left")
+        cases = cases.join(begins.select(F.col("a").alias("b"), F.col("code").alias("after")), "b", "left")
+        # a token that stands in no table has the code -1
+        before, after = (F.when(F.col(k).isNotNull(), F.coalesce(c, F.lit(-1))).alias(c) for k, c in (("a", "before"), ("b", "after")))
+        cases = cases.groupBy("about", before, after).agg(F.sum("n").alias("n"))
+        model.learn_weights([tuple(r) for r in cases.select("about", "before", "after", "n").collect()])
+    if "join" in total:
+        model.learn_transition(_join_limits(rows.where("what = 'join'"), model))
+    if "asks" in total:
+        model.unmarked = unmarked.train(_unspaced_items(documents, model))
+    return model
+
+
+def _join_limits(joins: DataFrame, model: BoundaryModel) -> list[tuple[int, int, int]]:
+    frozen = joins.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [frozen.value.join_limits(joined, cut) for joined, cut in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            columns = [pa.array([p[k] for p in pairs], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(2)], ["join", "both", "n"])
+
+    distinct = joins.groupBy("about", "a").agg(F.sum("x").alias("n"))
+    limits = distinct.mapInArrow(run, "join int, both int, n long").groupBy("join", "both").agg(F.sum("n").alias("n"))
+    return [tuple(r) for r in limits.orderBy("join", "both").collect()]
+
+
+def _unspaced_items(documents: DataFrame, model: BoundaryModel) -> DataFrame:
+    """``(document_id, item_no, text, ends)``: what the unmarked chain learns from, of every document."""
+    frozen = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32())]
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                part = batch.slice(start, 1000)
+                out: list[tuple] = []
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    parts = [text[a:b].strip(_WHITE) for a, b in blocks(text) if not is_heading(text, a)]
+                    known = frozen.value.unspaced_sentences([p for p in parts if p])
+                    out += [(key, k, plain, ends) for k, (plain, ends) in enumerate(unmarked.items(known))]
+                columns = list(zip(*out)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["document_id", "item_no", "text", "ends"])
+
+    return documents.select("document_id", "content").mapInArrow(run, "document_id string, item_no int, text string, ends array<int>")
 
 
 def sentences(documents: DataFrame, model: BoundaryModel) -> DataFrame:
@@ -394,7 +688,7 @@ def sentences(documents: DataFrame, model: BoundaryModel) -> DataFrame:
     """
     spark = documents.sparkSession
     ship(spark)
-    frozen = spark.sparkContext.broadcast(model)  # bounded by the sample
+    frozen = spark.sparkContext.broadcast(model)  # nine bytes a token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = frozen.value
@@ -417,4 +711,4 @@ def sentences(documents: DataFrame, model: BoundaryModel) -> DataFrame:
 def document_sentences(loaded: DataFrame) -> DataFrame:
     """Sentences of the current .md, .docx and .txt documents."""
     documents = _text_formats(current_documents(loaded))
-    return sentences(documents, train(documents, known=loaded.count()))
+    return sentences(documents, train(documents))

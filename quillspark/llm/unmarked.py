@@ -9,11 +9,20 @@ were taken out, and decoded by Viterbi.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.runtime import checkpoint
 
 #: Slots of the hashed weights, passes over the training sequences, and their greatest length.
 SLOTS, PASSES, MOST_CHARS = 1 << 20, 12, 400
+#: Seed of the order, and items that are mixed at a time.
+SEED, MIXED_ITEMS = 5, 2000
 #: Characters of scripts that are written without spaces: Thai, Kana and Han.
 UNSPACED = re.compile(r"[ก-๛぀-ヿ㐀-䶿一-鿿]")
 #: What is taken out: white space and marks of every kind.
@@ -79,45 +88,107 @@ class UnmarkedModel:
             tags[-1] = True
         return tags
 
-    def learn(self, sequences: list[list[str]], seed: int = 5) -> UnmarkedModel:
-        """Learn from sequences of sentences; their marks and white space are taken out here."""
-        data = []
-        for sentences in sequences:
-            parts = [p for p in (stripped(s)[0] for s in sentences) if p]
-            while parts:
-                size = taken = 0
-                while taken < len(parts) and (not taken or size + len(parts[taken]) <= MOST_CHARS):
-                    size += len(parts[taken])
-                    taken += 1
-                ends = np.cumsum([len(p) for p in parts[:taken]]) - 1
-                gold = np.zeros(size, bool)
-                gold[ends] = True
-                data.append((_slots("".join(parts[:taken])), gold))
-                parts = parts[taken:]
-        self.learned = len(data)
-        total, moves, steps = np.zeros(SLOTS, np.float64), np.zeros((2, 2)), 0
-        random = np.random.default_rng(seed)
-        for _ in range(PASSES):
-            for i in random.permutation(len(data)).tolist():
-                slots, gold = data[i]
-                got = self._decode(self.weights[slots].sum(1))
-                steps += 1
-                if (got == gold).all():
-                    continue
-                for tags, sign in ((gold, 1.0), (got, -1.0)):
-                    changed = slots[tags].ravel()
-                    np.add.at(self.weights, changed, np.float32(sign))
-                    np.add.at(total, changed, steps * sign)
-                    pairs = np.zeros((2, 2))
-                    np.add.at(pairs, (np.concatenate(([False], tags[:-1])).astype(int), tags.astype(int)), sign)
-                    self.moves += pairs
-                    moves += steps * pairs
-        if steps:  # the average of all weights on the way
-            self.weights = (self.weights - total / (steps + 1)).astype(np.float32)
-            self.moves = self.moves - moves / (steps + 1)
+    def learn(self, sequences: list[list[str]]) -> UnmarkedModel:
+        """Learn from sequences of sentences at hand, as ``train`` does from a table; their marks and white space are taken out here."""
+        data = list(items(sequences))
+        return self._passes(len(data), lambda k: _sparse(*self.one_pass(data, k, len(data))))
+
+    def one_pass(self, data: Iterable[tuple[str, list[int]]], number: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """One pass of the perceptron over ``n`` items, from the present weights: the change of each, and its sum over all steps."""
+        now, moves = self.weights, self.moves
+        change, held = np.zeros(SLOTS + 4, np.int64), np.zeros(SLOTS + 4, np.int64)
+        self.weights, self.moves = now.copy(), moves.copy()
+        for done, (text, ends) in enumerate(_mixed(data, number)):
+            slots, gold = _slots(text), np.zeros(len(text), bool)
+            gold[ends] = True
+            got = self._decode(self.weights[slots].sum(1))
+            if (got == gold).all():
+                continue
+            for tags, sign in ((gold, 1), (got, -1)):
+                changed = slots[tags].ravel()
+                pairs = 2 * np.concatenate(([False], tags[:-1])).astype(int) + tags
+                np.add.at(self.weights, changed, np.float32(sign))
+                np.add.at(self.moves, (pairs // 2, pairs % 2), sign)
+                every = np.concatenate((changed, SLOTS + pairs))
+                np.add.at(change, every, sign)
+                np.add.at(held, every, sign * (n - done))
+        self.weights, self.moves = now, moves
+        return change, held
+
+    def _passes(self, n: int, run: Callable[[int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> UnmarkedModel:
+        """All passes over ``n`` items; the weights are at last the average of those on the way."""
+        self.learned = n
+        if not n:
+            return self
+        now, average = np.zeros(SLOTS + 4), np.zeros(SLOTS + 4)
+        for k in range(PASSES):
+            at, change, held = run(k)
+            average += now
+            average[at] += held / n
+            now[at] += change
+            self._set(now)
+        self._set(average / PASSES)
         return self
 
+    def _set(self, values: np.ndarray) -> None:
+        self.weights, self.moves = values[:SLOTS].astype(np.float32), values[SLOTS:].reshape(2, 2).copy()
+
     def cuts(self, text: str) -> list[int]:
         """Ends of the sentences of a text as it stands, the last one included."""
         plain, at = stripped(text)
         return [int(at[k]) + 1 for k in np.flatnonzero(self.tag(plain)).tolist()]
+
+
+def items(sequences: Iterable[list[str]]) -> Iterator[tuple[str, list[int]]]:
+    """Stripped text of at most ``MOST_CHARS`` characters, or one sentence, with the places at which its sentences end."""
+    for sentences in sequences:
+        parts = [p for p in (stripped(s)[0] for s in sentences) if p]
+        while parts:
+            size = taken = 0
+            while taken < len(parts) and (not taken or size + len(parts[taken]) <= MOST_CHARS):
+                size += len(parts[taken])
+                taken += 1
+            yield "".join(parts[:taken]), (np.cumsum([len(p) for p in parts[:taken]]) - 1).tolist()
+            parts = parts[taken:]
+
+
+def _mixed(data: Iterable[tuple[str, list[int]]], number: int) -> Iterator[tuple[str, list[int]]]:
+    """The items in an order of their own for each pass, mixed among ``MIXED_ITEMS`` that are held at a time."""
+    data = iter(data)
+    group = 0
+    while some := list(islice(data, MIXED_ITEMS)):
+        for i in np.random.default_rng((SEED, number, group)).permutation(len(some)).tolist():
+            yield some[i]
+        group += 1
+
+
+def _sparse(change: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = np.flatnonzero(change | held)
+    return at, change[at], held[at]
+
+
+def train(rows: DataFrame) -> UnmarkedModel:
+    """Learn from all rows ``(document_id, item_no, text, ends)``, in the order of their keys' hash.
+
+    Each update looks at the weights that the one before left, so one task runs through all
+    rows, a pass a job, and holds few of them at a time. Parts learned apart and averaged
+    would need many more passes. What comes to the driver is bounded by the slots.
+    """
+    spark = rows.sparkSession
+    order = F.xxhash64("document_id", "item_no"), "document_id", "item_no"
+    data = checkpoint(rows.repartition(1).sortWithinPartitions(*order).select("text", "ends"))
+    n = data.count()
+    model = UnmarkedModel()
+
+    def run(number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        frozen = spark.sparkContext.broadcast(model)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pairs = ((text.as_py(), ends.as_py()) for batch in batches for text, ends in zip(batch.column(0), batch.column(1)))
+            columns = _sparse(*frozen.value.one_pass(pairs, number, n))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["slot", "change", "held"])
+
+        got = data.mapInArrow(work, "slot long, change long, held long").toArrow()
+        return tuple(got[c].to_numpy() for c in ("slot", "change", "held"))
+
+    return model._passes(n, run)

@@ -394,6 +394,45 @@ def test_sentences(spark):
     assert [(r["document_id"], r["start_char_offset"], r["end_char_offset"]) for r in out] == [("a", 0, 4), ("a", 5, 12), ("a", 13, 19), ("e", 0, 50000)]
 
 
+def test_sentences_learn_from_whole_documents(spark):
+    """What stands behind the first 6,000 characters counts: a short token seen often there and never at an end ends no sentence."""
+    text = "The loop is new. The label is old and green.\n\n" * 150 + "He met abt. Golvany.\n\n" * 60
+    rows = sentences.document_sentences(loaded(spark, ("a", text, "x.md", None), ("b", "We met abt. Golvany. They left.", "x.txt", None)))
+    got = {r["text"] for r in rows.collect()}
+    assert {"He met abt. Golvany.", "We met abt. Golvany.", "They left."} <= got and not any(t.endswith("abt.") for t in got)
+
+
+def test_sentences_learn_from_all_documents(spark):
+    """Counts of tasks add up to what one pass over all texts learns, with no limit on documents."""
+    texts = [f"Item{k} is new. It ran at 5.2 in abt. {k} rooms! Did it? yes\n\n\"Hold it. Wait.\" he said... And left!\n\n? No{k}a." for k in range(3500)]
+    chinese = [f"第{k}号仓库已经关闭。请联系当地的办公室？我们明天再来。" * 3 for k in range(40)]
+    unmarked_ = "第七号仓库已经关闭请联系当地的办公室我们明天再来" * 8
+    rows = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate([*texts, *chinese, unmarked_])], "document_id string, content string")
+    got = sentences.train(rows.repartition(7))
+    want = sentences.BoundaryModel().learn([*texts, *chinese, unmarked_])
+    assert got.weights == want.weights and got.rate == want.rate
+    assert len(got.ends.keys) >= 3500 and all((getattr(got, t).keys == getattr(want, t).keys).all() and (getattr(got, t).codes == getattr(want, t).codes).all() for t in ("ends", "begins"))
+    assert got.unmarked.learned == want.unmarked.learned > 0
+    assert len(got.cuts(unmarked_)) == 3 * 8 - 1
+
+
+def test_unmarked_chain_from_a_table(spark, monkeypatch):
+    """Learned from all rows, whatever their layout, the chain parts text that it hasn't seen; few rows are held at a time."""
+    from quillspark.llm import unmarked
+
+    monkeypatch.setattr(unmarked, "MIXED_ITEMS", 30)
+    parts = ["仓库已经关闭", "请联系当地的办公室", "我们明天再来", "设备运行正常", "报告还没有写完"]
+    random = np.random.default_rng(1)
+    known = list(unmarked.items([[parts[k] for k in random.integers(0, 5, 12)] for _ in range(200)]))
+    rows = spark.createDataFrame([(f"d{k}", 0, t, e) for k, (t, e) in enumerate(known)], "document_id string, item_no int, text string, ends array<int>")
+    one, other = unmarked.train(rows.repartition(3)), unmarked.train(rows.repartition(5).orderBy("text"))
+    assert one.learned == 200 and (one.weights == other.weights).all() and (one.moves == other.moves).all()
+    text, ends = next(unmarked.items([[parts[k] for k in (4, 0, 3, 2, 1, 1, 4, 2)]]))
+    assert np.flatnonzero(one.tag(text)).tolist() == ends
+    assert [x for x, _ in unmarked._mixed([(str(k), []) for k in range(70)], 1)] != [str(k) for k in range(70)]
+    assert sorted(int(x) for x, _ in unmarked._mixed([(str(k), []) for k in range(70)], 1)) == list(range(70))
+
+
 # -- 2: scans ------------------------------------------------------------------------------------------------------
 
 
